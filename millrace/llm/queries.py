@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, topk, url_filter
+from . import mixing, packing, token_counts, token_files, topk, url_filter
 from .common import read
 
 
@@ -21,6 +21,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
 #: Fixed by the contract of op6.
 HOST_RULES = [
     url_filter.HostRule("block", "com/en/"),
@@ -42,11 +48,19 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
     "op8_topk": op8_topk,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {}
