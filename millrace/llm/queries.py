@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_counts, token_files, topk, url_filter
+from . import jaccard_join, mixing, packing, token_counts, token_files, topk, url_filter
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), max_copies=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
@@ -143,3 +148,30 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
+
+ORACLE["op3_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s)::BIGINT AS n_shingles, hash(list_sort(s)) AS h FROM s
+), cls AS (
+  SELECT h, min(doc_id) AS rep FROM n WHERE n_shingles > 0 GROUP BY h
+), x AS (
+  SELECT s.doc_id, n.n_shingles AS n, unnest(s.s) AS g FROM s JOIN n USING (doc_id) JOIN cls ON cls.rep = s.doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(id, root) AS (
+  SELECT rep, rep FROM cls UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id
+), c AS (
+  SELECT id, min(root) AS root FROM r GROUP BY id
+)
+SELECT n.doc_id, n.n_shingles, CASE WHEN n.n_shingles > 0 THEN c.root ELSE n.doc_id END AS component_id
+FROM n LEFT JOIN cls ON cls.h = n.h AND n.n_shingles > 0 LEFT JOIN c ON c.id = cls.rep
+"""
