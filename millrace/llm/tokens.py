@@ -14,21 +14,27 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import compress
 
-_CACHE = 1_000_000
+_CACHE = 800_000
 _LONGEST = 48
 #: A chunk: white space, then text up to the next ASCII white space. A run that starts with
 #: other white space stays inside its chunk.
 _CHUNK = re.compile(r"\s*\S+(?:(?=[^ \t-\r])\s+\S*)*|\s+")
-_ODD = re.compile("[\x85\xa0  -     　] ")
+_ODD = re.compile("[\x85\xa0  -     　][ \n]")
 
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]{0,16})")
+#: Cannot occur in UTF-8 text.
+_BARE = "\ud800"
+_SIMPLE = re.compile(_BARE.join(["([\n", "]?)"]) + r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]{0,16})")
 #: Byte-level vocabularies write bytes that aren't printable Latin-1 as 256 and up, in order.
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class ByteLevelEncoder:
-    """Encodes lists of texts into id bytes. One per Python worker and vocabulary."""
+    """Encodes lists of texts into id bytes. One per Python worker and vocabulary.
+
+    Chunks are keyed by their text without the single space before them; those of a text's
+    start, and those that the plain cut gives, have ``_BARE`` before them instead."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,62 +42,62 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced: dict[str, bytes] = {}  # keys without the single space before them
-        self.plain: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null texts count as empty."""
-        for cache in (self.spaced, self.plain, self.signs):
+        for cache in (self.chunks, self.words):
             if len(cache) > _CACHE:
                 cache.clear()
-        spaced, plain, work, lack_s, lack_p = self.spaced, self.plain, [], set(), set()
+        get, work, lack = self.chunks.get, [], set()
         for t in texts:
-            t = t or ""
-            if _split_safely(t):
-                first, *rest = t.split(" ")
-                found = list(map(spaced.get, rest))
-                if None in found:
-                    lack_s.update(k for k, v in zip(rest, found, strict=True) if v is None)
-                    found = None
-                head = (first,) if first else ()
+            if not t:
+                keys = ()
+            elif _split_safely(t):
+                keys = (_BARE + t.replace("\n", " \n")).split(" ")
             else:
-                rest, found, head = (), [], _CHUNK.findall(t)
-            lack_p.update(k for k in head if k not in plain)
-            work.append((head, rest, found))
-        odd_s = self._learn(spaced, lack_s, " ")
-        odd_p = self._learn(plain, lack_p, "")
+                keys = [_BARE + c for c in _CHUNK.findall(t)]
+            found = list(map(get, keys))
+            if None in found:
+                lack.update(compress(keys, [v is None for v in found]))
+                found = None
+            work.append((keys, found))
+        odd = self._learn(lack)
         out = []
-        for head, rest, found in work:
+        for keys, found in work:
             if found is None:
-                found = [spaced[k] if k in spaced else odd_s[k] for k in rest]
-            out.append(b"".join([*(plain[k] if k in plain else odd_p[k] for k in head), *found]))
+                found = list(map(get, keys))
+                if None in found:
+                    found = [odd[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+            out.append(b"".join(found))
         return out
 
-    def _learn(self, cache: dict[str, bytes], keys: set[str], before: str) -> dict[str, bytes]:
+    def _word(self, w: str) -> bytes:
+        ids = self.words.get(w)
+        if ids is None:
+            symbols = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+            ids = self.words[w] = _bytes([t.id for t in self.tokenizer.model.tokenize(symbols.replace(" ", "\u0120").replace("\n", "\u010a"))])
+        return ids
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
         """Encode what is new; returns the long chunks, which aren't kept.
 
         A chunk that is one word of Latin letters and ASCII signs after it is two tokens of
-        the pre-tokenizer; its word goes straight to the library's model. Any other chunk
-        goes through the whole tokenizer."""
+        the pre-tokenizer (a line feed before it a third); they go straight to the
+        library's model. Any other chunk goes through the whole tokenizer."""
         odd: dict[str, bytes] = {}
-        other, signs = [], self.signs
-        tokenize = self.tokenizer.model.tokenize
+        other, cache, word = [], self.chunks, self._word
         for k in keys:
             m = _SIMPLE.fullmatch(k)
-            if not m or len(k) > _LONGEST:
+            if m:
+                mark, letters, sign = m.groups()
+                cache[k] = (word("\n") if mark == "\n" else b"") + word(letters if mark else " " + letters) + (word(sign) if sign else b"")
+            else:
                 other.append(k)
-                continue
-            word, sign = m.groups()
-            w = ("\u0120" if before else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))
-            ids = _bytes([t.id for t in tokenize(w)])
-            if sign:
-                if sign not in signs:
-                    signs[sign] = _bytes([t.id for t in tokenize(sign)])
-                ids += signs[sign]
-            cache[k] = ids
         if other:
-            for k, e in zip(other, self.tokenizer.encode_batch_fast([before + k for k in other], add_special_tokens=False), strict=True):
+            texts = [k if k[:1] == "\n" else k[1:] if k[:1] == _BARE else " " + k for k in other]
+            for k, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 (cache if len(k) <= _LONGEST else odd)[k] = _bytes(e.ids)
         return odd
 
@@ -104,8 +110,11 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 def _split_safely(t: str) -> bool:
-    """Whether cutting before every single space is right: no white space stands before one."""
-    return not ("  " in t or "\n " in t or "\t " in t or "\r " in t or "\x0b " in t or "\x0c " in t or (not t.isascii() and _ODD.search(t)))
+    """Whether cutting before every single space and line feed is right: no white space
+    stands before one."""
+    if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t:
+        return False
+    return t.isascii() or not _ODD.search(t)
 
 
 @lru_cache(2)
