@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, token_counts, token_files, topk, url_filter
+from . import fingerprints, jaccard_join, mixing, packing, token_counts, token_files, topk, url_filter
 from .common import read
 
 
@@ -47,6 +47,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), HOST_RULES, PATTERNS).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
+    "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
     "op10_token_files": op10_token_files,
 }
