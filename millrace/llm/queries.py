@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, token_counts, token_files, topk, url_filter
+from . import fingerprints, jaccard_join, mixing, packing, quality, token_counts, token_files, topk, url_filter
 from .common import read
 
 
@@ -56,6 +56,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
+    "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
 
