@@ -11,9 +11,11 @@ set near the top of its level also has the tokens of the next, so any two sets t
 be similar meet in the level of the larger. m is d + 1 + spare: a set may leave out its
 ``spare`` most common tokens when it looks for groups, and none is lost.
 
-*Groups.* Each token that several sets have names the least of them its hub. A set is
-compared with the hub most of its tokens name; those that are similar form the hub's group.
-Groups that contain each other's hubs merge.
+*Groups.* Each token that several sets have names two of them its hubs. A set is compared
+with the hub that most of its tokens name; similar sets are one group from then on. This
+is repeated with other hubs. Tokens that one group has, and sets with too few tokens left,
+drop out after each round, which loses nothing: similar sets of different groups share m - d
+tokens that both groups have.
 
 *Matrix.* (token, group) for all tokens that more than one group has. A set looks up its
 less common tokens, which gives it candidate groups; the overlap with each candidate's
@@ -41,6 +43,7 @@ from .shingles import Sets, mix, shingle_sets, sums_by_run
 _U = np.uint64
 LEVELS = 64
 BROADCAST_IDS = 1_000_000
+HUB_ROUNDS = 4
 _SLICE = 1 << 19
 
 
@@ -75,6 +78,18 @@ class Scheme:
         mine = np.flatnonzero(own >= 0)
         return [(mine, own[mine]), (up, own[up] + 1)]
 
+    def least_shared(self) -> F.Column:
+        """Fewest tokens that a set of ``n`` shingles shares with any similar set in ``level``."""
+        level = F.col("level")
+        largest = F.least(F.floor(F.col("n") * 100 / self.percent).cast("long"), self.lookup(self.top, level))
+        return self.lookup(self.segments, level) - F.floor((100 - self.percent) * (F.col("n") + largest) / (100 + self.percent))
+
+    def may_be_similar(self, n: str, other: str, shared: str) -> F.Column:
+        """Whether sets of two sizes that share so many tokens in ``level`` can be similar."""
+        a, b = F.col(n), F.col(other)
+        enough = F.col(shared) >= self.lookup(self.segments, F.col("level")) - F.floor((100 - self.percent) * (a + b) / (100 + self.percent))
+        return enough & (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
+
     def lookup(self, values: np.ndarray, level: F.Column) -> F.Column:
         return F.element_at(F.array(*(F.lit(int(v)) for v in values)), (level + 1).cast("int"))
 
@@ -90,7 +105,6 @@ def tokens(s: Sets, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """(row, token) of all rows: 42 hash bits and 6 bits for the level."""
     rows_out, tokens_out = [], []
     value = mix(s.hash ^ _U(0x2545F4914F6CDD1D))
-    first = np.cumsum(s.count) - s.count
     for rows, level in scheme.levels(s.count):
         m = scheme.segments[level]
         base = np.zeros(len(s.count), np.int64)
@@ -109,7 +123,6 @@ def tokens(s: Sets, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
         token = mix(sums + mix((number * LEVELS + where).astype(_U)))
         tokens_out.append(((token >> _U(22)) << _U(6)).astype(np.int64) | where)
         rows_out.append(np.repeat(rows, m))
-    del first
     return np.concatenate(rows_out), np.concatenate(tokens_out)
 
 
@@ -191,66 +204,90 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
 
 
 def _links(docs: DataFrame, sets: DataFrame, size: int, scheme: Scheme) -> DataFrame | None:
-    """(set_id, root) of all sets that share tokens with others; None if no two do."""
+    """(set_id, root) of all sets that may have links; None if there are none."""
     rows = token_rows(docs, size, scheme)
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub < last").select("token", "hub")
-    found = written(rows.join(shared.hint("shuffle_hash"), "token").select("token", "set_id", "n", "hub").distinct(), "shared-tokens")
+    shared = rows.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
+    found = written(rows.join(shared.hint("shuffle_hash"), "token").distinct(), "shared-tokens")
+    found = _promising(_promising(found.withColumn("root", F.col("set_id")), scheme), scheme)
     if found.isEmpty():
         return None
 
-    # texts of the sets that share a token, one document each
+    # texts of these sets, one document each
     ids = written(found.select("set_id").distinct().join(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id"), "candidates")
     few = ids.count() <= BROADCAST_IDS
-    one = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("set_id", "text")
-
-    hubs = found.where("hub <> set_id").groupBy("set_id", "hub").count()
-    hubs = hubs.groupBy("set_id").agg(F.max(F.struct("count", F.negative("hub").alias("h"))).alias("m")).select(F.col("set_id").alias("a"), (-F.col("m.h")).alias("b"))
-    texts = written(one, "texts")
-    links = written(_similar(hubs, texts, size, scheme.percent), "hub-links")
-    labels = merge(ids.select(F.col("set_id").alias("id")), links)
+    texts = written(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
+    labels = ids.select(F.col("set_id").alias("id"), F.col("set_id").alias("root"))
 
-    for best_only in (True, False):
-        pairs = _matrix_pairs(found, labels, scheme, best_only)
+    for step in [*range(HUB_ROUNDS), "best", "all"]:
+        pairs = _hub_pairs(found, scheme, step) if isinstance(step, int) else _matrix_pairs(found, scheme, step == "best")
         if pairs is None:
-            break
+            continue
         links = written(_similar(pairs, texts, size, scheme.percent), "links")
-        if not links.isEmpty():
-            roots = labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), labels.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-            between = links.join(roots[0], "a").join(roots[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-            upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)
-            labels = written(labels.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root")), "labels")
+        if links.isEmpty():
+            continue
+        ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+        between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)
+        labels = written(labels.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root")), "labels")
+        found = _promising(found.drop("root").join(labels.select(F.col("id").alias("set_id"), "root"), "set_id"), scheme)
     return labels.select(F.col("id").alias("set_id"), "root")
 
 
-def _matrix_pairs(found: DataFrame, labels: DataFrame, scheme: Scheme, best_only: bool) -> DataFrame | None:
-    """Pairs of sets in different groups that may be similar: (a, b), or None."""
-    level = F.col("token").bitwiseAND(F.lit(LEVELS - 1))
-    rows = found.select("token", "set_id", "n").join(labels.select(F.col("id").alias("set_id"), "root"), "set_id")
-    matrix = rows.select("token", "root").distinct()
-    common = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    rows = written(rows.join(common.hint("shuffle_hash"), "token").withColumn("level", level), "open-tokens")
+def _promising(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """The (token, set_id, n, root) that may still find a set of another group.
+
+    Similar sets share at least m - d tokens, and each of those has both their groups. So a
+    token of one group goes, and then a set goes with fewer tokens left than that in its
+    level, and then again the tokens of one group."""
+
+    def of_several(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        return rows.join(several, "token", "left_semi")
+
+    rows = written(of_several(rows).withColumn("level", _level()), "open-tokens")
+    enough = rows.groupBy("set_id", "level", "n").agg(F.count("*").alias("c")).where(F.col("c") >= scheme.least_shared()).select("set_id", "level")
+    return written(of_several(rows.join(enough, ["set_id", "level"], "left_semi")).select("token", "set_id", "n", "root"), "promising")
+
+
+def _level() -> F.Column:
+    return F.col("token").bitwiseAND(F.lit(LEVELS - 1))
+
+
+def _hub_pairs(rows: DataFrame, scheme: Scheme, step: int) -> DataFrame | None:
+    """(a, b): each set and the hub of another group that most of its tokens name.
+
+    A token names the first and the last of its sets in an order that changes with ``step``
+    (ids combined with a fixed number). Pairs that the counts show to share too little are
+    left out; what a hub misses, the matrix finds."""
     if rows.isEmpty():
         return None
-    matrix = written(rows.select("token", F.col("root").alias("grp")).distinct(), "matrix")
-    top = scheme.lookup(scheme.top, F.col("level"))
-    spare, m = scheme.lookup(scheme.spare, F.col("level")), scheme.lookup(scheme.segments, F.col("level"))
-    rest, whole = 100 - scheme.percent, 100 + scheme.percent
+    turn = F.lit(int(mix(np.array([step + 1], _U))[0] >> _U(1)))
+    key = F.col("set_id").bitwiseXOR(turn)
+    hubs = rows.groupBy("token").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    named = rows.join(hubs, "token").withColumn("level", _level()).select("set_id", "n", "root", "level", F.explode(F.array(F.col("lo").bitwiseXOR(turn), F.col("hi").bitwiseXOR(turn))).alias("b"))
+    named = named.where("b <> set_id").groupBy("set_id", "n", "root", "level", "b").agg(F.count("*").alias("c")).where(F.col("c") >= scheme.least_shared())
+    other = rows.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).distinct()
+    pairs = named.join(other, "b").where((F.col("root") != F.col("root_b")) & scheme.may_be_similar("n", "n_b", "c"))
+    return pairs.groupBy(F.col("set_id").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
+
 
+def _matrix_pairs(rows: DataFrame, scheme: Scheme, best_only: bool) -> DataFrame | None:
+    """Pairs of sets in different groups that may be similar: (a, b), or None."""
+    matrix = written(rows.select("token", F.col("root").alias("grp")).distinct(), "matrix")
+    common = matrix.groupBy("token").agg(F.count("*").alias("k"))
+    rows = written(rows.join(common, "token").withColumn("level", _level()), "matrix-rows")
+    if rows.isEmpty():
+        return None
     by_k = Window.partitionBy("set_id", "level").orderBy(F.desc("k"), "token")
-    cool = rows.withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > spare)
+    cool = rows.withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > scheme.lookup(scheme.spare, F.col("level")))
     candidates = cool.join(matrix, "token").where("grp < root").select("set_id", "level", "grp").distinct()
-    largest = F.least(F.floor(F.col("n") * 100 / scheme.percent).cast("long"), top)
-    bound = m - F.floor(rest * (F.col("n") + largest) / whole)
-    overlap = candidates.join(rows.select("set_id", "level", "token", "n"), ["set_id", "level"]).join(matrix, ["token", "grp"]).groupBy("set_id", "level", "grp", "n").count()
-    opened = written(overlap.where(F.col("count") >= bound).select("set_id", "level", "grp"), "opened")
+    overlap = candidates.join(rows.select("set_id", "level", "token", "n"), ["set_id", "level"]).join(matrix, ["token", "grp"]).groupBy("set_id", "level", "grp", "n").agg(F.count("*").alias("c"))
+    opened = written(overlap.where(F.col("c") >= scheme.least_shared()).select("set_id", "level", "grp"), "opened")
     if opened.isEmpty():
         return None
     q = opened.join(rows.select("set_id", "level", "token", "n"), ["set_id", "level"])
     x = rows.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("grp"))
-    pairs = q.join(x, ["token", "grp"]).groupBy("set_id", "b", "level", "n", "n_b", "grp").count()
-    enough = F.col("count") >= m - F.floor(rest * (F.col("n") + F.col("n_b")) / whole)
-    sized = 100 * F.least("n", "n_b") >= scheme.percent * F.greatest("n", "n_b")
-    pairs = pairs.where(enough & sized)
+    pairs = q.join(x, ["token", "grp"]).groupBy("set_id", "b", "level", "n", "n_b", "grp").agg(F.count("*").alias("c")).where(scheme.may_be_similar("n", "n_b", "c"))
     if best_only:
-        return pairs.groupBy(F.col("set_id").alias("a"), "grp").agg(F.max_by("b", F.struct("count", F.negative("b"))).alias("b")).select("a", "b")
+        return pairs.groupBy(F.col("set_id").alias("a"), "grp").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
     return pairs.select(F.col("set_id").alias("a"), "b").distinct()
