@@ -17,11 +17,11 @@ is repeated with other hubs. Tokens that one group has, and sets with too few to
 drop out after each round, which loses nothing: similar sets of different groups share m - d
 tokens that both groups have.
 
-*Matrix.* (token, group) for all tokens that more than one group has. A set looks up its
-less common tokens, which gives it candidate groups; the overlap with each candidate's
-token union is counted over all tokens and bounded by m - d; groups that qualify are
-opened: members that share enough tokens are compared by their texts' shingles. First the
-best member of each, and the groups are merged; then all pairs still in different groups.
+*Matrix.* What is left is put in groups of similar sets (those whose tokens mostly name one
+hub), of bounded size. The matrix holds (token, group). A set looks up its less common
+tokens, which gives it candidate groups; the overlap with each candidate's token union is
+counted over all tokens and bounded by m - d; groups that qualify are opened, and the
+shingles of their sets compared.
 
 Skew: hubs and matrix are aggregates with partial sums before their shuffles, a token that
 a third of all sets share joins through a skew join, and copies never pair with each other.
@@ -43,7 +43,9 @@ from .shingles import Sets, mix, shingle_sets, sums_by_run
 _U = np.uint64
 LEVELS = 64
 BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: A group of similar sets holds about so many shingles; a larger set is a group of its own.
+GROUP_SHINGLES = 1 << 15
 _SLICE = 1 << 19
 
 
@@ -218,18 +220,23 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, scheme: Scheme) -> DataF
     texts = written(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
     labels = ids.select(F.col("set_id").alias("id"), F.col("set_id").alias("root"))
 
-    for step in [*range(HUB_ROUNDS), "best", "all"]:
-        pairs = _hub_pairs(found, scheme, step) if isinstance(step, int) else _matrix_pairs(found, scheme, step == "best")
-        if pairs is None:
-            continue
-        links = written(_similar(pairs, texts, size, scheme.percent), "links")
+    for step in range(HUB_ROUNDS + 1):
+        if step < HUB_ROUNDS:
+            pairs = _hub_pairs(found, scheme, step)
+            links = pairs and _similar(pairs, texts, size, scheme.percent)
+        else:
+            links = _matrix_links(found, texts, size, scheme)
+        if links is None:
+            break
+        links = written(links, "links")
         if links.isEmpty():
             continue
         ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
         between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)
         labels = written(labels.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root")), "labels")
-        found = _promising(found.drop("root").join(labels.select(F.col("id").alias("set_id"), "root"), "set_id"), scheme)
+        if step < HUB_ROUNDS:
+            found = _promising(found.drop("root").join(labels.select(F.col("id").alias("set_id"), "root"), "set_id"), scheme)
     return labels.select(F.col("id").alias("set_id"), "root")
 
 
@@ -271,23 +278,85 @@ def _hub_pairs(rows: DataFrame, scheme: Scheme, step: int) -> DataFrame | None:
     return pairs.groupBy(F.col("set_id").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
 
 
-def _matrix_pairs(rows: DataFrame, scheme: Scheme, best_only: bool) -> DataFrame | None:
-    """Pairs of sets in different groups that may be similar: (a, b), or None."""
-    matrix = written(rows.select("token", F.col("root").alias("grp")).distinct(), "matrix")
-    common = matrix.groupBy("token").agg(F.count("*").alias("k"))
-    rows = written(rows.join(common, "token").withColumn("level", _level()), "matrix-rows")
+def _matrix_links(rows: DataFrame, texts: DataFrame, size: int, scheme: Scheme) -> DataFrame | None:
+    """Links (a, b) between sets of different groups of links that complete them, or None.
+
+    Sets are put in groups of similar sets: those whose tokens mostly name one hub, cut into
+    parts of bounded shingles. A set looks its less common tokens up in the matrix (token,
+    group); groups with which it has enough tokens in common are opened: all sets of both
+    groups are compared, a pair of groups at a time, and only links that join sets not yet
+    joined are given out."""
     if rows.isEmpty():
         return None
+    rows = rows.withColumn("level", _level())
+    first = rows.groupBy("token").agg(F.min("set_id").alias("hub"))
+    named = rows.join(first, "token").groupBy("set_id", "level", "hub").agg(F.count("*").alias("c"))
+    hubs = named.groupBy("set_id", "level").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    parts = hubs.groupBy("level", "hub").agg(F.count("*").alias("members"))
+    n_parts = F.ceil(F.col("members") * scheme.lookup(scheme.top, F.col("level")) / GROUP_SHINGLES)
+    group = F.xxhash64("level", "hub", F.pmod(F.xxhash64("set_id"), n_parts))
+    member = written(hubs.join(parts, ["level", "hub"]).select("set_id", "level", group.alias("grp")), "groups")
+    rows = written(rows.join(member, ["set_id", "level"]), "matrix-rows")
+    matrix = written(rows.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "matrix")
+
+    k = matrix.groupBy("token").agg(F.count("*").alias("k"))
     by_k = Window.partitionBy("set_id", "level").orderBy(F.desc("k"), "token")
-    cool = rows.withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > scheme.lookup(scheme.spare, F.col("level")))
-    candidates = cool.join(matrix, "token").where("grp < root").select("set_id", "level", "grp").distinct()
-    overlap = candidates.join(rows.select("set_id", "level", "token", "n"), ["set_id", "level"]).join(matrix, ["token", "grp"]).groupBy("set_id", "level", "grp", "n").agg(F.count("*").alias("c"))
-    opened = written(overlap.where(F.col("c") >= scheme.least_shared()).select("set_id", "level", "grp"), "opened")
+    cool = rows.join(k, "token").withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > scheme.lookup(scheme.spare, F.col("level")))
+    m = matrix.select("token", F.col("grp").alias("other"), "lo", "hi")
+    candidates = cool.join(m, "token").where("grp <= other and (lo <> root or hi <> root)").select("set_id", "level", "other").distinct()
+    overlap = candidates.join(rows.select("set_id", "level", "token", "n", "grp"), ["set_id", "level"]).join(matrix.select("token", F.col("grp").alias("other")), ["token", "other"])
+    overlap = overlap.groupBy("set_id", "level", "other", "n", "grp").agg(F.count("*").alias("c"))
+    opened = written(overlap.where(F.col("c") >= scheme.least_shared()).select(F.col("grp").alias("x"), F.col("other").alias("y")).distinct(), "opened")
     if opened.isEmpty():
         return None
-    q = opened.join(rows.select("set_id", "level", "token", "n"), ["set_id", "level"])
-    x = rows.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("grp"))
-    pairs = q.join(x, ["token", "grp"]).groupBy("set_id", "b", "level", "n", "n_b", "grp").agg(F.count("*").alias("c")).where(scheme.may_be_similar("n", "n_b", "c"))
-    if best_only:
-        return pairs.groupBy(F.col("set_id").alias("a"), "grp").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
-    return pairs.select(F.col("set_id").alias("a"), "b").distinct()
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = shingle_sets(batch.column(1), size)
+        ends = np.cumsum(np.r_[0, s.count])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.hash[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())], names=["set_id", "shingles"])
+
+    roots = rows.select("set_id", "root").distinct()
+    shingles = _sliced(texts.select("set_id", "text"), packed, "set_id long, shingles binary").join(roots, "set_id").join(member, "set_id")
+    needed = opened.select(F.explode(F.array("x", "y")).alias("grp")).distinct()
+    groups = shingles.join(needed, "grp", "left_semi").groupBy("grp").agg(F.collect_list(F.struct("set_id", "root", "shingles")).alias("sets"))
+    groups = written(groups, "group-sets")
+    pairs = opened.join(groups.select(F.col("grp").alias("x"), F.col("sets").alias("sets_x")), "x").join(groups.select(F.col("grp").alias("y"), F.col("sets").alias("sets_y")), "y")
+    percent = scheme.percent
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = _joining_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return pairs.select("sets_x", "sets_y").mapInArrow(compare, "a long, b long")
+
+
+def _joining_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets, one of x and one of y, that join sets of different roots; pairs
+    that those given out already join are left out."""
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while up.get(r, r) != r:
+            up[r] = up.get(up[r], up[r])
+            r = up[r]
+        return r
+
+    xs, ys = ([np.frombuffer(s["shingles"], _U) for s in part] for part in (x, y))
+    nx, ny = (np.array([len(s) for s in part], np.int64) for part in (xs, ys))
+    words, number = np.unique(np.concatenate(xs + ys), return_inverse=True)
+    ends = np.cumsum(np.r_[0, nx, ny])
+    of_y, start_y = number[ends[len(xs)] :], ends[len(xs) : -1] - ends[len(xs)]
+    seen, out = np.zeros(len(words), np.int64), []
+    for i in range(len(xs)):
+        mine = number[ends[i] : ends[i + 1]]
+        seen[mine] = 1
+        shared = np.add.reduceat(seen[of_y], start_y)
+        seen[mine] = 0
+        for j in np.flatnonzero(100 * shared >= percent * (nx[i] + ny - shared)):
+            a, b = top(x[i]["root"]), top(y[j]["root"])
+            if a != b:
+                up[a] = b
+                out.append((x[i]["set_id"], y[j]["set_id"]))
+    return out
