@@ -30,11 +30,12 @@ _CACHE = 200_000
 
 
 class Automaton:
-    """Trie over byte symbols with failure links and popped-piece counts."""
+    """Trie over byte symbols with failure links and popped-piece counts. Pieces of ``free``
+    are popped without being counted."""
 
-    def __init__(self, pieces: list[tuple[int, ...]]):
+    def __init__(self, pieces: list[tuple[int, ...]], free: frozenset[tuple[int, ...]] = frozenset()):
         self.edges: list[dict[int, int]] = [{}]
-        whole = [False]
+        whole, cost = [False], [1]
         for piece in pieces:
             at = 0
             for c in piece:
@@ -43,8 +44,10 @@ class Automaton:
                     nxt = self.edges[at][c] = len(self.edges)
                     self.edges.append({})
                     whole.append(False)
+                    cost.append(1)
                 at = nxt
             whole[at] = True
+            cost[at] = int(piece not in free)
         n = len(self.edges)
         self.fail, self.pops = [-1] * n, [0] * n
         queue = [0]
@@ -52,7 +55,7 @@ class Automaton:
             for c, child in self.edges[at].items():
                 queue.append(child)
                 if whole[child]:
-                    self.fail[child], self.pops[child] = 0, 1
+                    self.fail[child], self.pops[child] = 0, cost[child]
                     continue
                 # pieces popped when the string of `at` was cut, and on until c can follow
                 z, popped = self.fail[at], self.pops[at]
@@ -86,7 +89,7 @@ def automaton(path: str) -> Automaton:
     """From the vocabulary of a tokenizers file whose pieces end words with ``</w>``.
 
     Pieces are written in the byte alphabet of byte-level files; a piece becomes its bytes,
-    and the end of a word the symbol 256."""
+    and the end of a word the symbol 256. Where no piece takes the end, it counts nothing."""
     alphabet = byte_alphabet()
     vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
     pieces = []
@@ -95,7 +98,7 @@ def automaton(path: str) -> Automaton:
         if body and all(c in alphabet for c in body):
             pieces.append(tuple(alphabet[c] for c in body) + ((256,) if ends else ()))
     pieces += [(b,) for b in range(256)] + [(b, 256) for b in range(256)]
-    return Automaton(pieces)
+    return Automaton([*pieces, (256,)], frozenset([(256,)]))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -109,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     """(doc_id, n_words, n_tokens) of every whole text.
 
     Words are runs of anything but ASCII white space, lower-cased; each is cut greedily
-    into the longest pieces, the last of which ends the word. Null and empty texts have 0
+    into the longest pieces; one that ends a word fits only there. Null and empty texts have 0
     of both. Repeated rows are counted each; very long words take one pass.
     """
     cache: dict[str, int] = {}
