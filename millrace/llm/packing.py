@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, written
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 SIZE = 1024
 
@@ -33,24 +33,20 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SIZ
 
     Documents longer than ``size`` are cut into pieces of ``size``, the first of which may
     be shorter. Null text is empty: the end id alone."""
-    end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(encoder(vocabulary).encode(batch.column(1).to_pylist())):
-            ids += end
-            n = len(ids) // 4
-            at, k = 0, 0
-            take = (n - 1) % size + 1
-            while at < n:
-                row.append(i)
-                piece.append(k)
-                start.append(at)
-                length.append(take)
-                crc.append(zlib.crc32(ids[4 * at : 4 * (at + take)]))
-                at, k, take = at + take, k + 1, size
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids, at = with_end(*encoder(vocabulary).encode(batch.column(1)), end_id)
+        total = np.diff(at)
+        pieces = -(-total // size)
+        row = np.repeat(np.arange(len(total)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        head = (total[row] - 1) % size + 1
+        start = np.where(piece == 0, 0, head + (piece - 1) * size)
+        length = np.where(piece == 0, head, size)
+        raw = memoryview(ids.view(np.uint8))
+        crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip((at[row] + start).tolist(), (at[row] + start + length).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_arrow(docs.select(F.col(doc_id), F.col(text)), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

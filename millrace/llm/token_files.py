@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shared_dir, written
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 BLOCK = 128
 _HEAD = struct.Struct("<4sBqQI")
@@ -41,18 +41,17 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) + 1, 0)
 
 
-def encode_frames(ids: list[np.ndarray], doc_ids: list[int | None], percentile: float = 0.9) -> list[bytes]:
-    """One frame per document; all blocks of the list are packed together, width by width."""
-    if not ids:
-        return []
-    lengths = np.array([len(x) for x in ids], np.int64)
+def encode_frames(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], percentile: float = 0.9) -> list[bytes]:
+    """One frame per document, whose ids lie between its start and the next; all blocks are
+    packed together, width by width."""
+    lengths = np.diff(starts)
     blocks = -(-lengths // BLOCK)
     total = int(blocks.sum())
     first = np.cumsum(np.r_[0, blocks])
     wide = np.zeros((total, BLOCK), np.int64)
     slot = np.repeat(first[:-1] * BLOCK, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     flat = wide.reshape(-1)
-    flat[slot] = np.concatenate(ids) if len(slot) else []
+    flat[slot] = ids
     used = np.zeros(total * BLOCK, bool)
     used[slot] = True
     used = used.reshape(total, BLOCK)
@@ -84,43 +83,48 @@ def encode_frames(ids: list[np.ndarray], doc_ids: list[int | None], percentile:
     return out
 
 
-def decode_frames(raw: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """Document ids and token ids of a file's frames, in order."""
+def decode_frames(raw: bytes, blocks: int = 4096) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(document ids, token ids, starts) of a file's frames in order, about so many blocks at
+    a time, so memory doesn't grow with the file."""
     data = np.frombuffer(raw, np.uint8)
-    doc_ids, lengths, counts, starts, pos = [], [], [], [], 0
+    pos = 0
     while pos < len(raw):
-        magic, flags, d, n, k = _HEAD.unpack_from(raw, pos)
-        if magic != _MAGIC:
-            raise ValueError(f"no frame at byte {pos}")
-        at = np.frombuffer(raw, "<u4", k + 1, pos + _HEAD.size).astype(np.int64)
-        body = pos + _HEAD.size + 4 * (k + 1)
-        doc_ids.append(None if flags & 1 else d)
-        lengths.append(n)
-        counts.append(k)
-        starts.append(body + at[:-1])
-        pos = body + int(at[-1]) + 1
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        doc_ids, lengths, counts, starts, n_blocks = [], [], [], [], 0
+        while pos < len(raw) and n_blocks < blocks:
+            magic, flags, d, n, k = _HEAD.unpack_from(raw, pos)
+            if magic != _MAGIC:
+                raise ValueError(f"no frame at byte {pos}")
+            at = np.frombuffer(raw, "<u4", k + 1, pos + _HEAD.size).astype(np.int64)
+            body = pos + _HEAD.size + 4 * (k + 1)
+            doc_ids.append(None if flags & 1 else d)
+            lengths.append(n)
+            counts.append(k)
+            starts.append(body + at[:-1])
+            pos = body + int(at[-1]) + 1
+            n_blocks += k
+        lengths, used = np.array(lengths, np.int64), np.array(counts, np.int64) * BLOCK
+        inside = np.arange(int(used.sum())) - np.repeat(np.cumsum(used) - used, used) < np.repeat(lengths, used)
+        yield doc_ids, _unpack(data, np.concatenate(starts)).reshape(-1)[inside], np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _unpack(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The 128 ids of each block that starts at one of the places."""
     low = data[start[:, None] + np.arange(4)].copy().view("<u4").reshape(-1).astype(np.int64)
     width, n_exc = data[start + 4].astype(np.int64), data[start + 5].astype(np.int64)
     wide = np.zeros((len(start), BLOCK), np.int64)
     for w in np.unique(width[width > 0]):
-        for rows in np.array_split(r := np.flatnonzero(width == w), -(-len(r) // 4096)):
-            bits = np.unpackbits(data[start[rows][:, None] + 6 + np.arange(16 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value = bits[:, :, w - 1].astype(np.int64)
-            for bit in range(w - 2, -1, -1):
-                value = (value << 1) | bits[:, :, bit]
-            wide[rows] = value
+        rows = np.flatnonzero(width == w)
+        bits = np.unpackbits(data[start[rows][:, None] + 6 + np.arange(16 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        value = bits[:, :, w - 1].astype(np.int64)
+        for bit in range(w - 2, -1, -1):
+            value = (value << 1) | bits[:, :, bit]
+        wide[rows] = value
     b = np.repeat(np.arange(len(start)), n_exc)
     nth = np.arange(len(b)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
     body = start[b] + 6 + 16 * width[b]
-    pos_in = data[body + nth]
     high = data[(body + n_exc[b] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").reshape(-1).astype(np.int64)
-    wide[b, pos_in] |= high << width[b]
-    flat, out, at = (wide + low[:, None]).astype(np.uint32).reshape(-1), [], 0
-    for n, k in zip(lengths, counts, strict=True):
-        out.append(flat[at : at + n])
-        at += k * BLOCK
-    return doc_ids, out
+    wide[b, data[body + nth]] |= high << width[b]
+    return (wide + low[:, None]).astype("<u4")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -134,10 +138,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
     cuts = np.unique(np.array(cuts, np.int64))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.append(np.frombuffer(x, "<u4").astype(np.int64), end_id) for x in encoder(vocabulary).encode(batch.column(1).to_pylist())]
+        ids, starts = with_end(*encoder(vocabulary).encode(batch.column(1)), end_id)
         keys = batch.column(0).to_pylist()
         part = np.searchsorted(cuts, [np.iinfo(np.int64).min if k is None else k for k in keys], "left")
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(encode_frames(ids, keys), pa.binary())], names=["part", "doc_id", "frame"])
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(encode_frames(ids, starts, keys), pa.binary())], names=["part", "doc_id", "frame"])
 
     frames = map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, "part int, doc_id long, frame binary")
     dealt = frames.repartitionById(files, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
@@ -153,11 +157,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                keys, ids = decode_frames(batch.column(1)[i].as_py())
-                n = np.array([len(x) for x in ids], np.int64)
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(keys, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["file", "doc_id", "local", "n_tokens", "ids_crc32"])
+                name, before = batch.column(0)[i].as_py(), 0
+                for keys, ids, at in decode_frames(batch.column(1)[i].as_py()):
+                    raw = memoryview(ids.view(np.uint8))
+                    crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(before + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["file", "doc_id", "local", "n_tokens", "ids_crc32"])
+                    before += int(at[-1])
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     rows = written(content.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"), "read-ids")

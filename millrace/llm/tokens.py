@@ -1,40 +1,80 @@
 """Whole-text encoding with the ``tokenizers`` library, as fast as words repeat.
 
-A byte-level tokenizer cuts a text before every white-space run that follows anything
-else, and merges never cross such a cut. So a text is cut there first, and each distinct
-chunk is encoded once and kept, as the little-endian 32-bit bytes of its ids; a text's ids
-are the joined bytes of its chunks. The result is what encoding the whole text gives. The
-cache is emptied when full, which costs time only.
+A byte-level tokenizer never merges across the places where its pattern cuts a text. Some
+of these show in the bytes: before white space that follows anything else, and before an
+ASCII sign that follows a letter or digit. Texts are cut there into chunks, each chunk is
+hashed, and only chunks whose hash is new go to the library; a text's ids are its chunks'
+ids in order, which is what encoding the whole text gives. Cutting, hashing, looking up and
+joining run over a batch's whole buffer.
+
+Chunks are told apart by 64-bit hashes of their bytes: of 10^12 different chunks, one in
+twenty runs would mistake a single one. The table is emptied when full; long chunks are
+never kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from functools import lru_cache
-from itertools import compress
-
-_CACHE = 800_000
-_LONGEST = 48
-#: A chunk: white space, then text up to the next ASCII white space. A run that starts with
-#: other white space stays inside its chunk.
-_CHUNK = re.compile(r"\s*\S+(?:(?=[^ \t-\r])\s+\S*)*|\s+")
-_ODD = re.compile("[\x85\xa0  -     　][ \n]")
-
-#: Cannot occur in UTF-8 text.
-_BARE = "\ud800"
-_SIMPLE = re.compile(_BARE.join(["([\n", "]?)"]) + r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]{0,16})")
+
+import numpy as np
+import pyarrow as pa
+
+from .shingles import _power_tables, mix
+
+_U = np.uint64
+_SLOTS = 1 << 21
+_KEPT = 800_000
+_POOL = 4_000_000
+_LONGEST = 64
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+_SIGN = np.array([33 <= b <= 126 for b in range(256)]) & ~_LETTER
+#: ASCII bytes after which white space surely starts a run; separators count as white space in some tables.
+_SOLID = np.array([b < 128 and not 28 <= b <= 31 for b in range(256)]) & ~_SPACE
+_VALUE = mix(np.arange(1, 257, dtype=_U))
+#: Chunks that are one piece of the pattern: a word of Latin letters, or signs without an apostrophe.
+_ONE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+)")
 #: Byte-level vocabularies write bytes that aren't printable Latin-1 as 256 and up, in order.
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
-class ByteLevelEncoder:
-    """Encodes lists of texts into id bytes. One per Python worker and vocabulary.
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts and where each starts (and the end). Null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks start: at texts, and at cuts that the tokenizer's pattern surely makes."""
+    n = len(raw)
+    cut = np.zeros(n + 1, bool)
+    space, sign = _SPACE[raw], _SIGN[raw]
+    before = raw[:-1]
+    cut[1:n] = (space[1:] & _SOLID[before]) | (sign[1:] & _LETTER[before])
+    at = np.flatnonzero((space[1:] | sign[1:]) & (before >= 0x80)) + 1
+    b1, b2, b3 = raw[at - 1], raw[at - 2], raw[np.maximum(at - 3, 0)]
+    # other white space in UTF-8: two bytes after C2, or three that begin as these do
+    white = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 >= 0xE1) & (b3 <= 0xE3) & ((b2 == 0x80) | (b2 == 0x81) | (b2 == 0x9A)))
+    latin = (b2 == 0xC3) & (b1 != 0x97) & (b1 != 0xB7)
+    cut[at] = np.where(space[at], ~white, latin)
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
 
-    Chunks are keyed by their text without the single space before them; those of a text's
-    start, and those that the plain cut gives, have ``_BARE`` before them instead."""
+
+class ByteLevelEncoder:
+    """Encodes columns of texts into ids. One per Python worker and vocabulary."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,79 +82,93 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null texts count as empty."""
-        for cache in (self.chunks, self.words):
-            if len(cache) > _CACHE:
-                cache.clear()
-        get, work, lack = self.chunks.get, [], set()
-        for t in texts:
-            if not t:
-                keys = ()
-            elif _split_safely(t):
-                keys = (_BARE + t.replace("\n", " \n")).split(" ")
-            else:
-                keys = [_BARE + c for c in _CHUNK.findall(t)]
-            found = list(map(get, keys))
-            if None in found:
-                lack.update(compress(keys, [v is None for v in found]))
-                found = None
-            work.append((keys, found))
-        odd = self._learn(lack)
-        out = []
-        for keys, found in work:
-            if found is None:
-                found = list(map(get, keys))
-                if None in found:
-                    found = [odd[k] if v is None else v for k, v in zip(keys, found, strict=True)]
-            out.append(b"".join(found))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(_SLOTS, _U), np.zeros(_SLOTS, np.int32)
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids start and the end)."""
+        raw, offsets = text_bytes(column)
+        if not len(raw):
+            return np.zeros(0, np.uint32), offsets
+        if len(self.ends) > _KEPT or len(self.pool) > _POOL:
+            self._clear()
+        start = chunk_starts(raw, offsets)
+        end = np.append(start[1:], len(raw))
+        power, inverse = _power_tables(len(raw))
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum(_VALUE[raw] * power[: len(raw)], out=total[1:])
+        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U)) | _U(1)
+        kept = end - start <= _LONGEST
+        entry = np.where(kept, self._find(h), -1)
+        lack = np.flatnonzero(entry < 0)
+        if len(lack):
+            short, long = lack[kept[lack]], lack[~kept[lack]]
+            new, first, which = np.unique(h[short], return_index=True, return_inverse=True)
+            rows, text, n = np.concatenate([short[first], long]), raw.tobytes(), len(self.ends) - 1
+            ids = self._learn([text[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist(), strict=True)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
+            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.uint32)])
+            entry[short], entry[long] = n + which, n + len(new) + np.arange(len(long))
+            room = max(0, _SLOTS * 3 // 4 - n)
+            self._keep(new[:room], n + np.arange(len(new))[:room])
+        size = self.ends[entry + 1] - self.ends[entry]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.ends[entry] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(start, offsets)]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of hashes in the table, -1 where absent."""
+        out, live, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & _U(_SLOTS - 1)
+        while len(live):
+            k = self.keys[slot]
+            same = k == h[live]
+            out[live[same]] = self.entry[slot[same]]
+            on = ~same & (k != 0)
+            live, slot = live[on], (slot[on] + _U(1)) & _U(_SLOTS - 1)
         return out
 
-    def _word(self, w: str) -> bytes:
-        ids = self.words.get(w)
-        if ids is None:
-            symbols = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
-            ids = self.words[w] = _bytes([t.id for t in self.tokenizer.model.tokenize(symbols.replace(" ", "\u0120").replace("\n", "\u010a"))])
-        return ids
-
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """Encode what is new; returns the long chunks, which aren't kept.
-
-        A chunk that is one word of Latin letters and ASCII signs after it is two tokens of
-        the pre-tokenizer (a line feed before it a third); they go straight to the
-        library's model. Any other chunk goes through the whole tokenizer."""
-        odd: dict[str, bytes] = {}
-        other, cache, word = [], self.chunks, self._word
-        for k in keys:
-            m = _SIMPLE.fullmatch(k)
-            if m:
-                mark, letters, sign = m.groups()
-                cache[k] = (word("\n") if mark == "\n" else b"") + word(letters if mark else " " + letters) + (word(sign) if sign else b"")
+    def _keep(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Put distinct new hashes into the table."""
+        slot = h & _U(_SLOTS - 1)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            here = self.keys[slot] == h
+            self.entry[slot[here]] = entry[here]
+            h, entry, slot = h[~here], entry[~here], (slot[~here] + _U(1)) & _U(_SLOTS - 1)
+
+    def _learn(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of new chunks: those of one piece straight from the library's model."""
+        out: list[list[int]] = []
+        other, tokenize, one = [], self.tokenizer.model.tokenize, _ONE.fullmatch
+        for c in chunks:
+            if one(c):
+                piece = c.decode("latin-1")
+                if not c.isascii():
+                    piece = piece.translate(_BYTES)
+                elif c[0] == 32:
+                    piece = "\u0120" + piece[1:]
+                out.append([t.id for t in tokenize(piece)])
             else:
-                other.append(k)
+                other.append(len(out))
+                out.append([])
         if other:
-            texts = [k if k[:1] == "\n" else k[1:] if k[:1] == _BARE else " " + k for k in other]
-            for k, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                (cache if len(k) <= _LONGEST else odd)[k] = _bytes(e.ids)
-        return odd
-
-
-def _bytes(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in other], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
 
-def _split_safely(t: str) -> bool:
-    """Whether cutting before every single space and line feed is right: no white space
-    stands before one."""
-    if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t:
-        return False
-    return t.isascii() or not _ODD.search(t)
+def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each text."""
+    rows = len(starts) - 1
+    starts = starts + np.arange(rows + 1)
+    out, own = np.full(len(ids) + rows, end_id, "<u4"), np.ones(len(ids) + rows, bool)
+    own[starts[1:] - 1] = False
+    out[own] = ids
+    return out, starts
 
 
 @lru_cache(2)
