@@ -72,13 +72,23 @@ def _exact(counts: list[int], length: int, size: int) -> tuple[int, ...] | None:
 
 
 def pack_plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences); every piece is in exactly one."""
+    """(lengths of a sequence, number of such sequences); every piece is in exactly one.
+
+    Exact fills of short lengths' gaps use up short pieces that larger residuals may need.
+    So the plan is made for several least lengths whose gaps are filled, and the one with
+    the fewest sequences is taken."""
+    plans = [_plan(histogram, size, size * part // 8 + 1) for part in (0, 2, 4, 6, 7)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], size: int, down_to: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan whose exact fills are for gaps of lengths from ``down_to``."""
     counts = [0] * (size + 1)
     for n, c in histogram.items():
         counts[n] += c
     plan = [((size,), counts[size])] if counts[size] else []
     counts[size] = 0
-    for n in range(size - 1, 0, -1):
+    for n in range(size - 1, down_to - 1, -1):
         while counts[n] and (fill := _exact(counts, n, size)):
             whole = (n, *fill)
             times = min(counts[x] // whole.count(x) for x in whole)
