@@ -41,12 +41,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 1, 2, 3, repeating, at most 3 times each."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
     taken = written(taken, "copies")
     few = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-    a, b = docs.alias("a"), few.alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "_copies")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    # whole rows travel as one column, so no name of theirs can clash
+    a, b = docs.select("doc_id", "source", F.struct("*").alias("doc")).alias("a"), few.alias("b")
+    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")))
+    copies = both.select("a.doc", F.explode(F.sequence(F.lit(1), F.col("b.copies").cast("int"))).alias("copy"))
+    return copies.select("doc.*").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
