@@ -95,9 +95,10 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
             flush()
         if m[1]:
             if any(x[0] == tag for x in stack):
-                flush()
-                while stack.pop()[0] != tag:
-                    pass
+                at = max(i for i, x in enumerate(stack) if x[0] == tag)
+                if not all(x[0] in _INLINE for x in stack[at:]):
+                    flush()
+                del stack[at:]
         else:
             if tag in _CLOSES_P and any(x[0] == "p" for x in stack):
                 at = max(i for i, x in enumerate(stack) if x[0] == "p")
@@ -110,8 +111,6 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
             if tag in _VOID or m[3].endswith("/"):
                 continue
             furniture = above[1] or _is_furniture(tag, m[3], above[2])
-            if furniture and not above[1]:
-                flush()
             stack.append((tag, furniture, above[2] or (not furniture and (tag in ("article", "main") or 'role="main"' in m[3]))))
         skip, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()

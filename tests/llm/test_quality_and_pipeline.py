@@ -34,13 +34,15 @@ def test_held_out_accuracy(spark):
 
 
 def test_views_teach_each_other():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 1200)
-    text, meta = (np.column_stack([y + rng.normal(0, s, 1200), rng.normal(0, 1, 1200)]) for s in (0.4, 0.4))
-    label = np.where(np.arange(1200) < 40, y, -1)
-    alone, together = (quality.co_train(text, meta, label, rounds=r).score(text, meta)[2] for r in (0, 4))
-    right = lambda p: ((p >= 0.5) == (y == 1)).mean()
-    assert right(together) >= right(alone) - 0.005 and right(together) > 0.93
+    gain = []
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        y = rng.integers(0, 2, 1200)
+        text, meta = (np.column_stack([y + rng.normal(0, 0.4, 1200), rng.normal(0, 1, 1200)]) for _ in range(2))
+        label = np.where(np.arange(1200) < 40, y, -1)
+        alone, together = (quality.co_train(text, meta, label, rounds=r).score(text, meta)[2] for r in (0, 4))
+        gain.append(((together >= 0.5) == y).mean() - ((alone >= 0.5) == y).mean())
+    assert np.mean(gain) > 0
 
 
 def test_scores_of_odd_rows(spark):
