@@ -43,7 +43,7 @@ from .shingles import Sets, mix, shingle_sets, sums_by_run
 _U = np.uint64
 LEVELS = 64
 BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: A group of similar sets holds about so many shingles; a larger set is a group of its own.
 GROUP_SHINGLES = 1 << 15
 _SLICE = 1 << 19
@@ -303,7 +303,10 @@ def _matrix_links(rows: DataFrame, texts: DataFrame, size: int, scheme: Scheme)
     by_k = Window.partitionBy("set_id", "level").orderBy(F.desc("k"), "token")
     cool = rows.join(k, "token").withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > scheme.lookup(scheme.spare, F.col("level")))
     m = matrix.select("token", F.col("grp").alias("other"), "lo", "hi")
-    candidates = cool.join(m, "token").where("grp <= other and (lo <> root or hi <> root)").select("set_id", "level", "other").distinct()
+    # at most ``spare`` of the tokens shared with a similar set are among those left out
+    enough = F.col("c") >= F.greatest(F.lit(1), scheme.least_shared() - scheme.lookup(scheme.spare, F.col("level")))
+    found = cool.join(m, "token").where("grp <= other").groupBy("set_id", "level", "n", "root", "other").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    candidates = found.where(enough & F.expr("lo <> root or hi <> root")).select("set_id", "level", "other")
     overlap = candidates.join(rows.select("set_id", "level", "token", "n", "grp"), ["set_id", "level"]).join(matrix.select("token", F.col("grp").alias("other")), ["token", "other"])
     overlap = overlap.groupBy("set_id", "level", "other", "n", "grp").agg(F.count("*").alias("c"))
     opened = written(overlap.where(F.col("c") >= scheme.least_shared()).select(F.col("grp").alias("x"), F.col("other").alias("y")).distinct(), "opened")
