@@ -22,6 +22,14 @@ from pyspark.sql import functions as F
 from .common import word_count, written
 
 BINS = 4096
+BROADCAST_ROWS = 200_000
+
+
+def _per_source(df: DataFrame, label: str) -> DataFrame:
+    """A written table of rows by source, broadcast if its count is small: then the documents of
+    a source, however many, are joined where they are."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_copies: float) -> DataFrame:
@@ -84,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copie
     plan = targets.join(copies.drop("source_size", "target"), targets["source"].eqNullSafe(copies["source"]), "left").select(targets["source"], "class", "source_size", "target", "whole", "p", "rest")
     plan = written(plan, "copies")
     per_source = plan.select("source", "source_size", "target", "rest").distinct()
-    a, b = slim.alias("a"), plan.select("source", "class", "whole", "p").alias("b")
+    a, b = slim.alias("a"), _per_source(plan.select("source", "class", "whole", "p"), "class-copies").alias("b")
     ranked = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")), "left").select("a.*", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("whole"), F.when((F.col("size") > 0) & (F.col("p") > 0), pareto_order("doc_id", "p", seed)).alias("v"))
     ranked = written(ranked.withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1))), "ranked")
 
@@ -94,17 +102,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copie
     s = per_source.select("source", "rest").alias("s")
     cut = bins.join(s, bins["source"].eqNullSafe(F.col("s.source"))).where("before <= rest").groupBy(bins["source"]).agg(F.max(F.struct("bin", "before")).alias("cut"))
     border = per_source.join(cut, per_source["source"].eqNullSafe(cut["source"]), "left").select(per_source["source"], "source_size", "target", "rest", F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("cut_before"))
-    r, t = ranked.alias("r"), border.alias("t")
+    r, t = ranked.alias("r"), _per_source(border, "borders").alias("t")
     both = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "rest", "cut_bin", "cut_before")
     order = Window.partitionBy("source").orderBy("v", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     inside = both.where("v is not null and bin = cut_bin").withColumn("extra", (F.col("cut_before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"))
     outside = both.where("v is null or bin <> cut_bin").withColumn("extra", F.coalesce((F.col("bin") < F.col("cut_bin")).cast("long"), F.lit(0)))
     sampled = written(outside.unionByName(inside), "sampled")
     # The last document rarely fills the fixed size to the word: one more is taken, or one left, where that comes nearer.
-    gap = sampled.groupBy("source").agg((F.max("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap")).alias("g")
+    gap = _per_source(sampled.groupBy("source").agg((F.max("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap")), "gaps").alias("g")
     move = F.col("size") * (1 - 2 * F.col("extra"))
     moves = sampled.alias("m").where("v is not null").join(gap, F.col("m.source").eqNullSafe(F.col("g.source"))).where(F.abs(F.col("gap") - move) < F.abs("gap")).groupBy("m.source").agg(F.min(F.struct(F.abs(F.col("gap") - move).alias("off"), "v", "doc_id", "size", "rid")).alias("move"))
-    moved = moves.select("source", F.col("move.rid").alias("moved")).alias("d")
+    moved = _per_source(moves.select("source", F.col("move.rid").alias("moved")), "moves").alias("d")
     out = sampled.alias("o").join(moved, F.col("o.source").eqNullSafe(F.col("d.source")), "left")
     n = F.col("whole") + F.when(F.col("moved") == F.col("rid"), 1 - F.col("extra")).otherwise(F.col("extra"))
     return out.select("doc_id", "o.source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "rid")
