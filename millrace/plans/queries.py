@@ -281,6 +281,24 @@ def r6_bm25_per_kb(spark, d):
     return retrieval.bm25_per_kb(q, chunks(spark, d), 5)
 
 
+# The queries above and below whose SQL takes ITEMS see six words of a text. Their twins take all of it.
+WHOLE = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("r5_bm25_whole", f"WITH {CHUNKS}, {WHOLE}, {bm25_sql('c')} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM bm25")
+def r5_bm25_whole(spark, d):
+    return retrieval.bm25(whole_items(spark, d), chunks(spark, d), 5)
+
+
+@query("r6_bm25_per_kb_whole", ORACLE["r6_bm25_per_kb"].replace("[1:6]", ""))
+def r6_bm25_per_kb_whole(spark, d):
+    return retrieval.bm25_per_kb(whole_items(spark, d), chunks(spark, d), 5)
+
+
 _TWO = f"""WITH {DENSE}, top AS (SELECT * FROM dense WHERE rank <= 10), near AS (
   SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e) / list_aggregate(list_transform(b.e, lambda x: abs(x)), 'sum'), 9) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
@@ -322,13 +340,22 @@ vd AS (SELECT base, query, min(variant_no) AS variant_no FROM vr GROUP BY ALL),
 q AS (SELECT base * 10 + row_number() OVER (PARTITION BY base ORDER BY variant_no) - 1 AS query_id, base, query, row_number() OVER (PARTITION BY base ORDER BY variant_no) - 1 AS variant_no FROM vd)"""
 
 
+def _multi_query(q: DataFrame, c: DataFrame) -> DataFrame:
+    v = q.select("query_id", F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query")).withColumn("variant_id", F.col("query_id") * 10 + F.col("variant_no"))
+    hits = retrieval.bm25(v.select(F.col("variant_id").alias("query_id"), "query"), c, 5).withColumnRenamed("query_id", "variant_id")
+    return retrieval.over_variants(hits, v, 5)
+
+
 @query("r12_multi_query", f"""WITH {CHUNKS}, {_VARIANTS}, {bm25_sql('c')},
 f AS (SELECT base AS query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, arg_min(score, variant_no) AS score FROM bm25 JOIN q USING (query_id) GROUP BY ALL)
 SELECT query_id, chunk_id, score, rrf_score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM f) WHERE rank <= 5""")
 def r12_multi_query(spark, d):
-    v = items(spark, d).select("query_id", F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query")).withColumn("variant_id", F.col("query_id") * 10 + F.col("variant_no"))
-    hits = retrieval.bm25(v.select(F.col("variant_id").alias("query_id"), "query"), chunks(spark, d), 5).withColumnRenamed("query_id", "variant_id")
-    return retrieval.over_variants(hits, v, 5)
+    return _multi_query(items(spark, d), chunks(spark, d))
+
+
+@query("r12_multi_query_whole", ORACLE["r12_multi_query"].replace(ITEMS.replace("q AS", "q0 AS"), WHOLE.replace("q AS", "q0 AS")))
+def r12_multi_query_whole(spark, d):
+    return _multi_query(whole_items(spark, d), chunks(spark, d))
 
 
 @query("r14_self_query", f"""WITH {DENSE}, m AS (SELECT query_id, chunk_id, score FROM dense JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 30 AND contains(e.label::VARCHAR, '3'))
@@ -400,6 +427,12 @@ def r19_rerank(spark, d):
     return retrieval.rerank(retrieval.bm25(q, c, 20), q, c, 5)
 
 
+@query("r19_rerank_whole", ORACLE["r19_rerank"].replace(ITEMS, WHOLE))
+def r19_rerank_whole(spark, d):
+    c, q = chunks(spark, d), whole_items(spark, d)
+    return retrieval.rerank(retrieval.bm25(q, c, 20), q, c, 5)
+
+
 @query("r19_rerank_none", f"WITH {DENSE} SELECT query_id, chunk_id, round(1 - 0.01 * (rank - 1), 9)::DOUBLE AS score, rank::INTEGER AS rank FROM dense WHERE rank <= 5")
 def r19_rerank_none(spark, d):
     return retrieval.rerank(dense_hits(spark, d, 10), None, None, 5, "none")
@@ -422,6 +455,12 @@ def e12_prompt(spark, d):
     return retrieval.prompt(retrieval.bm25(q, c, 3), c.withColumn("title", F.col("kb_id")), q)
 
 
+@query("e12_prompt_whole", ORACLE["e12_prompt"].replace(ITEMS, WHOLE))
+def e12_prompt_whole(spark, d):
+    c, q = chunks(spark, d), whole_items(spark, d)
+    return retrieval.prompt(retrieval.bm25(q, c, 3), c.withColumn("title", F.col("kb_id")), q)
+
+
 # ---------------------------------------------------------------- filters and ACL
 
 def users(spark: SparkSession) -> DataFrame:
