@@ -206,11 +206,12 @@ def context_window(hits: DataFrame, chunks: DataFrame, before: int = 1, after: i
     # an equi-join on the neighbour's place: no range join is needed
     want = at.withColumn("_i", F.explode(F.sequence(F.col("_at") - before, F.col("_at") + after)))
     both = want.join(near, (F.col("document_id") == F.col("_d")) & (want["_i"] == near["_i"])).select("query_id", "chunk_id", "document_id", "_at", "_own", near["_i"].alias("_i"), "_text")
-    turn = F.when(F.col("_i") == F.col("_at"), 0).when(F.col("_i") < F.col("_at"), F.col("_at") - F.col("_i")).otherwise(before + F.col("_i") - F.col("_at"))
-    so_far = Window.partitionBy("query_id", "chunk_id").orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
-    side = Window.partitionBy("query_id", "chunk_id", "_side").orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
-    sized = both.withColumn("_turn", turn).withColumn("_side", F.signum(F.col("_i") - F.col("_at"))).withColumn("_fits", (F.sum(F.length("_text")).over(so_far) <= 2 * max_tokens) | (F.col("_turn") == 0))
-    kept = sized.withColumn("_ok", F.min(F.col("_fits").cast("int")).over(side)).where("_ok = 1")
+    side = Window.partitionBy("query_id", "chunk_id", "_side").orderBy(F.abs(F.col("_i") - F.col("_at"))).rowsBetween(Window.unboundedPreceding, 0)
+    sized = both.withColumn("_side", F.signum(F.col("_i") - F.col("_at"))).withColumn("_sum", F.col("_own") + F.sum(F.length("_text")).over(side))
+    # what the kept ones before take is gone for those after; one before that doesn't fit takes nothing
+    taken = F.max(F.when((F.col("_side") < 0) & (F.col("_sum") <= 2 * max_tokens), F.col("_sum") - F.col("_own"))).over(Window.partitionBy("query_id", "chunk_id"))
+    sized = sized.withColumn("_taken", F.when(F.col("_side") > 0, F.coalesce(taken, F.lit(0))).otherwise(0))
+    kept = sized.where((F.col("_side") == 0) | (F.col("_sum") + F.col("_taken") <= 2 * max_tokens))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_text"))), lambda x: x["_text"]), "\n\n")
     return kept.groupBy("query_id", "chunk_id").agg(text.alias("context_text"), F.sum((F.col("_side") < 0).cast("int")).alias("n_before"), F.sum((F.col("_side") > 0).cast("int")).alias("n_after"))
 

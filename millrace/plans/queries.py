@@ -447,6 +447,18 @@ def r20_context_window(spark, d):
     return retrieval.context_window(hits, c, 1, 1, 2048)
 
 
+@query("r20_context_window_all", f"""WITH {CHUNKS}, n AS (
+  SELECT h.chunk_id, length(h.text) AS own, x.chunk_index - h.chunk_index AS off, x.text, length(h.text) + sum(length(x.text)) OVER (PARTITION BY h.chunk_id, sign(x.chunk_index - h.chunk_index) ORDER BY abs(x.chunk_index - h.chunk_index)) AS used
+  FROM c h JOIN c x ON x.document_id = h.document_id AND x.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2),
+m AS (SELECT *, coalesce(max(used - own) FILTER (off < 0 AND used <= 2400) OVER (PARTITION BY chunk_id), 0) AS taken FROM n)
+SELECT chunk_id AS query_id, chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY off) AS context_text, count(*) FILTER (off < 0) AS n_before, count(*) FILTER (off > 0) AS n_after
+FROM m WHERE off = 0 OR (off < 0 AND used <= 2400) OR (off > 0 AND used + taken <= 2400) GROUP BY chunk_id""")
+def r20_context_window_all(spark, d):
+    """Every chunk's window; 2400 characters hold three of five whole chunks."""
+    c = chunks(spark, d)
+    return retrieval.context_window(c.select(F.col("chunk_id").alias("query_id"), "chunk_id"), c, 2, 2, 1200)
+
+
 @query("e12_prompt", f"""WITH {CHUNKS}, {ITEMS}, {bm25_sql('c', k=3)},
 p AS (SELECT query_id, string_agg('[来源 ' || rank || '] ' || kb_id || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS x FROM bm25 JOIN c USING (chunk_id) GROUP BY query_id)
 SELECT query_id, '参考资料:' || chr(10) || x || chr(10) || chr(10) || '问题: ' || query AS prompt FROM q JOIN p USING (query_id)""")

@@ -5,8 +5,10 @@ from collections import Counter
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from millrace.plans.queries import QUERIES
+from millrace.operators import retrieval
+from millrace.plans.queries import QUERIES, chunks
 
 
 def write(spark, folder, **tables):
@@ -54,3 +56,35 @@ def test_entry_takes_whole_texts(spark):
     import __spark_entry__
 
     assert sorted(__spark_entry__.entry(spark).collect()) == sorted(QUERIES["r5_bm25_whole"](spark, SMALL).collect())
+
+
+def window_by_hand(texts, at, before, after, limit):
+    """The service's loop."""
+    size, front, back = len(texts[at]), [], []
+    for x in reversed(texts[max(0, at - before) : at]):
+        if size + len(x) > limit:
+            break
+        front.insert(0, x)
+        size += len(x)
+    for x in texts[at + 1 : at + after + 1]:
+        if size + len(x) > limit:
+            break
+        back.append(x)
+        size += len(x)
+    return "\n\n".join([*front, texts[at], *back]), len(front), len(back)
+
+
+def test_windows_stop_at_the_budget_on_either_side(spark):
+    docs = {1: ["a" * 50, "b" * 90, "c" * 40, "d" * 30, "e" * 200, "f"], 2: ["alone"], 3: ["x" * 300, "y" * 10, "z" * 300]}
+    rows = [(d * 100 + i, d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)]
+    c = spark.createDataFrame(rows, "chunk_id long, document_id long, chunk_index int, text string")
+    got = retrieval.context_window(c.select(F.col("chunk_id").alias("query_id"), "chunk_id"), c, 2, 2, 50).collect()
+    want = {d * 100 + i: window_by_hand(ts, i, 2, 2, 100) for d, ts in docs.items() for i in range(len(ts))}
+    assert {r["chunk_id"]: (r["context_text"], r["n_before"], r["n_after"]) for r in got} == want
+
+
+def test_every_chunk_has_a_window_and_some_budgets_bind(spark):
+    got, c = QUERIES["r20_context_window_all"](spark, SMALL), chunks(spark, SMALL).select("chunk_id", "chunk_index", "total_chunks")
+    assert got.count() == c.count() > QUERIES["r20_context_window"](spark, SMALL).count()
+    full = F.least("chunk_index", F.lit(2)) + F.least(F.col("total_chunks") - 1 - F.col("chunk_index"), F.lit(2))
+    assert got.join(c, "chunk_id").where(F.col("n_before") + F.col("n_after") < full).count() > 0
