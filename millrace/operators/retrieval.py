@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import dot, norm, sigmoid
+from ..functions.vectors import dot, hash_slot, norm, sigmoid
 from .registry import operator
 
 #: A query side of at most so many rows is sent to every task; a larger one is dealt over cells.
@@ -51,6 +51,27 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 5, exclude_self: bool
     return top_k(scored, k)
 
 
+def slots(texts: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:
+    """(key, slot, c): the hash embedding's slots that aren't 0, before they are brought to length 1."""
+    words = texts.select(key, F.explode(F.filter(F.split(text, r"\s+"), lambda t: t != "")).alias("_w"))
+    return words.groupBy(key, hash_slot(F.col("_w"), dim).alias("slot")).agg(F.count("*").alias("c"))
+
+
+def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 1024) -> DataFrame:
+    """Exact cosine top-k of hash embeddings by a join on slots. ``queries``: query_id, query.
+
+    A slot that a text lacks adds nothing, so no vector is laid out. Cosines are not negative:
+    of the chunks without a common slot the k with the smallest ids suffice."""
+    q, c = slots(queries, "query_id", "query", dim), slots(chunks, "chunk_id", "text", dim)
+    length = lambda df, key, name: df.groupBy(key).agg(F.sum(F.col("c") * F.col("c")).alias(name))
+    nq, nc = length(q, "query_id", "_nq"), length(c, "chunk_id", "_nc")
+    met = c.join(q.withColumnRenamed("c", "_c"), "slot").groupBy("query_id", "chunk_id").agg(F.sum(F.col("c") * F.col("_c")).alias("_dot"))
+    none = nq.select("query_id").crossJoin(F.broadcast(nc.select("chunk_id").orderBy("chunk_id").limit(k))).withColumn("_dot", F.lit(0).cast("long"))
+    dots = met.unionByName(none).groupBy("query_id", "chunk_id").agg(F.sum("_dot").alias("_dot"))
+    scored = dots.join(nq, "query_id").join(nc, "chunk_id").select("query_id", "chunk_id", F.round(F.col("_dot") / F.sqrt(F.col("_nq") * F.col("_nc")), 9).alias("score"))
+    return top_k(scored, k)
+
+
 def postings(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., chunk_id, term, tf, dl): the lexical index of a chunk table."""
     words = chunks.select(*by, "chunk_id", tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))

@@ -334,6 +334,45 @@ def r11_ensemble(spark, d):
     return retrieval.ensemble([dense_hits(spark, d, 10), _second(spark, d)], 5, "weighted", [3.0, 1.0])
 
 
+_SLOTS = "(SELECT {0}, slot, count(*) AS c FROM (SELECT {0}, (('0x' || substr(md5(w), 25, 8))::BIGINT % 1024)::INTEGER AS slot FROM (SELECT {0}, unnest(list_filter(regexp_split_to_array({1}, '\\s+'), lambda t: t <> '')) AS w FROM {2})) GROUP BY ALL)"
+_LEXICAL = f"""WITH {CHUNKS}, {WHOLE}, qs AS {_SLOTS.format("query_id", "query", "q")}, cs AS {_SLOTS.format("chunk_id", "text", "c")},
+nq AS (SELECT query_id, sum(c * c) AS nq FROM qs GROUP BY ALL), nc AS (SELECT chunk_id, sum(c * c) AS nc FROM cs GROUP BY ALL),
+dots AS (SELECT query_id, chunk_id, sum(dot) AS dot FROM (SELECT query_id, chunk_id, sum(qs.c * cs.c) AS dot FROM qs JOIN cs USING (slot) GROUP BY ALL
+  UNION ALL SELECT query_id, chunk_id, 0 FROM nq, (SELECT chunk_id FROM nc ORDER BY chunk_id LIMIT 10) AS z) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(dot / sqrt((nq * nc)::DOUBLE), 9) AS score FROM dots JOIN nq USING (query_id) JOIN nc USING (chunk_id))) WHERE rank <= 10),
+{bm25_sql("c", "second", 10)}"""
+
+
+@query("e1_hash_embedding_chunks", f"""WITH {CHUNKS}, {WHOLE}, n AS (SELECT 'chunk' AS kind, chunk_id AS id, slot, c FROM {_SLOTS.format("chunk_id", "text", "c")} UNION ALL SELECT 'query', query_id, slot, c FROM {_SLOTS.format("query_id", "query", "q")})
+SELECT kind, id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY kind, id)), 9) AS value FROM n""")
+def e1_hash_embedding_chunks(spark, d):
+    """The sparse form of the embeddings of every chunk and every benchmark item."""
+    c = retrieval.slots(chunks(spark, d), "chunk_id", "text").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "slot", "c")
+    q = retrieval.slots(whole_items(spark, d), "query_id", "query").select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "slot", "c")
+    return c.unionByName(q).select("kind", "id", "slot", F.round(F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("kind", "id"))), 9).alias("value"))
+
+
+def _dense_and_lexical(spark, d):
+    c, q = chunks(spark, d), whole_items(spark, d)
+    return retrieval.hash_dense(q, c, 10), retrieval.bm25(q, c, 10)
+
+
+@query("r8_hybrid_lexical", _fused_sql("0.7 * score", "0.3 * score", 5).replace(_TWO, _LEXICAL))
+def r8_hybrid_lexical(spark, d):
+    return retrieval.hybrid(*_dense_and_lexical(spark, d), 5)
+
+
+@query("r10_fusion_rrf_lexical", _fused_sql("1.0 / (60 + rank)", "1.0 / (60 + rank)", 5).replace(_TWO, _LEXICAL))
+def r10_fusion_rrf_lexical(spark, d):
+    return retrieval.fusion(*_dense_and_lexical(spark, d), 5)
+
+
+@query("r11_ensemble_lexical", _fused_sql("2.0 / 3 * score", "1.0 / 3 * score", 5).replace(_TWO, _LEXICAL))
+def r11_ensemble_lexical(spark, d):
+    return retrieval.ensemble(list(_dense_and_lexical(spark, d)), 5, "weighted", [2.0, 1.0])
+
+
 _VARIANTS = f"""{ITEMS.replace("q AS", "q0 AS")},
 vr AS (SELECT query_id AS base, unnest([query, array_to_string(list_filter({TOKENS.format("query")}, lambda w: length(w) > 3), ' '), array_to_string(list_reverse({TOKENS.format("query")}), ' ')]) AS query, unnest([0, 1, 2]) AS variant_no FROM q0),
 vd AS (SELECT base, query, min(variant_no) AS variant_no FROM vr GROUP BY ALL),

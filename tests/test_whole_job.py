@@ -88,3 +88,24 @@ def test_every_chunk_has_a_window_and_some_budgets_bind(spark):
     assert got.count() == c.count() > QUERIES["r20_context_window"](spark, SMALL).count()
     full = F.least("chunk_index", F.lit(2)) + F.least(F.col("total_chunks") - 1 - F.col("chunk_index"), F.lit(2))
     assert got.join(c, "chunk_id").where(F.col("n_before") + F.col("n_after") < full).count() > 0
+
+
+def test_dense_hits_equal_whole_vectors(spark):
+    from millrace.functions.vectors import hash_embedding
+
+    texts = ["one two two three", "Two one", "", None, "four five", "one", "two two two"]
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "one two"), (2, "nowhere"), (3, "")], "query_id long, query string")
+    with_vector = lambda df, text: df.withColumn("vector", hash_embedding(F.col(text), 64))
+    want = retrieval.dense(with_vector(q, "query"), with_vector(c, "text"), 4)
+    got = retrieval.hash_dense(q, c, 4, 64)
+    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 7))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["r8_hybrid_lexical", "r10_fusion_rrf_lexical", "r11_ensemble_lexical"])
+def test_a_lexical_hit_reaches_the_fused_list(spark, tmp_path, name):
+    # case differs, so they share no slot with the query and only BM25 sees the match
+    texts = [f"filler number {i} says little" for i in range(30)] + ["SEVENTH WORDS ALONE"] * 12
+    d = write(spark, tmp_path, documents=documents(texts), benchmark=([(1, "seventh words alone")], "item_id long, text string"))
+    assert 30 * 100000 in {r["chunk_id"] for r in QUERIES[name](spark, d).collect()}
