@@ -447,9 +447,39 @@ def r16_raptor_collapsed(spark, d):
     return raptor.collapsed(hits, tree(spark, d), 10)
 
 
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary tree that clustering builds over all embeddings, whose texts are their names."""
+    leaves = vectors(spark, sf_dir).select(F.col("chunk_id").alias("node_id"), "chunk_id", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")).alias("text"), "vector")
+    return raptor.build(leaves).cache()
+
+
+@query("e4_raptor_build")
+def e4_raptor_build(spark, d):
+    return built(spark, d).select("node_id", "parent_id", "level", "chunk_id", "text")
+
+
+@query("a4_raptor_stats")
+def a4_raptor_stats(spark, d):
+    return raptor.stats(built(spark, d).withColumn("kb_id", F.lit("kb")))
+
+
+@query("r16_raptor_collapsed_built")
+def r16_raptor_collapsed_built(spark, d):
+    """Summaries are searched as nodes beside the leaves."""
+    nodes = built(spark, d)
+    hits = retrieval.dense(vector_queries(spark, d), nodes.select(F.col("node_id").alias("chunk_id"), "vector"), 10, exclude_self=True)
+    return raptor.collapsed(hits.withColumnRenamed("chunk_id", "node_id"), nodes, 10)
+
+
+@query("r18_leaf_search_built")
+def r18_leaf_search_built(spark, d):
+    nodes = built(spark, d)
+    return raptor.descendants(nodes, nodes.where("level > 0")).join(nodes.where("level = 0").select("node_id"), "node_id", "left_semi").select("root", "node_id")
+
+
 @query("r17_raptor_traversal")
 def r17_raptor_traversal(spark, d):
-    return raptor.traversal(vector_queries(spark, d), tree(spark, d), 5)
+    return raptor.traversal(vector_queries(spark, d), built(spark, d), 5)
 
 
 @query("r18_leaf_search", f"WITH RECURSIVE {_TREE}, r(root, node_id) AS (SELECT node_id, node_id FROM n WHERE level = 1 UNION SELECT r.root, n.node_id FROM r JOIN n ON n.parent_id = r.node_id) SELECT root, r.node_id FROM r JOIN n USING (node_id) WHERE level = 0")

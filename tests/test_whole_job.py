@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from millrace.operators import retrieval
+from millrace.operators import raptor, retrieval
 from millrace.plans.queries import QUERIES, chunks
 
 
@@ -109,3 +109,33 @@ def test_a_lexical_hit_reaches_the_fused_list(spark, tmp_path, name):
     texts = [f"filler number {i} says little" for i in range(30)] + ["SEVENTH WORDS ALONE"] * 12
     d = write(spark, tmp_path, documents=documents(texts), benchmark=([(1, "seventh words alone")], "item_id long, text string"))
     assert 30 * 100000 in {r["chunk_id"] for r in QUERIES[name](spark, d).collect()}
+
+
+def test_summaries_are_the_joined_texts_cut(spark):
+    rows = [(i, i % 3, None if i % 11 == 0 else "" if i % 7 == 0 else f"text {i} " * (i % 5)) for i in range(400)] + [(1000, 3, "long" * 100), (1001, 4, None)]
+    got = {r["parent_id"]: r["text"] for r in raptor.summaries(spark.createDataFrame(rows, "node_id long, parent_id long, text string"), 300, 8).collect()}
+    assert got == {p: "\n\n---\n\n".join(t for _, q, t in sorted(rows, key=lambda r: r[0]) if q == p and t is not None)[:300] for p in range(4)}
+
+
+def test_the_built_tree_is_searched_with_its_summaries(spark, tmp_path, monkeypatch):
+    from millrace.plans import queries
+
+    rows = [(i, [float(j == i % 3) * 5 + ((i * 7 + j * 3) % 10) / 10 for j in range(4)], i % 3) for i in range(120)]
+    d = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    tree = queries.built(spark, d)
+    monkeypatch.setattr(queries, "built", lambda *_: tree)
+    nodes = {r["node_id"]: r for r in QUERIES["e4_raptor_build"](spark, d).collect()}
+    assert {i for i, r in nodes.items() if r["level"] == 0} == set(range(120)) and max(r["level"] for r in nodes.values()) >= 1
+    stats = QUERIES["a4_raptor_stats"](spark, d).head()
+    assert (stats["total"], stats["leaves"]) == (len(nodes), 120)
+    under = {(up, i) for i in range(120) for up in ancestors(nodes, i)}
+    assert {tuple(r) for r in QUERIES["r18_leaf_search_built"](spark, d).select("root", "node_id").collect()} == under
+    assert {r["query_id"] for r in QUERIES["r17_raptor_traversal"](spark, d).collect()} == {0, 100}
+    hits = retrieval.dense(queries.vector_queries(spark, d), tree.select(F.col("node_id").alias("chunk_id"), "vector"), 10, exclude_self=True).collect()
+    assert len(QUERIES["r16_raptor_collapsed_built"](spark, d).collect()) == 20 and len(hits) == 20
+
+
+def ancestors(nodes, i):
+    while nodes[i]["parent_id"] is not None:
+        i = nodes[i]["parent_id"]
+        yield i
