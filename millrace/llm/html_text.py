@@ -29,10 +29,16 @@ from .url_filter import split_url
 
 BROADCAST_ROWS = 200_000
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S)
-_RAW = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|textarea|title|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD_END = re.compile(r"<head\b[^>]*>", re.I)
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+#: Elements whose content is no text of the page. Only a self-closed svg has none.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe textarea title svg".split()}
+_SVG = re.compile(rf"<(/?)svg(?=[\s/>]){_ATTRS}", re.I)
+#: What ends an svg that is never closed.
+_BREAKOUT = re.compile(r"</?(?:article|aside|blockquote|body|center|dd|div|dl|dt|em|footer|form|h[1-6]|header|hr|img|li|main|nav|ol|p|pre|section|span|strong|table|ul)(?=[\s/>])", re.I)
+#: What may stand in a head; anything else ends it, closed or not.
+_IN_HEAD = re.compile(rf"\s+|<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|title)(?=[\s/>]){_ATTRS}.*?(?:</\1\s*>|\Z)|</?(?:meta|link|base|basefont|bgsound|html)(?=[\s/>]){_ATTRS}|</(?!(?:head|body)[\s>])[a-z]{_ATTRS}", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source audio video track map area".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source audio video track map area object math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never main text, by tag; header is one unless it stands in the article.
 _FURNITURE = frozenset("nav footer aside form menu dialog button select option input fieldset".split())
@@ -61,13 +67,31 @@ def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where the content of a raw element that opens before ``at`` ends, its closing tag included."""
+    if tag == "head":
+        while m := _IN_HEAD.match(page, at):
+            at = m.end()
+        return at
+    if tag == "svg":
+        depth = 1
+        for m in _SVG.finditer(page, at):
+            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return m.end()
+    end = _RAW[tag].search(page, at)
+    if end is None and tag == "svg":
+        end = _BREAKOUT.search(page, at)
+        return end.start() if end else len(page)
+    return end.end() if end else len(page)
+
+
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it stands in an article or main element) of a page's blocks in order,
     without those of furniture. White space is one space; empty blocks are left out."""
     out: list[tuple[str, bool]] = []
     if not page:
         return out
-    page = _RAW.sub(" ", page) if "<" in page else page
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main
     buffer: list[str] = []
     skip = main = False
@@ -79,7 +103,10 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
             if text:
                 out.append((text, main))
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         tag = m[2]
         if tag is None:
             text = m[0]
@@ -90,20 +117,26 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         if tag == "br":
             buffer.append(" ")
             continue
+        if not m[1] and (tag in _RAW or tag == "head"):
+            if tag != "svg" or not m[3].endswith("/"):
+                at = _after_raw(page, tag, at)
+            if not skip:
+                buffer.append(" ")
+            continue
         plain = tag in _INLINE
         if not plain:
             flush()
         if m[1]:
             if any(x[0] == tag for x in stack):
-                at = max(i for i, x in enumerate(stack) if x[0] == tag)
-                if not all(x[0] in _INLINE for x in stack[at:]):
+                top = max(i for i, x in enumerate(stack) if x[0] == tag)
+                if not all(x[0] in _INLINE for x in stack[top:]):
                     flush()
-                del stack[at:]
+                del stack[top:]
         else:
             if tag in _CLOSES_P and any(x[0] == "p" for x in stack):
-                at = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if all(x[0] in _INLINE for x in stack[at + 1 :]):
-                    del stack[at:]
+                top = max(i for i, x in enumerate(stack) if x[0] == "p")
+                if all(x[0] in _INLINE for x in stack[top + 1 :]):
+                    del stack[top:]
             if tag in _SELF_CLOSING:
                 while stack and (stack[-1][0] in _SELF_CLOSING[tag] or stack[-1][0] in _INLINE or stack[-1][0] == "p") and any(x[0] in _SELF_CLOSING[tag] for x in stack[-4:]):
                     stack.pop()
@@ -161,26 +194,37 @@ def deletions(pages: DataFrame) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, run, last = TaskContext.get().partitionId(), 0, -1, None
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *batch.columns], names=["part", "pos", *batch.schema.names])
+            n, runs = batch.num_rows, []
+            for own in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                run, last = run + (own != last), own
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array(runs, pa.int64()), *batch.columns], names=["part", "pos", "run", *batch.schema.names])
             at += n
 
-    rows = written(ordered.mapInArrow(number, "part int, pos long, key long, host string, path string, marked boolean, lines array<long>"), "page-order")
-    parts = rows.groupBy("part").agg(F.max("pos").alias("last"))
-    parts = parts.select("part", "last", F.lead("part").over(Window.orderBy("part")).alias("next_part"))
-    step = rows.select("part", "pos", "key").join(parts, "part").select("part", "pos", F.when(F.col("pos") < F.col("last"), F.col("part")).otherwise(F.col("next_part")).alias("to_part"), F.when(F.col("pos") < F.col("last"), F.col("pos") + 1).otherwise(F.lit(0)).alias("to_pos")).where("to_part is not null")
-    near = step.select("part", "pos", F.col("to_part").alias("n_part"), F.col("to_pos").alias("n_pos")).unionByName(step.select(F.col("to_part").alias("part"), F.col("to_pos").alias("pos"), F.col("part").alias("n_part"), F.col("pos").alias("n_pos")))
-    other = rows.select(F.col("part").alias("n_part"), F.col("pos").alias("n_pos"), F.col("host").alias("n_host"), F.col("path").alias("n_path"), F.col("key").alias("n_key"), F.col("lines").alias("n_lines"))
-    both = rows.where("not marked and size(lines) > 0").join(near, ["part", "pos"]).join(other, ["n_part", "n_pos"]).where("host = n_host and key <> n_key")
+    rows = written(ordered.mapInArrow(number, "part int, pos long, run long, key long, host string, path string, marked boolean, lines array<long>"), "page-order")
+    # runs of copies count through all parts; one that goes on into the next part stays one
+    place, copy = F.struct("part", "pos"), F.xxhash64("host", "lines")
+    in_order = Window.orderBy("part")
+    parts = rows.groupBy("part").agg(F.max("run").alias("runs"), F.min_by(copy, "pos").alias("first"), F.max_by(copy, "pos").alias("last"))
+    parts = parts.withColumn("goes_on", F.coalesce(F.col("first") == F.lag("last").over(in_order), F.lit(False)).cast("long"))
+    base = parts.select("part", (F.sum(F.col("runs") + 1 - F.col("goes_on")).over(in_order) - F.col("runs") - 1).alias("base"))
+    rows = rows.join(F.broadcast(base), "part").withColumn("run", F.col("run") + F.col("base"))
+    page = F.struct("host", "path", "key", "lines")
+    ends = rows.groupBy("run").agg(F.min_by(page, place).alias("first"), F.max_by(page, place).alias("last"))
+    near = ends.select((F.col("run") + 1).alias("run"), F.col("last").alias("n")).unionByName(ends.select((F.col("run") - 1).alias("run"), F.col("first").alias("n")))
+    near = near.select("run", F.col("n.host").alias("n_host"), F.col("n.path").alias("n_path"), F.col("n.lines").alias("n_lines"))
+    both = rows.where("not marked and size(lines) > 0").join(near, "run").where("host = n_host")
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, gone, far = [], [], []
         for r in batch.to_pylist():
-            key.append(r["key"])
             lost = shared_lines(r["lines"], r["n_lines"])
-            gone.append([] if len(lost) == len(r["lines"]) else lost)  # a copy tells nothing
+            if len(lost) == len(r["lines"]):  # it tells nothing
+                continue
+            key.append(r["key"])
+            gone.append(lost)
             far.append(_common_prefix(r["path"], r["n_path"]))
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(far, pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "near", "gone"])
 
@@ -191,8 +235,8 @@ def deletions(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text (blocks joined by an empty line), n_chars.
 
-    Null and empty html give an empty text. A page's neighbour is never its exact copy, and
-    a neighbour that shares every line deletes none. Pages without ``://`` in their url form
+    Null and empty html give an empty text. A page's neighbours are the next pages with other
+    lines than its own, past any copies; one that shares every line counts for nothing. Pages without ``://`` in their url form
     a host of their own. Repeated rows each get the text. An empty table gives no rows.
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.xxhash64(F.col(url), F.col(html)).alias("key"))
