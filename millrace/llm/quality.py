@@ -6,9 +6,9 @@ language, length). Starting from the labelled rows, each round fits both, and ea
 the other the unlabelled documents it is most sure of, as pseudo-labels. Both are then
 calibrated on labelled rows they were not fitted on, and their log-odds are added.
 
-Fitting uses at most ``max_labelled`` labelled and ``max_unlabelled`` other documents,
-chosen by a hash of their ids; only their features reach the driver. Scoring is one pass
-over all documents, without a shuffle.
+Fitting uses at most ``max_labelled`` labelled documents, chosen by a hash of their ids, and
+scores all others each round; only the features of labelled and pseudo-labelled documents
+reach the driver. Scoring is one pass over all documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -206,17 +206,8 @@ def _wanted(docs: DataFrame, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_unlabelled: int = 4000, rounds: int = 3, doc_id: str = "doc_id", label: str = "quality") -> CoTrained:
-    """Fit on bounded samples. A document labelled several times counts by its mean label,
-    ties as good; null labels and ids drop out; labels of documents that are not there, too."""
-    order = lambda c: (F.xxhash64(F.col(c).cast("string")), F.col(c))
-    mean = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    wanted = _wanted(docs, doc_id)
-    there = wanted.select("doc_id").distinct()
-    known = mean.join(there, "doc_id", "left_semi").orderBy(*order("doc_id")).limit(max_labelled)
-    rest = there.where("doc_id is not null").join(mean, "doc_id", "left_anti").orderBy(*order("doc_id")).limit(max_unlabelled).withColumn("y", F.lit(-1))
-    sample = docs.sparkSession.createDataFrame([tuple(r) for r in known.unionByName(rest).collect()], "doc_id long, y int")
-    rows = wanted.join(F.broadcast(sample), "doc_id")
+def _collected(wanted: DataFrame, sample: DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and both views' features of the documents that a small (doc_id, y) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +217,71 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_unlabe
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y"), pack(text), pack(meta)], names=["doc_id", "y", "text", "meta"])
 
     # documents repeated under one id are repeated here; one row each keeps the sample bounded
-    got = rows.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, y int, text binary, meta binary").toPandas().sort_values("doc_id")
-    if not len(got):
-        return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
-    unpack = lambda c: np.stack([np.frombuffer(b, np.float32) for b in got[c]])
-    return co_train(unpack("text"), unpack("meta"), got["y"].to_numpy(), rounds)
+    rows = wanted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    got = rows.mapInArrow(run, "doc_id long, y int, text binary, meta binary").toPandas().sort_values("doc_id")
+    unpack = lambda c: np.stack([np.frombuffer(b, np.float32) for b in got[c]]) if len(got) else np.zeros((0, 1), np.float32)
+    return got["doc_id"].tolist(), got["y"].to_numpy(), unpack("text"), unpack("meta")
+
+
+def _surest(wanted: DataFrame, known: DataFrame, used: DataFrame, model: CoTrained, many: tuple[int, int], sure: float) -> list:
+    """(doc_id, view, y) of the unlabelled documents that each view is most sure of: at most
+    ``many[y]`` of each class from each source (as the metadata view tells sources apart).
+
+    All documents are scored; only ids and probabilities of sure ones are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2048, 1 << 19):
+                text, meta = _features(part)
+                origin, ids = meta[:, :SOURCES].argmax(1).astype(np.int32), part.column("doc_id").cast(pa.int64())
+                for view, p in enumerate(model.score(text, meta)[:2]):
+                    at = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+                    y = (p[at] >= sure).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(origin[at]), pa.array(np.full(len(at), view, np.int32)), pa.array(y), pa.array(np.abs(p[at] - 0.5))], names=["doc_id", "origin", "view", "y", "far"])
+
+    found = wanted.where("doc_id is not null").mapInArrow(run, "doc_id long, origin int, view int, y int, far double")
+    free = found.join(known, "doc_id", "left_anti").join(F.broadcast(used), "doc_id", "left_anti")
+    order = Window.partitionBy("origin", "view", "y").orderBy(F.desc("far"), F.xxhash64("doc_id"), "doc_id")
+    best = free.withColumn("no", F.row_number().over(order)).where(F.col("no") <= F.when(F.col("y") == 1, many[1]).otherwise(many[0]))
+    return best.select("view", "y", "origin", "no", "doc_id").orderBy("view", F.desc("y"), "origin", "no").collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: int = 3, doc_id: str = "doc_id", label: str = "quality", each: int = 10, sure: float = 0.95) -> CoTrained:
+    """Fit on a bounded sample of labelled documents and pseudo-labels for any of the others.
+
+    Each round scores all unlabelled documents, and each view hands the other the ``each`` of
+    every source that it is most sure of. A document labelled several times counts by its mean
+    label, ties as good; null labels and ids drop out; labels of documents not there, too."""
+    mean = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    wanted, spark = _wanted(docs, doc_id), docs.sparkSession
+    known = mean.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled)
+    sample = lambda rows: spark.createDataFrame(rows, "doc_id long, y int")
+    _, y, *features = _collected(wanted, sample([tuple(r) for r in known.collect()]))
+    views = dict(zip(("text", "meta"), features, strict=True))
+    held = np.arange(len(y))[::4]
+    fitted = np.setdiff1d(np.arange(len(y)), held)
+    if len(set(y[fitted])) < 2 or len(set(y[held])) < 2:
+        return co_train(*features, y)
+    given = {v: (x[fitted], y[fitted]) for v, x in views.items()}
+    share, used = (y.sum() + 1) / (len(y) + 2), []
+    for round_no in range(rounds + 1):
+        fits = {v: Logistic.fit(x, t.astype(np.float64)) for v, (x, t) in given.items()}
+        fixes = [_calibrate(fits[v].log_odds(x[held]), y[held]) for v, x in views.items()]
+        model = CoTrained(fits["text"], fits["meta"], *fixes, float(np.log(share / (1 - share))))
+        if round_no == rounds:
+            break
+        chosen: dict[int, tuple[int, int]] = {}
+        for r in _surest(wanted, mean.select("doc_id"), sample([(i, 0) for i in used]).select("doc_id"), model, (max(1, int(each * (1 - share))), max(1, int(each * share))), sure):
+            chosen.setdefault(r["doc_id"], (r["view"], r["y"]))
+        if not chosen:
+            break
+        used += list(chosen)
+        ids, new, *more = _collected(wanted, sample([(i, t) for i, (_, t) in chosen.items()]))
+        by = np.array([chosen[i][0] for i in ids])
+        for to, (v, x) in enumerate(zip(("text", "meta"), more, strict=True)):
+            taught = by != to
+            given[v] = (np.vstack([given[v][0], x[taught]]), np.r_[given[v][1], new[taught]])
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, doc_id: str = "doc_id") -> DataFrame:
