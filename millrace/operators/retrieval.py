@@ -40,15 +40,15 @@ def every_pair(queries: DataFrame, chunks: DataFrame, most: int = BROADCAST_QUER
 
 
 @operator("retriever", "dense", "llama_dense")
-def dense(queries: DataFrame, chunks: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine top-k. Vectors of unequal length or without length score nothing."""
+def dense(queries: DataFrame, chunks: DataFrame, k: int = 5, exclude_self: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Exact cosine top-k, of each ``by`` (columns of chunks) if given. Vectors of unequal length or without length score nothing."""
     q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"))
-    c = chunks.select("chunk_id", F.col("vector").alias("_c"), norm(F.col("vector")).alias("_nc")).where("_nc > 0")
+    c = chunks.select("chunk_id", *by, F.col("vector").alias("_c"), norm(F.col("vector")).alias("_nc")).where("_nc > 0")
     pairs = every_pair(q.where("_nq > 0"), c).where(F.size("_q") == F.size("_c"))
     if exclude_self:
         pairs = pairs.where("query_id <> chunk_id")
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("_q"), F.col("_c")) / (F.col("_nq") * F.col("_nc")), 9).alias("score"))
-    return top_k(scored, k)
+    scored = pairs.select("query_id", "chunk_id", *by, F.round(dot(F.col("_q"), F.col("_c")) / (F.col("_nq") * F.col("_nc")), 9).alias("score"))
+    return top_k(scored, k, by=("query_id", *by))
 
 
 def slots(texts: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:

@@ -253,8 +253,7 @@ def r1_dense(spark, d):
 @query("r2_dense_per_kb", f"""WITH {DENSE}, k AS (SELECT dense.*, label AS kb_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, chunk_id) AS r FROM dense JOIN embeddings ON vec_id = chunk_id)
 SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k WHERE r <= 2) WHERE rank <= 8""")
 def r2_dense_per_kb(spark, d):
-    everything = retrieval.dense(vector_queries(spark, d), vectors(spark, d), 1 << 30, exclude_self=True).drop("rank")
-    per_kb = retrieval.top_k(everything.join(vectors(spark, d).select("chunk_id", "kb_id"), "chunk_id"), 2, by=("query_id", "kb_id")).drop("rank")
+    per_kb = retrieval.dense(vector_queries(spark, d), vectors(spark, d), 2, exclude_self=True, by=("kb_id",)).drop("rank")
     return retrieval.top_k(per_kb, 8).select("query_id", "chunk_id", "score", "rank")
 
 

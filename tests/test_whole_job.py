@@ -191,3 +191,7 @@ def test_every_source_gives_pseudo_labels(spark):
         quality._surest = real
     assert any(r["doc_id"] >= 9000 for r in taken) and all(r["doc_id"] >= 200 for r in taken)
     assert all(r["y"] == r["doc_id"] // 3 % 2 for r in taken if r["view"] == 0)
+
+
+def test_no_rank_of_every_vector(spark):
+    assert "1073741824" not in QUERIES["r2_dense_per_kb"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
