@@ -11,48 +11,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, mixing, packing, quality
-from millrace.llm.common import read, written
+from millrace.llm.common import read, small, written
 
 #: Near duplicates share 0.8 of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
-BROADCAST_ROWS = 1_000_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (fitted on the labels and these documents) doesn't reject."""
+    """Documents that the classifier (fitted on the labels and these documents) doesn't reject.
+
+    Rows are judged one by one: null, empty and very long texts are scored like any other,
+    repeated rows alike; an empty table stays empty. Other columns of any name are kept."""
     return quality.kept(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least doc_id, in one row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, id, hash): whole rows as one column, so that no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("hash"))
+
 
-    Documents without words are near nothing and stay. Rows of one doc_id are told apart by
-    their text only if it differs; rows with a null id stay if no other names their group."""
-    found = written(jaccard_join.jaccard_components(docs, SHINGLE, PERCENT), "groups")
-    gone = found.where("not doc_id <=> component_id").select("doc_id").distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    n = repeated.count()
-    if n:
-        twice = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
-        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
-    return left
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: that of the least doc_id, nulls last.
+
+    Rows are told apart by doc_id and text: rows of one id with unrelated texts are documents of
+    their own, a null id with the text of another is its copy, and of equal rows one stays.
+    Documents without words are near nothing, and all stay. Long texts count whole. An empty
+    table stays empty. Other columns of any name are kept."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = written(jaccard_join.shingled(slim, SHINGLE), "sets")
+    found = written(jaccard_join.set_components(sets, slim, SHINGLE, PERCENT).where("n_shingles > 0").select("root", "doc_id", "text_hash"), "groups")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("stays"))
+    rows = found.join(stays, "root").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))).alias("stays"))
+    rows = written(rows.groupBy("k_id", "k_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("times")), "duplicates")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+    left = _keyed(docs).join(small(rows.where("not stays")), same, "left_anti")
+    repeated = small(written(rows.where("stays and times > 1").select("k_id", "k_hash"), "repeated"))
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["id", "hash"])
+    return left.join(repeated, same, "left_anti").unionByName(once).select("doc.*").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: sources weigh 1, 2, 3, repeating, at most 3 times each."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    taken = written(taken, "copies")
-    few = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-    # whole rows travel as one column, so no name of theirs can clash
-    a, b = docs.select("doc_id", "source", F.struct("*").alias("doc")).alias("a"), few.alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")))
-    copies = both.select("a.doc", F.explode(F.sequence(F.lit(1), F.col("b.copies").cast("int"))).alias("copy"))
-    return copies.select("doc.*").select(docs.columns)
+    """Documents as often as the mix takes them: sources weigh 1, 2, 3, repeating, at most 3 times each.
+
+    Texts without words are taken 0 times, a null source is a source. Rows equal in doc_id,
+    source and text are one document: what the mix takes of them is dealt evenly, the
+    remainder to one of them. An empty table stays empty. Other columns of any name are kept."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("text_hash").alias("k_hash")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("times"))
+    taken = small(written(taken.where("copies > 0"), "copies"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & F.col("doc.source").eqNullSafe(F.col("k_source")) & (F.col("hash") == F.col("k_hash"))
+    both = _keyed(docs).join(taken, same)
+    often = both.select("doc", F.floor(F.col("copies") / F.col("times")).cast("int").alias("n"))
+    rest = both.where("copies % times > 0").dropDuplicates(["k_id", "k_source", "k_hash"]).select("doc", (F.col("copies") % F.col("times")).alias("n"))
+    return often.unionByName(rest).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("doc.*").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
+    """Pieces of all documents, packed into sequences of at most 1024 tokens.
+
+    Null and empty texts pack as their end token; a document taken twice packs twice. An
+    empty table gives no rows. Other columns are ignored."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)

@@ -38,6 +38,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many rows, of a few numbers each, is sent to every task.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if a count shows it small."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,30 +1,33 @@
 """Exact n-gram Jaccard join of all documents by a token-group matrix.
 
-Documents with one shingle set are one set. Similar sets form groups, the matrix holds the
-token union of each group, and a set opens a group only if its overlap with that union can
-reach the threshold.
-
-*Tokens.* The space of shingle hashes is cut into m equal segments; a token is a segment
-together with all shingles that a set has in it. Two sets whose difference (shingles in one
-only) is at most d have at least m - d tokens in common. m depends on a size level, and a
-set near the top of its level also has the tokens of the next, so any two sets that can
-be similar meet in the level of the larger. m is d + 1 + spare: a set may leave out its
-``spare`` most common tokens when it looks for groups, and none is lost.
-
-*Groups.* Each token that several sets have names two of them its hubs. A set is compared
-with the hub that most of its tokens name; similar sets are one group from then on. This
-is repeated with other hubs. Tokens that one group has, and sets with too few tokens left,
-drop out after each round, which loses nothing: similar sets of different groups share m - d
-tokens that both groups have.
-
-*Matrix.* What is left is put in groups of similar sets (those whose tokens mostly name one
-hub), of bounded size. The matrix holds (token, group). A set looks up its less common
-tokens, which gives it candidate groups; the overlap with each candidate's token union is
-counted over all tokens and bounded by m - d; groups that qualify are opened, and the
-shingles of their sets compared.
-
-Skew: hubs and matrix are aggregates with partial sums before their shuffles, a token that
-a third of all sets share joins through a skew join, and copies never pair with each other.
+Documents with one shingle set are one set. Sets that can have a similar set are found
+first; similar ones form groups around a hub, a matrix holds the token union of each group,
+and a set opens a group only if its overlap with that union can reach the threshold.
+
+*Candidates.* The space of shingle hashes is cut into m equal segments; a segment together
+with all shingles that a set has in it is a coarse token. Two sets whose difference (shingles
+in one only) is at most d have at least m - d of these in common. m depends on a size level,
+and a set near the top of its level also has the tokens of the next, so any two sets that
+can be similar meet in the level of the larger. Sets with too few shared tokens drop out.
+From here on the shingles themselves are the tokens, of the sets that are left only. A set
+stays while enough of its shingles for the threshold are in sets of other components.
+
+*Groups.* Each token names as its hub the set that holds the most widely held tokens, so the
+centre of a family of edited copies is named by all of them. A set is compared with the hub
+that most of its tokens name, then with the one that its rarest tokens name; similar sets
+are one component from then on. What is left is grouped by hub. The matrix holds (token,
+group). A set looks its rarest tokens up, which gives it candidate groups; the overlap with
+each candidate's union is counted over all tokens, and groups that qualify are opened.
+
+*Opened groups.* In an opened group sets are described by how they differ from its hub H:
+with D(S) the shingles in one of S and H only, |S xor T| = |D(S)| + |D(T)| - 2 |D(S) & D(T)|.
+Two sets near H are joined by it. If one is far from H and the two are similar, their
+differences have much in common, which copies that were edited independently never have. So
+only sets with enough common differences are paired, by their rarest ones, and compared.
+
+Skew: every step before the exact comparison is an aggregate with partial sums or a join
+on (group, token), so a family of a third of all sets is dealt by its tokens; a token that a
+third of all sets share is never among the rarest; copies never pair with each other.
 """
 
 from __future__ import annotations
@@ -33,19 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import slices, small, written
 from .components import merge
 from .shingles import Sets, mix, shingle_sets, sums_by_run
 
 _U = np.uint64
 LEVELS = 64
-BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 3
-#: A group of similar sets holds about so many shingles; a larger set is a group of its own.
-GROUP_SHINGLES = 1 << 15
+#: How a set's tokens choose among the hubs they name: most tokens, then rarest tokens.
+CHOICES = ("many", "rare")
+HUB_ROUNDS = len(CHOICES)
 _SLICE = 1 << 19
 
 
@@ -86,12 +88,6 @@ class Scheme:
         largest = F.least(F.floor(F.col("n") * 100 / self.percent).cast("long"), self.lookup(self.top, level))
         return self.lookup(self.segments, level) - F.floor((100 - self.percent) * (F.col("n") + largest) / (100 + self.percent))
 
-    def may_be_similar(self, n: str, other: str, shared: str) -> F.Column:
-        """Whether sets of two sizes that share so many tokens in ``level`` can be similar."""
-        a, b = F.col(n), F.col(other)
-        enough = F.col(shared) >= self.lookup(self.segments, F.col("level")) - F.floor((100 - self.percent) * (a + b) / (100 + self.percent))
-        return enough & (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
-
     def lookup(self, values: np.ndarray, level: F.Column) -> F.Column:
         return F.element_at(F.array(*(F.lit(int(v)) for v in values)), (level + 1).cast("int"))
 
@@ -128,19 +124,7 @@ def tokens(s: Sets, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows_out), np.concatenate(tokens_out)
 
 
-def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, set_id, n_shingles) of every document of (doc_id, text)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = shingle_sets(batch.column(1), size)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(s)), pa.array(s.count.astype(np.int64))], names=["doc_id", "set_id", "n_shingles"])
-
-    return _sliced(docs, run, "doc_id long, set_id long, n_shingles long")
-
-
 def _sliced(docs: DataFrame, f, schema: str) -> DataFrame:
-    from .common import slices
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096, _SLICE):
@@ -149,6 +133,16 @@ def _sliced(docs: DataFrame, f, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, set_id, n_shingles, text_hash) of every document of (doc_id, text)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = shingle_sets(batch.column(1), size)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(s)), pa.array(s.count.astype(np.int64)), batch.column(2)], names=["doc_id", "set_id", "n_shingles", "text_hash"])
+
+    return _sliced(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, set_id long, n_shingles long, text_hash long")
+
+
 def token_rows(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     """(token, set_id, n) of every document; exact copies repeat their rows."""
 
@@ -160,24 +154,21 @@ def token_rows(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     return _sliced(docs.select("text"), run, "token long, set_id long, n int")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the (a, b) whose texts' shingle sets reach the threshold, by exact counts."""
-    a, b = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+def shingle_arrays(docs: DataFrame, sets: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(set_id, n, shingles) of the sets that ``ids`` (set_id) names, in one row each.
+
+    One text of each set is looked up by its hash; the set is computed from the text again,
+    so neither ids of documents nor equal hashes of texts can mix sets up."""
+    wanted = written(sets.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("text_hash")), "candidates")
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(small(wanted.select("text_hash").distinct()), "text_hash", "left_semi").select("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = shingle_sets(batch.column(2), size), shingle_sets(batch.column(3), size)
-        rows = batch.num_rows
-        h, doc = np.concatenate([x.hash, y.hash]), np.concatenate([x.doc, y.doc])
-        order = np.argsort(h)
-        order = order[np.argsort(doc[order], kind="stable")]
-        h, doc = h[order], doc[order]
-        same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        shared = np.bincount(doc[1:][same], minlength=rows)
-        keep = 100 * shared >= percent * (x.count + y.count - shared)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        s = shingle_sets(batch.column(0), size)
+        ends = pa.array(np.cumsum(np.r_[0, s.count]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(set_ids(s)), pa.array(s.count.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(s.hash.view(np.int64)))], names=["set_id", "n", "shingles"])
 
-    return _sliced(both, run, "a long, b long")
+    arrays = _sliced(texts, run, "set_id long, n int, shingles array<long>")
+    return written(arrays.join(small(wanted.select("set_id")), "set_id", "left_semi").dropDuplicates(["set_id"]), "shingles")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,179 +178,157 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     ``size``-word shingles (words: runs of anything but ASCII white space, A-Z lower-cased;
     fewer words than ``size`` are one shingle). Null, empty and blank texts have an empty
     set, no link, and are their own component. Repeated rows are copies of each other; rows
-    with a null id take part and can't name a component. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    scheme = Scheme(percent)
+    with a null id and rows of one id with different texts take part like any other, but a
+    null can't name a component. Whole texts count, however long. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
+
+    Shingles are told apart by 64-bit hashes, sets by 63-bit sums of them and their size."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = written(shingled(docs, size), "sets")
-    labels = _links(docs, sets, size, scheme)
+    return set_components(written(shingled(docs, size), "sets"), docs, size, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def set_components(sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``sets`` (of :func:`shingled`) with root (a set_id that names the component; null for an
+    empty set) and component_id (its least doc_id; null if it has none, or for an empty set)."""
+    labels = _links(docs, sets, size, Scheme(percent))
     # a set's component is named by the least document of all its sets
     named = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     if labels is not None:
         named = named.join(labels, "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
         by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = written(named.join(by_root, "root").select("set_id", "component_id"), "components")
+        named = written(named.join(by_root, "root").select("set_id", "root", "component_id"), "components")
     else:
-        named = named.withColumnRenamed("least", "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = named.select("set_id", F.col("set_id").alias("root"), F.col("least").alias("component_id"))
+    return sets.join(named, "set_id", "left")
 
 
 def _links(docs: DataFrame, sets: DataFrame, size: int, scheme: Scheme) -> DataFrame | None:
     """(set_id, root) of all sets that may have links; None if there are none."""
-    rows = token_rows(docs, size, scheme)
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
-    found = written(rows.join(shared.hint("shuffle_hash"), "token").distinct(), "shared-tokens")
-    found = _promising(_promising(found.withColumn("root", F.col("set_id")), scheme), scheme)
-    if found.isEmpty():
-        return None
-
-    # texts of these sets, one document each
-    ids = written(found.select("set_id").distinct().join(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id"), "candidates")
-    few = ids.count() <= BROADCAST_IDS
-    texts = written(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
-    labels = ids.select(F.col("set_id").alias("id"), F.col("set_id").alias("root"))
-
-    for step in range(HUB_ROUNDS + 1):
-        if step < HUB_ROUNDS:
-            pairs = _hub_pairs(found, scheme, step)
-            links = pairs and _similar(pairs, texts, size, scheme.percent)
-        else:
-            links = _matrix_links(found, texts, size, scheme)
-        if links is None:
-            break
-        links = written(links, "links")
-        if links.isEmpty():
-            continue
-        ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
-        between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)
-        labels = written(labels.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root")), "labels")
-        if step < HUB_ROUNDS:
-            found = _promising(found.drop("root").join(labels.select(F.col("id").alias("set_id"), "root"), "set_id"), scheme)
-    return labels.select(F.col("id").alias("set_id"), "root")
+    coarse = token_rows(docs, size, scheme)
+    shared = coarse.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
+    found = written(coarse.join(shared.hint("shuffle_hash"), "token").distinct(), "shared-tokens")
+    ids = _promising(_promising(found, scheme), scheme).select("set_id").distinct()
+    arrays = shingle_arrays(docs, sets, ids, size)
+    labels = arrays.select("set_id", F.col("set_id").alias("root"))
+    rows = _overlapping(arrays.select(F.explode("shingles").alias("token"), "set_id", "n", F.col("set_id").alias("root")), scheme.percent)
+    for choice in CHOICES[:HUB_ROUNDS]:
+        if rows.isEmpty():
+            return labels
+        labels = _joined(labels, similar(_named_hubs(rows, choice), arrays, scheme.percent))
+        rows = _overlapping(rows.drop("root").join(labels, "set_id"), scheme.percent)
+    if rows.isEmpty():
+        return labels
+    return _joined(labels, _links_in_groups(rows, arrays, labels, scheme.percent))
 
 
-def _promising(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """The (token, set_id, n, root) that may still find a set of another group.
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (set_id, root) after the components that links (a, b) join are one."""
+    links = written(links, "links")
+    ends = [labels.select(F.col("set_id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)
+    return written(labels.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("set_id", F.col("top").alias("root")), "labels")
 
-    Similar sets share at least m - d tokens, and each of those has both their groups. So a
-    token of one group goes, and then a set goes with fewer tokens left than that in its
-    level, and then again the tokens of one group."""
 
-    def of_several(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        return rows.join(several, "token", "left_semi")
+def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Those of the (a, b) whose shingle sets reach the threshold, by exact counts."""
+    ends = [arrays.select(F.col("set_id").alias(x), F.col("shingles").alias(f"in_{x}")) for x in ("a", "b")]
+    both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").withColumn("shared", F.size(F.array_intersect("in_a", "in_b")))
+    return both.where(100 * F.col("shared") >= percent * (F.size("in_a") + F.size("in_b") - F.col("shared"))).select("a", "b")
 
-    rows = written(of_several(rows).withColumn("level", _level()), "open-tokens")
-    enough = rows.groupBy("set_id", "level", "n").agg(F.count("*").alias("c")).where(F.col("c") >= scheme.least_shared()).select("set_id", "level")
-    return written(of_several(rows.join(enough, ["set_id", "level"], "left_semi")).select("token", "set_id", "n", "root"), "promising")
 
+def _promising(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """The (token, set_id, n) of coarse tokens of sets that share enough of them with others.
 
-def _level() -> F.Column:
-    return F.col("token").bitwiseAND(F.lit(LEVELS - 1))
-
+    Similar sets share at least m - d tokens in a level. So a token of one set goes, and then a
+    set goes with fewer tokens left than that in its level."""
+    several = rows.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
+    left = written(rows.join(several, "token", "left_semi").withColumn("level", F.col("token").bitwiseAND(F.lit(LEVELS - 1))), "open-tokens")
+    enough = left.groupBy("set_id", "level", "n").agg(F.count("*").alias("c")).where(F.col("c") >= scheme.least_shared()).select("set_id", "level")
+    return left.join(enough, ["set_id", "level"], "left_semi").select("token", "set_id", "n")
 
-def _hub_pairs(rows: DataFrame, scheme: Scheme, step: int) -> DataFrame | None:
-    """(a, b): each set and the hub of another group that most of its tokens name.
 
-    A token names the first and the last of its sets in an order that changes with ``step``
-    (ids combined with a fixed number). Pairs that the counts show to share too little are
-    left out; what a hub misses, the matrix finds."""
-    if rows.isEmpty():
-        return None
-    turn = F.lit(int(mix(np.array([step + 1], _U))[0] >> _U(1)))
-    key = F.col("set_id").bitwiseXOR(turn)
-    hubs = rows.groupBy("token").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    named = rows.join(hubs, "token").withColumn("level", _level()).select("set_id", "n", "root", "level", F.explode(F.array(F.col("lo").bitwiseXOR(turn), F.col("hi").bitwiseXOR(turn))).alias("b"))
-    named = named.where("b <> set_id").groupBy("set_id", "n", "root", "level", "b").agg(F.count("*").alias("c")).where(F.col("c") >= scheme.least_shared())
-    other = rows.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).distinct()
-    pairs = named.join(other, "b").where((F.col("root") != F.col("root_b")) & scheme.may_be_similar("n", "n_b", "c"))
-    return pairs.groupBy(F.col("set_id").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
-
-
-def _matrix_links(rows: DataFrame, texts: DataFrame, size: int, scheme: Scheme) -> DataFrame | None:
-    """Links (a, b) between sets of different groups of links that complete them, or None.
-
-    Sets are put in groups of similar sets: those whose tokens mostly name one hub, cut into
-    parts of bounded shingles. A set looks its less common tokens up in the matrix (token,
-    group); groups with which it has enough tokens in common are opened: all sets of both
-    groups are compared, a pair of groups at a time, and only links that join sets not yet
-    joined are given out."""
-    if rows.isEmpty():
-        return None
-    rows = rows.withColumn("level", _level())
-    first = rows.groupBy("token").agg(F.min("set_id").alias("hub"))
-    named = rows.join(first, "token").groupBy("set_id", "level", "hub").agg(F.count("*").alias("c"))
-    hubs = named.groupBy("set_id", "level").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    parts = hubs.groupBy("level", "hub").agg(F.count("*").alias("members"))
-    n_parts = F.ceil(F.col("members") * scheme.lookup(scheme.top, F.col("level")) / GROUP_SHINGLES)
-    group = F.xxhash64("level", "hub", F.pmod(F.xxhash64("set_id"), n_parts))
-    member = written(hubs.join(parts, ["level", "hub"]).select("set_id", "level", group.alias("grp")), "groups")
-    rows = written(rows.join(member, ["set_id", "level"]), "matrix-rows")
-    matrix = written(rows.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "matrix")
+def _overlapping(rows: DataFrame, percent: int, times: int = 2) -> DataFrame:
+    """The (token, set_id, n, root) of sets that may be similar to one of another component.
 
+    Similar sets have ``percent`` of the shingles of either in common, each of which has both
+    their components. So tokens of one component go, then sets with fewer left than that."""
+    for _ in range(times):
+        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        left = written(rows.join(several, "token", "left_semi"), "open-shingles")
+        enough = left.groupBy("set_id", "n").agg(F.count("*").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("set_id")
+        rows = left.join(enough, "set_id", "left_semi")
+    return written(rows.select("token", "set_id", "n", "root"), "overlapping")
+
+
+def _hub_counts(rows: DataFrame, weight: Column) -> DataFrame:
+    """(set_id, root, hub, hub_root, c): the hubs that a set's tokens name, and their sums of
+    ``weight``, of a token's number ``k`` of sets. A token names, of its sets, the one whose
+    tokens are the most widely held on average."""
+    k = rows.groupBy("token").agg(F.count("*").alias("k"))
+    of_set = Window.partitionBy("set_id")
+    held = written(rows.join(k, "token").withColumn("held", F.sum("k").over(of_set) / F.col("n")), "held-tokens")
+    hubs = held.groupBy("token").agg(F.max_by(F.struct("set_id", "root"), F.struct("held", "set_id")).alias("hub"))
+    named = held.join(hubs, "token").select("set_id", "root", F.col("hub.set_id").alias("hub"), F.col("hub.root").alias("hub_root"), weight.alias("w"))
+    return named.groupBy("set_id", "root", "hub", "hub_root").agg(F.sum("w").alias("c"))
+
+
+def _named_hubs(rows: DataFrame, choice: str) -> DataFrame:
+    """(a, b): each set and a hub of another component that its tokens name."""
+    counts = _hub_counts(rows, F.lit(1.0) if choice == "many" else 1.0 / F.col("k")).where("root <> hub_root")
+    return counts.groupBy(F.col("set_id").alias("a")).agg(F.max_by("hub", F.struct("c", "hub")).alias("b"))
+
+
+def _links_in_groups(rows: DataFrame, arrays: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all components of ``rows`` that similar sets join."""
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    home = _hub_counts(rows, F.lit(1)).groupBy("set_id").agg(F.max_by("hub", F.struct("c", "hub")).alias("grp"))
+    home = written(home, "groups")
+    rows = written(rows.join(home, "set_id"), "matrix-rows")
+    matrix = written(rows.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "matrix").withColumnRenamed("grp", "other")
+
+    # of the tokens shared with a similar set at least one is among these
     k = matrix.groupBy("token").agg(F.count("*").alias("k"))
-    by_k = Window.partitionBy("set_id", "level").orderBy(F.desc("k"), "token")
-    cool = rows.join(k, "token").withColumn("nth", F.row_number().over(by_k)).where(F.col("nth") > scheme.lookup(scheme.spare, F.col("level")))
-    m = matrix.select("token", F.col("grp").alias("other"), "lo", "hi")
-    # at most ``spare`` of the tokens shared with a similar set are among those left out
-    enough = F.col("c") >= F.greatest(F.lit(1), scheme.least_shared() - scheme.lookup(scheme.spare, F.col("level")))
-    found = cool.join(m, "token").where("grp <= other").groupBy("set_id", "level", "n", "root", "other").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    candidates = found.where(enough & F.expr("lo <> root or hi <> root")).select("set_id", "level", "other")
-    overlap = candidates.join(rows.select("set_id", "level", "token", "n", "grp"), ["set_id", "level"]).join(matrix.select("token", F.col("grp").alias("other")), ["token", "other"])
-    overlap = overlap.groupBy("set_id", "level", "other", "n", "grp").agg(F.count("*").alias("c"))
-    opened = written(overlap.where(F.col("c") >= scheme.least_shared()).select(F.col("grp").alias("x"), F.col("other").alias("y")).distinct(), "opened")
-    if opened.isEmpty():
-        return None
-
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = shingle_sets(batch.column(1), size)
-        ends = np.cumsum(np.r_[0, s.count])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.hash[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())], names=["set_id", "shingles"])
-
-    roots = rows.select("set_id", "root").distinct()
-    shingles = _sliced(texts.select("set_id", "text"), packed, "set_id long, shingles binary").join(roots, "set_id").join(member, "set_id")
-    needed = opened.select(F.explode(F.array("x", "y")).alias("grp")).distinct()
-    groups = shingles.join(needed, "grp", "left_semi").groupBy("grp").agg(F.collect_list(F.struct("set_id", "root", "shingles")).alias("sets"))
-    groups = written(groups, "group-sets")
-    pairs = opened.join(groups.select(F.col("grp").alias("x"), F.col("sets").alias("sets_x")), "x").join(groups.select(F.col("grp").alias("y"), F.col("sets").alias("sets_y")), "y")
-    percent = scheme.percent
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                links = _joining_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
-    return pairs.select("sets_x", "sets_y").mapInArrow(compare, "a long, b long")
-
-
-def _joining_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Pairs of similar sets, one of x and one of y, that join sets of different roots; pairs
-    that those given out already join are left out."""
-    up: dict[int, int] = {}
-
-    def top(r: int) -> int:
-        while up.get(r, r) != r:
-            up[r] = up.get(up[r], up[r])
-            r = up[r]
-        return r
-
-    xs, ys = ([np.frombuffer(s["shingles"], _U) for s in part] for part in (x, y))
-    nx, ny = (np.array([len(s) for s in part], np.int64) for part in (xs, ys))
-    words, number = np.unique(np.concatenate(xs + ys), return_inverse=True)
-    ends = np.cumsum(np.r_[0, nx, ny])
-    of_y, start_y = number[ends[len(xs)] :], ends[len(xs) : -1] - ends[len(xs)]
-    seen, out = np.zeros(len(words), np.int64), []
-    for i in range(len(xs)):
-        mine = number[ends[i] : ends[i + 1]]
-        seen[mine] = 1
-        shared = np.add.reduceat(seen[of_y], start_y)
-        seen[mine] = 0
-        for j in np.flatnonzero(100 * shared >= percent * (nx[i] + ny - shared)):
-            a, b = top(x[i]["root"]), top(y[j]["root"])
-            if a != b:
-                up[a] = b
-                out.append((x[i]["set_id"], y[j]["set_id"]))
-    return out
+    of_set = Window.partitionBy("set_id")
+    nth, live = F.row_number().over(of_set.orderBy("k", "token")), F.count("*").over(of_set)
+    rarest = rows.join(k, "token").withColumn("nth", nth).withColumn("live", live).where(F.col("nth") <= F.col("live") - need + 1)
+    candidates = rarest.join(matrix, "token").where("lo <> root or hi <> root").select("set_id", "other").distinct()
+    overlap = candidates.join(rows.select("set_id", "token", "n"), "set_id").join(matrix.select("token", "other"), ["token", "other"]).groupBy("set_id", "other", "n").agg(F.count("*").alias("c"))
+    opened = overlap.where(F.col("c") >= need).select("set_id", F.col("other").alias("grp")).unionByName(home).distinct()
+    opened = written(opened.join(home.select("set_id", F.col("grp").alias("own")), "set_id").select("set_id", "grp", (F.col("grp") == F.col("own")).alias("home")), "opened")
+
+    sets = arrays.select("set_id", "n", "shingles").join(labels, "set_id")
+    hubs = sets.select(F.col("set_id").alias("grp"), F.col("n").alias("n_hub"), F.col("shingles").alias("hub"), F.col("root").alias("hub_root"))
+    apart = F.concat(F.array_except("shingles", "hub"), F.array_except("hub", "shingles"))
+    apart = opened.join(sets, "set_id").join(hubs, "grp").select("grp", "set_id", "home", "n", "root", "n_hub", "hub_root", apart.alias("apart"))
+    apart = apart.withColumn("d", F.size("apart")).withColumn("near", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_hub")))
+    apart = written(apart, "apart")
+    by_hub = apart.where("near and root <> hub_root").select(F.col("set_id").alias("a"), F.col("grp").alias("b"))
+    return by_hub.unionByName(similar(_pairs_in_groups(apart.drop("hub_root"), percent), arrays, percent))
+
+
+def _pairs_in_groups(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different components, of which one at least is far from their group's
+    hub, that may be similar, from their differences from the hub.
+
+    With p percent, sets are similar where (100 + p) |S xor T| <= (100 - p) (|S| + |T|). T being
+    far, c common differences have 2 (100 + p) c > (100 + p) |D(S)| + (100 - p) (|H| - |S|). S
+    being far, c <= |D(T)| leaves (100 + p) c >= (100 + p) |D(S)| - (100 - p) (|S| + |T|)."""
+    more, less = 100 + percent, 100 - percent
+    by_far = F.floor((more * F.col("d") + less * (F.col("n_hub") - F.col("n"))) / (2 * more)) + 1
+    by_any = F.ceil((more * F.col("d") - less * (F.col("n") + F.floor(F.col("n") * 100 / percent))) / more)
+    least = F.greatest(F.lit(1), F.when(F.col("near"), by_far).otherwise(by_any))
+    rows = apart.select("grp", F.explode("apart").alias("token"), "set_id", "home", "near", "n", "root", least.alias("least"))
+    for _ in range(2):
+        several = rows.groupBy("grp", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("home").alias("any_home"), F.bool_and("near").alias("all_near")).where("lo < hi and any_home and not all_near")
+        left = written(rows.join(several.select("grp", "token"), ["grp", "token"], "left_semi"), "open-differences")
+        enough = left.groupBy("grp", "set_id", "least").agg(F.count("*").alias("c")).where("c >= least").select("grp", "set_id")
+        rows = left.join(enough, ["grp", "set_id"], "left_semi")
+    k = rows.groupBy("grp", "token").agg(F.count("*").alias("k"))
+    of_set = Window.partitionBy("grp", "set_id")
+    nth, live = F.row_number().over(of_set.orderBy("k", "token")), F.count("*").over(of_set)
+    rarest = written(rows.join(k, ["grp", "token"]).withColumn("nth", nth).withColumn("live", live).where("nth <= live - least + 1"), "rarest-differences")
+    ends = [rarest.select("grp", "token", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "home", "near", "n", "root"))) for x in ("a", "b")]
+    fits = F.expr(f"root_a <> root_b and not (near_a and near_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (set_id_a < set_id_b or not home_a)")
+    pairs = ends[0].join(ends[1].where("home_b"), ["grp", "token"]).where(fits)
+    return pairs.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()

@@ -73,7 +73,8 @@ def pareto_order(doc_id: str, p: str, seed: str) -> F.Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = 3, seed: str = "mix-", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies.
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), copies and
+    text_hash (xxhash64).
 
     Null text counts 0 words and is taken 0 times. A null source is a source, last in
     order. Repeated rows are documents of their own that share their u; the order among
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copie
     """
     if min(weights) <= 0 or max_copies < 1:
         raise ValueError("weights must be positive and max_copies at least 1")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     slim = written(slim.withColumn("class", F.length(F.bin("size")) - 1).withColumn("rid", F.monotonically_increasing_id()), "sizes")
     classes = slim.groupBy("source", "class").agg(F.sum("size").alias("words"))
     totals = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -115,4 +116,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copie
     moved = _per_source(moves.select("source", F.col("move.rid").alias("moved")), "moves").alias("d")
     out = sampled.alias("o").join(moved, F.col("o.source").eqNullSafe(F.col("d.source")), "left")
     n = F.col("whole") + F.when(F.col("moved") == F.col("rid"), 1 - F.col("extra")).otherwise(F.col("extra"))
-    return out.select("doc_id", "o.source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "rid")
+    return out.select("doc_id", "o.source", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "text_hash", "rid")

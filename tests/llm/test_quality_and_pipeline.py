@@ -7,13 +7,13 @@ import numpy as np
 import odd
 import pytest
 import public_tokenizers
-from conftest import DATA, SMALL
+from conftest import SMALL
 from pyspark.sql import functions as F
 from test_search_and_sets import components
 from test_tokens import check_packing
 from tokenizers import Tokenizer
 
-from millrace.llm import quality, queries
+from millrace.llm import common, mixing, quality, queries
 
 
 def test_held_out_accuracy(spark):
@@ -101,5 +101,35 @@ def test_stages_stand_odd_rows(spark, rows):
         assert one == Counter([1, 3, 4, 5, 6, None, None, 7, 9, 10])
 
 
+T = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+
+
+def texts_left(spark, rows):
+    docs = odd.documents(spark, [(i, t, "en", "a", len(t)) for i, t in rows])
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, SMALL).collect()), key=str)
+
+
+def test_near_duplicates_go_by_row(spark):
+    other = "quite another text, of the same id as a near copy"
+    assert texts_left(spark, [(1, T), (2, T + " more"), (2, other)]) == [(1, T), (2, other)]
+    assert texts_left(spark, [(1, T), (None, T), (None, other), (None, other)]) == [(1, T), (None, other)]
+
+
+def test_mixing_repeats_each_row_as_often_as_it_is_taken(spark):
+    rows = [(i % 40, f"{i % 3} " + "w " * (i % 50), "en", f"s{i % 4}", 1) for i in range(400)] + [(None, "no id of its own", "en", "s1", 1)] * 5
+    docs = odd.documents(spark, rows)
+    want = Counter()
+    for r in mixing.mix(docs).select("doc_id", "source", "copies", "text_hash").collect():
+        want[r["doc_id"], r["source"], r["text_hash"]] += r["copies"]
+    got = Counter(tuple(r) for r in corpus_pipeline.mixed(spark, docs, SMALL).select("doc_id", "source", F.xxhash64("text")).collect())
+    assert got == +want
+
+
 def test_run_is_its_stages(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, SMALL), f"by-hand-{name.replace(' ', '-')}")
+    got = corpus_pipeline.run(spark, SMALL)
+    rows = lambda df: Counter(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert rows(got) == rows(docs) and docs.count() > 0
+    assert got.select("sequence_id").distinct().count() == docs.select("sequence_id").distinct().count()

@@ -70,6 +70,45 @@ def test_join_through_matrix_alone(spark, monkeypatch):
     test_join_equals_all_pairs(spark, 4, 85, 5)
 
 
+def test_join_of_families(spark):
+    """Bases with copies, copies of copies and passages that many share: what hubs and groups are for."""
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(5000)}"
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [word()], [word(), w[at]]])
+        return w
+
+    passage, rows = [word() for _ in range(60)], []
+    for family in range(6):
+        base = [word() for _ in range(100)] + passage * (family % 2)
+        kin = [base] * (family % 3)
+        for _ in range(14):
+            near = edited(base, rng.randrange(9))
+            kin += [near, *(edited(near, rng.randrange(4)) for _ in range(rng.randrange(3)))]
+        kin += [base[:at] for at in range(60, 100, 8)]
+        rows += [" ".join(w) for w in kin]
+    rows = [(i if i % 9 else None if i % 2 else 5, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df, 4, 85).collect()), key=repr) == components(rows, 4, 85)
+
+
+T = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+
+
+@pytest.mark.parametrize("rows", [
+    [(None, T), (9, T + " more")],
+    [(1, T), (2, T + " more"), (2, "quite another text of the same id as its near copy")],
+    [(None, T), (None, T), (None, "something else entirely that is not near to any of the others")],
+])
+def test_join_of_rows_without_an_id_of_their_own(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df, 4, 85).collect()), key=repr) == components(rows, 4, 85)
+
+
 def test_join_odd_rows(spark):
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(odd.documents(spark)).collect()), key=repr)
     assert got == components([(r[0], r[1]) for r in odd.ROWS], 5, 80)
