@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column) -> Column:
@@ -39,16 +41,21 @@ def masked_key(c: Column) -> Column:
     return F.when(F.length(c) > 8, F.concat(F.substring(c, 1, 4), F.lit("****"), F.right(c, F.lit(4)))).otherwise(F.lit("****"))
 
 
+# Languages by extension, and by words that tell them (all of a group), in order.
+EXTENSIONS = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust"}
+TELLING = [("python", [["def ", "import "]]), ("javascript", [["function "], ["const "], ["=>"]]), ("java", [["public class "], ["private "]]), ("go", [["func ", "package "]]), ("rust", [["fn ", "let mut "]])]
+
+
 def language(text: Column, filename: Column | None = None) -> Column:
     """Language of code: by the file's extension, else by words that tell it; Python by default."""
-    # Extensions and telling words.
-    by_extension = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust"}
-    has = text.contains
-    by_words = F.when(has("def ") & has("import "), "python").when(has("function ") | has("const ") | has("=>"), "javascript").when(has("public class ") | has("private "), "java").when(has("func ") & has("package "), "go").when(has("fn ") & has("let mut "), "rust").otherwise("python")
+    by_words = F.lit("python")
+    for name, groups in reversed(TELLING):
+        fits = reduce(Column.__or__, (reduce(Column.__and__, (text.contains(w) for w in group)) for group in groups))
+        by_words = F.when(fits, name).otherwise(by_words)
     if filename is None:
         return by_words
     extension = F.regexp_extract(filename, r"\.([a-z]+)$", 1)
-    known = F.element_at(F.create_map(*(F.lit(x) for kv in by_extension.items() for x in kv)), extension)
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), extension)
     return F.coalesce(known, by_words)
 
 
@@ -98,7 +105,7 @@ def route(query: Column) -> Column:
     return F.when(fits(code), out("code", "hybrid", 0.8)).when(fits(semantic), out("semantic", "dense", 0.8)).when((words <= 3) & low.rlike("|".join(keyword)), out("keyword", "bm25", 0.7)).otherwise(out("hybrid", "hybrid", 0.5))
 
 
-#: Keys whose values are never shown.
+#: Keys whose values are never shown.
 SENSITIVE = ("password", "api_key", "token", "secret", "authorization")
 
 
