@@ -43,8 +43,23 @@ HOST_RULES = [
     url_filter.HostRule("block", "example.net/de/8"),
     url_filter.HostRule("block", "org/es/"),
 ]
-#: Names that betting, advert and tracking hosts and pages carry.
-PATTERNS = [url_filter.PatternRule("block", p) for p in ("-bets.", "-casino.", "-casino-", "-poker.", "||ads.", "||adserver.", "||tracker.", "/ads/", "/adserver/", "/banners/", "/tracking/")] + [url_filter.PatternRule("allow", "/ads/policy/")]
+#: A filter list of names that betting, advert and tracking hosts and pages carry.
+PATTERNS = url_filter.parse_rules("""
+! betting
+-bets.
+-casino.
+-casino-
+-poker.
+! adverts and tracking
+||ads.
+||adserver.
+||tracker.
+/ads/
+/adserver/
+/banners/
+/tracking/
+@@/ads/policy/
+""".splitlines())
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ closure; ``MAX_RULES`` bounds them. Judging is a map without any shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,16 +38,42 @@ class HostRule:
 @dataclass(frozen=True)
 class PatternRule:
     """A pattern over host and path: ``*`` stands for any characters, ``^`` for a separator
-    or the end, a leading ``||`` for the start of a host label, all else for itself."""
+    or the end, a leading ``||`` for the start of a host label, ``|`` at either end for the
+    start of the host or the end of the path, all else for itself."""
 
     verdict: str
     pattern: str
 
 
+def parse_rules(lines: Iterable[str]) -> list[PatternRule]:
+    """Pattern rules from a filter list: block patterns, ``@@`` before those that allow, lines
+    of hosts files ("0.0.0.0 name"), comments (``!``, ``#``).
+
+    Rules that depend on more than a URL (``$`` options, ``##`` selectors) are no rules for
+    URLs and are left out; so are empty lines. A pattern that stands twice counts once."""
+    out: dict[PatternRule, None] = {}
+    for line in map(str.strip, lines):
+        address = _HOSTS_LINE.fullmatch(line)
+        if address:
+            for name in address[1].split():
+                out.setdefault(PatternRule("block", f"||{name.lower()}^"))
+        elif line and line[0] not in "!#[" and not _BEYOND_URLS.search(line):
+            allow = line.startswith("@@")
+            if pattern := line.removeprefix("@@"):
+                out.setdefault(PatternRule("allow" if allow else "block", pattern))
+    return list(out)
+
+
+_HOSTS_LINE = re.compile(r"(?:0\.0\.0\.0|127\.0\.0\.1|::1?)\s+([^#]+?)\s*(?:#.*)?")
+_BEYOND_URLS = re.compile(r"#@?[?$]?#|\$[a-z0-9~_,=|.-]+$", re.I)
+
+
 def _regex(p: str) -> re.Pattern:
-    head = r"^(?:[^/]*\.)?" if p.startswith("||") else ""
-    body = "".join({"*": ".*", "^": r"(?:[^0-9A-Za-z_.%-]|$)"}.get(c) or re.escape(c) for c in p.removeprefix("||"))
-    return re.compile(head + body)
+    head = r"^(?:[^/]*\.)?" if p.startswith("||") else "^" if p.startswith("|") else ""
+    p = p.removeprefix("||") if p.startswith("||") else p.removeprefix("|")
+    tail = "$" if p.endswith("|") else ""
+    body = "".join({"*": ".*", "^": r"(?:[^0-9A-Za-z_.%-]|$)"}.get(c) or re.escape(c) for c in p.removesuffix("|"))
+    return re.compile(head + body + tail, re.S)
 
 
 def literal_tokens(p: str) -> list[str]:
@@ -121,8 +147,10 @@ def judge_urls(df: DataFrame, host_rules: Sequence[HostRule], patterns: Sequence
     """Per row: id, host, path, rule, pattern, verdict.
 
     A host rule that fits decides (longest first, ties to the larger string); else the
-    longest fitting pattern rule; else the URL is allowed. Null or scheme-less URLs have an
-    empty host and path, which no host rule fits. Rows repeat as they come.
+    longest fitting pattern rule; else the URL is allowed. Null, empty or scheme-less URLs have
+    an empty host and path, which no host rule fits. Rows repeat as they come, null and
+    repeated ids, too; a long URL counts whole. Other columns are ignored, whatever their
+    names. An empty table gives no rows, an empty list of rules allows all.
     """
     if len(host_rules) + len(patterns) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: split the list and take the longest match of the parts")
