@@ -1,12 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into blocks (lines of text between block-level tags). Blocks inside elements
-that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, by tag, role or class) go. Blocks inside ``article`` or ``main`` are the text.
-Where a page marks no such element, its blocks are told from the site's furniture by
-differencing: the pages of a host stand in order of URL path, each is paired with the
-neighbour whose path has the longest prefix in common with its own, their lines are aligned
-by longest common subsequence, and shared lines are deleted.
+A page is cut into blocks (lines of text between block-level tags). Every page is compared
+with its nearest: the pages of a host stand in order of URL path, each is paired with the
+neighbours on either side, and their lines are aligned by longest common subsequence. The
+nearest is the one whose path has the longest prefix in common with the page's own.
+
+Lines shared with the nearest page are deleted; the page's markup has a vote. Blocks inside
+elements that say plainly what they are (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, by tag, role or whole class name) go in any case. A name that only
+begins or ends like those ("ad-story", "related-work") leaves the decision to differencing.
+Blocks inside ``article`` or ``main`` are the text and stay, but for lines that the pages on
+both sides share while being other texts. A page whose unshared text outside is over twice
+that inside has marked a teaser only, and is judged as if it had marked nothing.
 
 The order over all pages is a distributed sort of small rows (path and line hashes), so a
 host with a third of all pages is split over many tasks; a page finds its neighbours by
@@ -24,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, small, written
 from .url_filter import split_url
 
-BROADCAST_ROWS = 200_000
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
 #: Elements whose content is no text of the page. Only a self-closed svg has none.
@@ -47,24 +51,30 @@ _NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor spon
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _PART = re.compile(r"[a-z]+", re.I)
+#: Parts of class names that say nothing about the content.
+_PLAIN = frozenset("area bar block body bottom box btn button buttons col column container content div element footer group head header holder icon icons inner item items left link links list main module outer panel post posts region right row section slot slots space static text title top unit view wrap wrapper".split())
 
 
-def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_furniture(tag: str, attributes: str, in_main: bool) -> int:
+    """2 where an element says that it is no main text, 1 where its name only hints at it."""
     if tag in _FURNITURE or (tag == "header" and not in_main):
-        return True
+        return 2
     if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in _ROLES:
-                return True
+                return 2
             continue
         for name in value.split():
             parts = _PART.findall(name)
-            if name in _NAMES or (parts and (parts[-1] in _NAMES or parts[0] in _NAMES) and not (in_main and parts[-1] in ("header", "title"))):
-                return True
-    return False
+            if name in _NAMES or (parts and not (in_main and parts[-1] in ("header", "title")) and any(x in _NAMES for x in parts) and all(x in _NAMES or x in _PLAIN for x in parts)):
+                return 2
+            if parts and (parts[-1] in _NAMES or parts[0] in _NAMES) and not (in_main and parts[-1] in ("header", "title")):
+                found = 1
+    return found
 
 
 def _after_raw(page: str, tag: str, at: int) -> int:
@@ -89,19 +99,37 @@ def _after_raw(page: str, tag: str, at: int) -> int:
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it stands in an article or main element) of a page's blocks in order,
     without those of furniture. White space is one space; empty blocks are left out."""
-    out: list[tuple[str, bool]] = []
+    return [(text, main) for text, main, _ in parsed(page)]
+
+
+def parsed(page: str | None) -> list[tuple[str, bool, bool]]:
+    """Blocks as above, and whether a name hints that they are furniture. Time is linear in
+    the page, however deep its elements are."""
+    out: list[tuple[str, bool, bool]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture, main
+    opened: dict[str, list[int]] = {}  # places of each tag in the stack
+    solid: list[int] = []  # places of block-level elements
     buffer: list[str] = []
-    skip = main = False
+    skip, main, hinted = False, False, False
 
     def flush() -> None:
         if buffer:
             text = " ".join(html_lib.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((text, main))
+                out.append((text, main, hinted))
+
+    def close(to: int) -> bool:
+        """Drop the stack down to ``to``; whether a block-level element was among it."""
+        for tag, _, _ in reversed(stack[to:]):
+            opened[tag].pop()
+        del stack[to:]
+        before = len(solid)
+        while solid and solid[-1] >= to:
+            solid.pop()
+        return len(solid) < before
 
     at = 0
     while at < len(page):
@@ -127,29 +155,43 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         if not plain:
             flush()
         if m[1]:
-            if any(x[0] == tag for x in stack):
-                top = max(i for i, x in enumerate(stack) if x[0] == tag)
-                if not all(x[0] in _INLINE for x in stack[top:]):
+            if opened.get(tag):
+                top = opened[tag][-1]
+                if solid and solid[-1] >= top:
                     flush()
-                del stack[top:]
+                close(top)
         else:
-            if tag in _CLOSES_P and any(x[0] == "p" for x in stack):
-                top = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if all(x[0] in _INLINE for x in stack[top + 1 :]):
-                    del stack[top:]
+            if tag in _CLOSES_P and solid and stack[solid[-1]][0] == "p":
+                close(solid[-1])
             if tag in _SELF_CLOSING:
                 while stack and (stack[-1][0] in _SELF_CLOSING[tag] or stack[-1][0] in _INLINE or stack[-1][0] == "p") and any(x[0] in _SELF_CLOSING[tag] for x in stack[-4:]):
-                    stack.pop()
-            above = stack[-1] if stack else ("", False, False)
+                    close(len(stack) - 1)
+            above = stack[-1] if stack else ("", 0, False)
             if tag in _VOID or m[3].endswith("/"):
                 continue
-            furniture = above[1] or _is_furniture(tag, m[3], above[2])
-            stack.append((tag, furniture, above[2] or (not furniture and (tag in ("article", "main") or 'role="main"' in m[3]))))
-        skip, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            furniture = above[1] if above[1] == 2 else max(above[1], _is_furniture(tag, m[3], above[2]))
+            opened.setdefault(tag, []).append(len(stack))
+            if not plain:
+                solid.append(len(stack))
+            stack.append((tag, furniture, above[2] or (furniture < 2 and (tag in ("article", "main") or 'role="main"' in m[3]))))
+        skip, main, hinted = (stack[-1][1] == 2, stack[-1][2], stack[-1][1] == 1) if stack else (False, False, False)
     flush()
     return out
 
 
+def chosen(blocks: list[tuple[str, bool, bool]], sides: list[tuple[int, list[int]]]) -> list[str]:
+    """The texts of a page's blocks that are its main text. ``sides``: for each neighbour, the
+    length of the common path and the numbers of the shared lines."""
+    shared = [set(gone) for _, gone in sides]
+    nearest = set(max(sides, key=lambda x: (x[0], len(x[1]), x[1]))[1]) if sides else set()
+    size = lambda inside: sum(len(t) for i, (t, main, hint) in enumerate(blocks) if main == inside and (inside or not (hint or i in nearest)))
+    if not any(main for _, main, _ in blocks) or size(False) > 2 * size(True):
+        return [t for i, (t, _, _) in enumerate(blocks) if i not in nearest]
+    other_texts = len(shared) == 2 and all(2 * len(x) <= len(blocks) for x in shared)
+    both = shared[0] & shared[1] if other_texts else set()
+    return [t for i, (t, main, hint) in enumerate(blocks) if main and i not in both and not (hint and i in nearest)]
+
+
 def shared_lines(a: list, b: list) -> list[int]:
     """Positions in ``a`` of a longest common subsequence with ``b``.
 
@@ -187,8 +229,10 @@ def _common_prefix(a: str, b: str) -> int:
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """(key, gone): for pages without a marked article, the numbers of the blocks that their
-    nearest neighbour shares. ``pages``: key, host, path, marked, lines (array of hashes)."""
+    """(key, sides): for each page its neighbours, by the length of the common path and the
+    numbers of the lines they share (array<struct<near,gone>>, at most two). A neighbour that
+    shares no line counts, too, one that shares all does not. ``pages``: key, host, path, lines
+    (array of hashes)."""
     ordered = pages.orderBy("host", "path", "key")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +241,13 @@ def deletions(pages: DataFrame) -> DataFrame:
         part, at, run, last = TaskContext.get().partitionId(), 0, -1, None
         for batch in batches:
             n, runs = batch.num_rows, []
-            for own in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 run, last = run + (own != last), own
                 runs.append(run)
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array(runs, pa.int64()), *batch.columns], names=["part", "pos", "run", *batch.schema.names])
             at += n
 
-    rows = written(ordered.mapInArrow(number, "part int, pos long, run long, key long, host string, path string, marked boolean, lines array<long>"), "page-order")
+    rows = written(ordered.mapInArrow(number, "part int, pos long, run long, key long, host string, path string, lines array<long>"), "page-order")
     # runs of copies count through all parts; one that goes on into the next part stays one
     place, copy = F.struct("part", "pos"), F.xxhash64("host", "lines")
     in_order = Window.orderBy("part")
@@ -215,7 +259,7 @@ def deletions(pages: DataFrame) -> DataFrame:
     ends = rows.groupBy("run").agg(F.min_by(page, place).alias("first"), F.max_by(page, place).alias("last"))
     near = ends.select((F.col("run") + 1).alias("run"), F.col("last").alias("n")).unionByName(ends.select((F.col("run") - 1).alias("run"), F.col("first").alias("n")))
     near = near.select("run", F.col("n.host").alias("n_host"), F.col("n.path").alias("n_path"), F.col("n.lines").alias("n_lines"))
-    both = rows.where("not marked and size(lines) > 0").join(near, "run").where("host = n_host")
+    both = rows.where("size(lines) > 0").join(near, "run").where("host = n_host")
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, gone, far = [], [], []
@@ -229,15 +273,19 @@ def deletions(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(far, pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "near", "gone"])
 
     cut = map_arrow(both.select("key", "path", "lines", "n_path", "n_lines"), align, "key long, near int, gone array<int>")
-    return cut.groupBy("key").agg(F.max_by("gone", F.struct("near", F.size("gone"), "gone")).alias("gone")).where("size(gone) > 0")
+    # a page has one neighbour on either side
+    return cut.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("near", "gone"))).alias("sides"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text (blocks joined by an empty line), n_chars.
 
     Null and empty html give an empty text. A page's neighbours are the next pages with other
-    lines than its own, past any copies; one that shares every line counts for nothing. Pages without ``://`` in their url form
-    a host of their own. Repeated rows each get the text. An empty table gives no rows.
+    lines than its own, past any copies; one that shares every line counts for nothing. Pages
+    without ``://`` in their url form a host of their own. Repeated rows each get the text, and
+    rows of one id are pages of their own. Whole pages count, however long or deep. Other
+    columns are ignored, whatever their names. An empty table gives no rows. Pages are told
+    apart by a 64-bit hash of url and html.
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.xxhash64(F.col(url), F.col(html)).alias("key"))
     kind = src.schema["page_id"].dataType.simpleString()
@@ -246,25 +294,16 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         import xxhash
 
         split = [split_url(u) for u in batch.column(1).to_pylist()]
-        blocks = [blocks_of(h) for h in batch.column(2).to_pylist()]
-        marked = [any(m for _, m in b) for b in blocks]
-        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in b] for b in blocks]
-        return pa.RecordBatch.from_arrays([batch.column(3), pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array(marked), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "marked", "lines"])
+        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in blocks_of(h)] for h in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(3), pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
-    slim = written(map_arrow(src, lines, "key long, host string, path string, marked boolean, lines array<long>").dropDuplicates(["key"]), "page-lines")
-    gone = written(deletions(slim), "page-deletions")
-    few = gone.count() <= BROADCAST_ROWS
-    joined = src.join(F.broadcast(gone) if few else gone, "key", "left").select("page_id", "url", "html", "gone")
+    slim = written(map_arrow(src, lines, "key long, host string, path string, lines array<long>").dropDuplicates(["key"]), "page-lines")
+    # most pages share no line with either neighbour, and need none told
+    told = written(deletions(slim).where(F.exists("sides", lambda x: F.size(x["gone"]) > 0)), "page-sides")
+    joined = src.join(small(told), "key", "left").select("page_id", "url", "html", "sides")
 
     def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            blocks = blocks_of(page)
-            if any(m for _, m in blocks):
-                blocks = [x for x in blocks if x[1]]
-            elif gone:
-                blocks = [x for i, x in enumerate(blocks) if i not in set(gone)]
-            out.append("\n\n".join(t for t, _ in blocks))
+        out = ["\n\n".join(chosen(parsed(page), [(x["near"], x["gone"]) for x in sides or ()])) for page, sides in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_arrow(joined, texts, f"page_id {kind}, url string, text string, n_chars long")

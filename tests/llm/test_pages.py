@@ -1,6 +1,7 @@
 """HTML extraction and URL filter."""
 
 import random
+import time
 
 import odd
 import pytest
@@ -51,6 +52,55 @@ def test_unmarked_pages_lose_what_the_nearest_shares(spark):
     assert got[90] == "Top\n\nAlone\n\nBottom" and got[91] == got[0]
 
 
+SITE = "<body><nav>Menu</nav><article><h1>Title {0}</h1><p>Text {0} of this page</p>{1}</article><div>Foot {0}</div></body>"
+
+
+def test_markup_has_a_vote(spark):
+    hints = '<div class="related-work"><p>Related work of page {0}</p></div><section class="social-history">History {0}</section><div class="share-price">Up {0}</div><div class="ad-story">Subscribe now</div>'
+    inside = "<p>Follow us everywhere</p>"  # unnamed, on every page
+    rows = [(i, f"http://h.example/a/{i:02}", SITE.format(i, hints.format(i) + inside)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    own = lambda i: f"Title {i}\n\nText {i} of this page\n\nRelated work of page {i}\n\nHistory {i}\n\nUp {i}"
+    assert all(got[i] == own(i) for i in range(1, 8))
+    # a page at the end of its host has one neighbour: what a name hints at goes, the rest stays
+    assert got[0] == own(0) + "\n\nFollow us everywhere" and got[8] == own(8) + "\n\nFollow us everywhere"
+
+
+def test_edited_copies_keep_their_article(spark):
+    rows = [(i, f"http://h.example/a/{i:02}", SITE.format(i, "".join(f"<p>Paragraph {j} that all editions have</p>" for j in range(6)))) for i in range(5)]
+    got = html_text.main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["text"].count("all editions") == 6 for r in got)
+
+
+def test_a_teaser_is_not_the_article(spark):
+    body = "".join(f"<p>Long paragraph {{0}}-{j} of the page's real text</p>" for j in range(5))
+    rows = [(i, f"http://h.example/a/{i:02}", f"<body><div>Site name</div><article>Read also: story {i}</article>{body.format(i)}</body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(4):
+        assert got[i] == "\n\n".join([f"Read also: story {i}", *(f"Long paragraph {i}-{j} of the page's real text" for j in range(5))])
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<ul><li>One<li>Two<p>Three</ul>", "One\n\nTwo\n\nThree"),
+    ("<table><tr><td>A<td>B<tr><td>C</table>", "A\n\nB\n\nC"),
+    ("<p>One <b>bold <div>Two</div> three", "One bold\n\nTwo\n\nthree"),
+    ("<div><p>One<section><p>Two</section>Three</div>Four", "One\n\nTwo\n\nThree\n\nFour"),
+    ("<div class='ad-slot'>Buy</div><div class='related-posts'>More</div><p>Kept", "Kept"),
+    ("<article><p>In<aside>Out</aside><p>In again", "In\n\nIn again"),
+    ("</div></p>Stray<em>phasis</em></article>", "Strayphasis"),
+])
+def test_blocks_of_loose_markup(html, text):
+    assert "\n\n".join(t for t, _ in html_text.blocks_of(html)) == text
+
+
+def test_deep_pages_take_linear_time():
+    n = 20_000
+    for page in ("<div>" * n + "x" + "</div>" * n, "<p>" + "<b>" * n + "x" + "<hr>" * n, "<div><p><div>" + "<b>" * n + "x" + "<hr>" * n, "<b><p>" * n + "x" + "</b>" * n):
+        began = time.time()
+        assert [t for t, _ in html_text.blocks_of(page)] == ["x"]
+        assert time.time() - began < 5
+
+
 def nearest_by_hand(rows):
     """Text of each page, its neighbours found in one sorted list."""
     blocks = {k: html_text.blocks_of(h) for k, (_, h) in rows.items()}
@@ -109,6 +159,53 @@ def test_index_misses_no_rule():
             assert index.judge(host, path) == every.judge(host, path)
 
 
+LIST = """[Adblock Plus 2.0]
+! comment
+# another
+||ads.example^
+@@||ads.example/ok|
+|login.
+/pixel.gif|
+*track*
+0.0.0.0 Bad.example worse.example # hosts file
+127.0.0.1\tlocal.example
+/script.js$third-party,script
+example.com##.banner
+||ads.example^
+"""
+
+
+def test_filter_lists():
+    rules = url_filter.parse_rules(LIST.splitlines())
+    assert [(r.verdict, r.pattern) for r in rules] == [("block", p) for p in ("||ads.example^",)] + [("allow", "||ads.example/ok|")] + [("block", p) for p in ("|login.", "/pixel.gif|", "*track*", "||bad.example^", "||worse.example^", "||local.example^")]
+    index = url_filter.RuleIndex([], rules, {})
+    judge = lambda host, path: index.judge(host, path)[1:]
+    assert judge("a.ads.example", "/x") == ("||ads.example^", "block") and judge("ads.example", "") == ("||ads.example^", "block")
+    assert judge("ads.example", "/ok") == ("||ads.example/ok|", "allow") and judge("ads.example", "/okay") == ("||ads.example^", "block")
+    assert judge("login.a", "/") == ("|login.", "block") and judge("my.login.a", "/") == (None, "allow")
+    assert judge("a", "/pixel.gif") == ("/pixel.gif|", "block") and judge("a", "/pixel.gifs") == (None, "allow")
+    assert judge("a", "/xtracky\n") == ("*track*", "block") and judge("notbad.example", "/") == (None, "allow")
+
+
+def test_thousands_of_rules():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 4])))
+    forms = ("||{0}.{1}^", "/{0}/{1}/", "-{0}.", "|{0}.{1}/", "/{0}*{1}/", "@@||{0}.{1}/{0}", "/{0}.{1}|", "{0}{1}")
+    rules = url_filter.parse_rules(rng.choice(forms).format(word(), word()) for _ in range(6000))
+    assert len(rules) > 4000
+    counts = {}
+    urls = [(f"{word()}.{word()}", "".join(f"/{word()}" for _ in range(rng.randrange(4))) + rng.choice(["", "/", f".{word()}"])) for _ in range(400)]
+    for host, path in urls:
+        for t in url_filter._TOKEN.findall(f"{host}{path}"):
+            counts[t] = counts.get(t, 0) + 1
+    index = url_filter.RuleIndex(HOSTS, rules, counts)
+    every = url_filter.RuleIndex([], [], {})
+    every.always = index.always + [r for filed in index.by_token.values() for r in filed]
+    assert all(index.judge(*u) == every.judge(*u) for u in urls)
+    tried = [sum(len(index.by_token.get(t, ())) for t in set(url_filter._TOKEN.findall(f"{h}{p}"))) for h, p in urls]
+    assert sum(tried) / len(tried) < 0.01 * len(rules)
+
+
 @pytest.mark.parametrize("url, host, path, rule, verdict", [
     ("http://WWW.Example.COM/en/7?q#f", "www.example.com", "/en/7", "example.com/en/7", "allow"),
     ("https://example.com/en/8", "example.com", "/en/8", "com/en/", "block"),
