@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only lengths matter for packing, and there are at most ``size`` of them: the plan is made
-on their counts, a table that the sequence size bounds whatever the corpus. For each
-length, longest first, the gap it leaves is looked up among the available lengths, the sums
-of two and the sums of three; combinations that fill a gap exactly are consumed as often as
-the counts allow. What is left is packed best fit, decreasing. The plan is a list of
-patterns, each with how many sequences follow it.
+on their counts, a table that the sequence size bounds whatever the corpus. One index holds
+the available lengths by their sums: single ones, pairs and triples. For each length, longest
+first, the gap it leaves is looked up there; combinations that fill it exactly are consumed
+as often as the counts allow, which also takes them out of the index where a length is used
+up. Of combinations of one kind those of the most even lengths come first, so the short
+pieces, which fit anywhere, are spared. What is left is packed best fit, decreasing. The plan
+is a list of patterns, each with how many sequences follow it.
 
 Pieces then find their places by their rank among the pieces of their length. Ranks come
 from counts per (length, bucket) and an order within each, so a length that holds a third
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +54,54 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SIZ
     return map_arrow(docs.select(F.col(doc_id), F.col(text)), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact(counts: list[int], length: int, size: int) -> tuple[int, ...] | None:
-    """An available combination of one, two or three lengths that fills the gap exactly."""
-    gap = size - length
-    have = lambda *xs: all(counts[x] >= xs.count(x) + (x == length) for x in xs)
-    if have(gap):
-        return (gap,)
-    live = np.array(counts[: gap + 1]) > 0
-    live[0] = False
-    for a in np.flatnonzero(live & live[::-1])[::-1]:  # a and gap - a are both there
-        if have(int(a), int(gap - a)):
-            return int(a), int(gap - a)
-    for a in np.flatnonzero(live)[::-1]:
-        left = int(gap - a)
-        if left >= 2:
-            for b in np.flatnonzero(live[: left + 1] & live[: left + 1][::-1])[::-1]:
-                if have(int(a), int(b), int(left - b)):
-                    return int(a), int(b), int(left - b)
-    return None
+class SumIndex:
+    """Available lengths by the sums of one, two and three of them.
+
+    Counts only fall, so a combination that is gone stays gone: each sum keeps its combinations
+    as a sequence that is generated once, from even ones to uneven ones, and whose head is
+    dropped when a length of it is used up."""
+
+    def __init__(self, counts: list[int]):
+        self.counts = counts
+        self.live = [n for n, c in enumerate(counts) if n and c]
+        self.heads: dict[tuple[int, int], tuple[int, ...] | None] = {}
+        self.rest: dict[tuple[int, int], Iterator[tuple[int, ...]]] = {}
+
+    def _pairs(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        """(larger, smaller), no length above ``most``, from even to uneven."""
+        live, counts = self.live, self.counts
+        for i in range(bisect_left(live, (total + 1) // 2), bisect_left(live, min(most, total - 1) + 1)):
+            a = live[i]
+            if counts[a] and counts[total - a]:
+                yield a, total - a
+
+    def _combinations(self, many: int, total: int) -> Iterator[tuple[int, ...]]:
+        if many == 1:
+            yield (total,)
+        elif many == 2:
+            yield from self._pairs(total, total)
+        else:
+            live, counts = self.live, self.counts
+            for i in range(bisect_left(live, -(-total // 3)), bisect_left(live, total - 1)):
+                if counts[a := live[i]]:
+                    for pair in self._pairs(total - a, a):
+                        yield a, *pair
+
+    def _available(self, lengths: tuple[int, ...], beside: int) -> bool:
+        return all(self.counts[x] >= lengths.count(x) + (x == beside) for x in lengths)
+
+    def fill(self, gap: int, beside: int) -> tuple[int, ...] | None:
+        """Lengths that sum to ``gap``, available beside one of length ``beside``."""
+        for many in (1, 2, 3):
+            key = (many, gap)
+            if key not in self.rest:
+                self.rest[key] = self._combinations(many, gap)
+                self.heads[key] = next(self.rest[key], None)
+            while (head := self.heads[key]) is not None:
+                if self._available(head, beside):
+                    return head
+                self.heads[key] = next(self.rest[key], None)
+        return None
 
 
 def pack_plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -76,7 +109,7 @@ def pack_plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[i
 
     Exact fills of short lengths' gaps use up short pieces that larger residuals may need.
     So the plan is made for several least lengths whose gaps are filled, and the one with
-    the fewest sequences is taken."""
+    the fewest sequences is taken, of equal ones the one that fills the most."""
     plans = [_plan(histogram, size, size * part // 8 + 1) for part in (0, 2, 4, 6, 7)]
     return min(plans, key=lambda plan: sum(times for _, times in plan))
 
@@ -88,8 +121,9 @@ def _plan(histogram: dict[int, int], size: int, down_to: int) -> list[tuple[tupl
         counts[n] += c
     plan = [((size,), counts[size])] if counts[size] else []
     counts[size] = 0
+    index = SumIndex(counts)
     for n in range(size - 1, down_to - 1, -1):
-        while counts[n] and (fill := _exact(counts, n, size)):
+        while counts[n] and (fill := index.fill(size - n, n)):
             whole = (n, *fill)
             times = min(counts[x] // whole.count(x) for x in whole)
             for x in whole:
@@ -153,14 +187,15 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     spark = pieces.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    short = pieces.where(F.col("length") < size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    short = pieces.where(F.col("length") < size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = written(short.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     plan = pack_plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
     places = Places(plan)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # ``first`` grows with the number of buckets; the ranks need their rows dealt like this anyway
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = short.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(order) - 1)
+    ranked = short.join(first.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(order) - 1)
     names = [f.name for f in pieces.schema]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 

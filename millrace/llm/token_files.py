@@ -11,13 +11,16 @@ blocks, line feed. Block: minimum u32, width u8, exceptions u8, packed differenc
 (16 * width bytes), positions u8 each, high bits u32 each. The last block is filled up with
 its minimum.
 
-Documents are dealt over files by quantiles of their ids and sorted in them, so the files
-in order hold the documents in order of id: one shuffle, of packed frames. Files are
-written and read through Spark, thus in any store, and a repeated task replaces its file.
+Documents are dealt over files by quantiles of their ids, weighted by the size of their texts,
+and sorted in them, so the files in order hold the documents in order of id and about
+``FILE_BYTES`` of text each: one shuffle, of packed frames. Documents of one id that is spread
+over several quantiles are dealt over all their files. Files are written and read through
+Spark, thus in any store, and a repeated task replaces its file.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -28,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, written
+from .common import shared_dir, slices, written
 from .tokens import encoder, with_end
 
 BLOCK = 128
 _HEAD = struct.Struct("<4sBqQI")
 _MAGIC = b"MPF1"
 FRAMES_PER_FILE = 20_000
+#: A file is read as one value, so it must stay well below 2 GB.
+FILE_BYTES = 128 << 20
+_WEIGHT = 64 << 10
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -130,20 +136,30 @@ def _unpack(data: np.ndarray, start: np.ndarray) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append ``end_id``, write the files under ``path``.
 
-    Null text is empty: the end id alone. Null ids come first. Rows with one id stay in one
-    file, in any order among each other. An empty table writes no frame."""
+    Null text is empty: the end id alone. Null ids come first. Rows with one id, in one or
+    several files, follow each other in any order. Long texts are one frame. Other columns are
+    ignored, whatever their names. An empty table writes no frame."""
     spark = docs.sparkSession
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col(doc_id), [i / files for i in range(1, files)], 100 * files)).head()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    # a document counts once, and once more for each 64 KB of its text
+    weight = F.expr(f"1 + coalesce(octet_length({text}), 0) div {_WEIGHT}")
+    weighed = docs.select(F.col(doc_id).cast("long").alias("id"), weight.cast("int").alias("weight"))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((docs.agg(F.sum(F.expr(f"octet_length({text})"))).head()[0] or 0) / FILE_BYTES))
+    cuts = weighed.select("id", F.explode(F.array_repeat(F.lit(0), F.col("weight")))).agg(F.percentile_approx("id", [i / files for i in range(1, files)], 100 * files)).head()[0] or []
+    cuts = np.array(cuts, np.int64)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, starts = with_end(*encoder(vocabulary).encode(batch.column(1)), end_id)
-        keys = batch.column(0).to_pylist()
-        part = np.searchsorted(cuts, [np.iinfo(np.int64).min if k is None else k for k in keys], "left")
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(encode_frames(ids, starts, keys), pa.binary())], names=["part", "doc_id", "frame"])
-
-    frames = map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, "part int, doc_id long, frame binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in (part for whole in batches for part in slices(whole)):
+            ids, starts = with_end(*encoder(vocabulary).encode(batch.column(1)), end_id)
+            keys = batch.column(0).to_pylist()
+            flat = np.array([np.iinfo(np.int64).min if k is None else k for k in keys], np.int64)
+            # an id between equal cuts may go to any of the files they bound
+            first, last = np.searchsorted(cuts, flat, "left"), np.searchsorted(cuts, flat, "right")
+            part = first + (n + np.arange(len(flat))) % (last - first + 1)
+            n += len(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(encode_frames(ids, starts, keys), pa.binary())], names=["part", "doc_id", "frame"])
+
+    frames = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "part int, doc_id long, frame binary")
     dealt = frames.repartitionById(files, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     dealt.select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 

@@ -7,6 +7,9 @@ hashed, and only chunks whose hash is new go to the library; a text's ids are it
 ids in order, which is what encoding the whole text gives. Cutting, hashing, looking up and
 joining run over a batch's whole buffer.
 
+Added tokens ("<|endoftext|>") are one token wherever their string stands in a text, as they
+are for the library without further settings.
+
 Chunks are told apart by 64-bit hashes of their bytes: of 10^12 different chunks, one in
 twenty runs would mistake a single one. The table is emptied when full; long chunks are
 never kept.
@@ -81,7 +84,9 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Strings that are one token wherever they stand, as the library reads them.
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -95,7 +100,7 @@ class ByteLevelEncoder:
             return np.zeros(0, np.uint32), offsets
         if len(self.ends) > _KEPT or len(self.pool) > _POOL:
             self._clear()
-        start = chunk_starts(raw, offsets)
+        start = self._whole_tokens(raw, offsets, chunk_starts(raw, offsets))
         end = np.append(start[1:], len(raw))
         power, inverse = _power_tables(len(raw))
         total = np.zeros(len(raw) + 1, _U)
@@ -119,6 +124,18 @@ class ByteLevelEncoder:
         ids = self.pool[np.repeat(self.ends[entry] - upto[:-1], size) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(start, offsets)]
 
+    def _whole_tokens(self, raw: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """``start`` with a chunk for each added token that stands in a text, and no cut inside."""
+        found = np.array([m.span() for m in self.added.finditer(raw.tobytes())] if self.added else [], np.int64).reshape(-1, 2)
+        # one that begins in a text and ends in the next is none
+        found = found[np.searchsorted(offsets, found[:, 0], "right") == np.searchsorted(offsets, found[:, 1], "left")]
+        if not len(found):
+            return start
+        at = np.searchsorted(found[:, 0], start, "left") - 1
+        inside = (at >= 0) & (start < found[at, 1])
+        ends = found[:, 1][found[:, 1] < len(raw)]
+        return np.unique(np.concatenate([start[~inside], found[:, 0], ends]))
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entries of hashes in the table, -1 where absent."""
         out, live, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & _U(_SLOTS - 1)

@@ -4,6 +4,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import odd
@@ -21,10 +22,20 @@ from millrace.llm.tokens import ByteLevelEncoder
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+@lru_cache
+def plain_library():
+    """The library as it comes, without settings."""
+    return Tokenizer.from_file(BYTE_BPE)
+
+
+@lru_cache
+def own_encoder():
+    return ByteLevelEncoder(BYTE_BPE)
+
+
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
+    t = plain_library()
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,21 +49,19 @@ def crc(ids):
 
 
 def encoded(texts):
-    ids, at = ByteLevelEncoder(BYTE_BPE).encode(pa.array(texts, pa.string()))
+    ids, at = own_encoder().encode(pa.array(texts, pa.string()))
     return [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)]
 
 
 def test_encoder_gives_the_library_ids(library, texts):
-    given = [*texts.values(), *(r[1] for r in odd.ROWS), "a\n b", "a \nb", "\n\n x", "don't  it's  x", "1,000.50 (é)\tx", " a  b", "　\n　x"]
+    given = [*texts.values(), *(r[1] for r in odd.ROWS), "a\n b", "a \nb", "\n\n x", "don't  it's  x", "1,000.50 (é)\tx", " a  b", "　\n　x", "a  <|endoftext|> b<|endoftext|>c", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n<|endoftext|>", "x<|endo", "ftext|>y", "<|<|endoftext|>|>"]
     assert encoded(given) == [library(t) for t in given]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab Z9'.,-\n\t\r\x0b \u0085 　éÅß日😀<|>")), max_size=30), max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"ab Z9'.,-\n\t\r\x0b \u0085 　éÅß日😀<|>", "<|endoftext|>", "<|endo", "ftext|>"]), max_size=30).map("".join), max_size=4))
 def test_encoder_on_any_text(texts):
-    t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
-    assert encoded(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encoded(texts) == [plain_library().encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def greedy(word, pieces):
@@ -187,6 +196,25 @@ def test_token_files_odd_rows(spark):
     assert token_files.token_files(odd.none(spark), BYTE_BPE).collect() == []
 
 
+def test_one_id_of_most_rows_is_dealt_over_files(spark, tmp_path, library, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
+    rows = [(5, f"text {i} " * (1 + i % 9)) for i in range(3000)] + [(i, f"own {i}") for i in range(-200, 200)] + [(None, "no id")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_files.write_tokens(df, f"file://{tmp_path}/t", BYTE_BPE)
+    sizes = [p.stat().st_size for p in (tmp_path / "t").glob("part-*")]
+    assert len(sizes) >= 8 and max(sizes) < 0.5 * sum(sizes)
+    got = token_files.read_tokens(spark, f"file://{tmp_path}/t").collect()
+    want = Counter((d, len(ids), crc(ids)) for d, ids in ((d, library(t) + [0]) for d, t in rows))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    got.sort(key=lambda r: r["start"])
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [-(1 << 63) if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order)
+
+
 def test_frames_with_outliers():
     rng = random.Random(1)
     ids = [np.array([rng.choice([5, 70, 900, 2**31, 2**32 - 1]) for _ in range(n)], np.int64) for n in (0, 1, 127, 128, 129, 1000)]
