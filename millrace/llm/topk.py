@@ -1,10 +1,11 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation.
 
 Vectors are sparse rows of integer components; a component's position is its term. Queries
-and candidates are packed into blocks, and each pair of a query block and a candidate
-block is scored by walking the terms: the query rows that hold the term scatter their
-weight times the term's postings into dense score arrays. Partition selection
-(``argpartition``) keeps k per query and block, and a ranking over those merges the blocks.
+are packed into blocks of sparse rows, candidates into blocks of postings: for each term, the
+candidates that hold it and their weights. Each pair of a query block and a candidate block
+is scored by walking the terms: every query row that holds the term scatters its weight times
+the term's postings into a dense score array. Partition selection (``argpartition``) keeps k
+per query and block, and a ranking over those merges the blocks.
 
 Every query meets every candidate. Blocks are dealt over a grid: query blocks are copied
 to the grid's columns, candidate blocks to its rows, so a task holds one pair of blocks at
@@ -23,48 +24,74 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-_BLOCK = "cell int, ids binary, data binary, n int, dim int"
+#: ``terms``: where each term's postings start, and the end; ``rows``: who holds it; ``weights``.
+_BLOCK = "cell int, ids binary, terms binary, rows binary, weights binary"
+_LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """Each component x as floor(scale * x). Vectors that are null, or hold a null or a
-    non-finite component, or have no id, drop out."""
+    """Each component x as floor(scale * x), at most what a long holds. Vectors that are null, or
+    hold a null or a non-finite component, or have no id, drop out."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
+    whole = lambda v: F.floor(F.greatest(F.lit(-9.2e18), F.least(F.lit(9.2e18), v * scale))).cast("long")
+    return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def _blocks(df: DataFrame, rows: int, cells: int) -> DataFrame:
-    """Rows of at most ``rows`` vectors each, dealt over ``cells`` cells by their first id."""
+    """Postings of at most ``rows`` vectors each, dealt over ``cells`` cells in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # tasks begin at different cells, spread evenly over them
+        cell = int(TaskContext.get().partitionId() * 0.6180339887498949 % 1 * cells)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                vectors = part.column(1)
-                flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, [len(x) for x in vectors]])
-                dim = int(np.diff(ends).max(initial=0))
-                m = np.zeros((len(ids), dim), np.int64)
-                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                    m[i, : b - a] = flat[a:b]
                 order = np.argsort(ids, kind="stable")
-                ids, m = ids[order], np.ascontiguousarray(m[order].T)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array([int(ids[0]) % cells], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([m.tobytes()], pa.binary()), "n": pa.array([len(ids)], pa.int32()), "dim": pa.array([dim], pa.int32())})
+                vectors = part.column(1).take(pa.array(order))
+                sizes = np.array([len(x) for x in vectors], np.int64)
+                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                term = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                row = np.repeat(np.arange(len(ids)), sizes)
+                there = np.flatnonzero(flat)
+                by_term = there[np.argsort(term[there], kind="stable")]
+                starts = np.searchsorted(term[by_term], np.arange(int(sizes.max(initial=0)) + 1))
+                arrays = (ids[order].astype(np.int64), starts.astype(np.int64), row[by_term].astype(np.int32), flat[by_term])
+                yield pa.RecordBatch.from_arrays([pa.array([cell % cells], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["cell", "ids", "terms", "rows", "weights"])
+                cell += 1
 
     return df.mapInArrow(run, _BLOCK)
 
 
-def accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Scores of all queries against all candidates, a term at a time. q, c: terms by rows."""
-    scores = np.zeros((q.shape[1], c.shape[1]), np.int64)
-    for t in range(min(len(q), len(c))):
-        rows = np.flatnonzero(q[t])
-        if len(rows) == q.shape[1]:
-            scores += q[t][:, None] * c[t]
-        elif len(rows):
-            scores[rows] += q[t][rows][:, None] * c[t]
-    return scores
+Postings = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def accumulate(q: Postings, n_queries: int, c: Postings, n: int) -> np.ndarray:
+    """Scores of all queries against all candidates of two blocks of postings (starts, rows, weights).
+
+    Sums that a long might not hold are made of whole numbers of any size and end at its limits."""
+    largest = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))
+    terms = min(len(q[0]), len(c[0])) - 1
+    exact = largest(q[2]) * largest(c[2]) * max(terms, 1) < _LONG.max
+    kind = np.int64 if exact else object
+    q_weights, c_weights = q[2].astype(kind), c[2].astype(kind)
+    scores = np.zeros((n_queries, n), kind)
+    for t in range(terms):
+        a, b = q[0][t], q[0][t + 1]
+        i, j = c[0][t], c[0][t + 1]
+        if a == b or i == j:
+            continue
+        gains = q_weights[a:b, None] * c_weights[i:j]
+        if j - i == n and b - a == n_queries:  # every row holds the term
+            scores += gains
+        elif j - i == n:
+            scores[q[1][a:b]] += gains
+        else:
+            scores[q[1][a:b, None], c[1][i:j]] += gains
+    return scores if exact else np.clip(scores, _LONG.min + 1, _LONG.max).astype(np.int64)
 
 
 def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,25 +119,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int =
 
     Both inputs come from :func:`integer_vectors`. Vectors of unequal length count zeros
     beyond their end. Rows repeated under one id are one candidate each, but never
-    candidates of a query with that id; a query with fewer than k candidates returns all of
-    them, an empty table nothing.
+    candidates of a query with that id; of queries with one id the least vector counts. A
+    query with fewer than k candidates returns all of them, an empty table nothing. Scores
+    end at the limits of a long. Columns other than id and v are ignored, whatever their names.
     """
     spark = vectors.sparkSession
-    vectors, queries = written(vectors, "vectors"), written(queries.dropDuplicates(["id"]), "queries")
+    vectors = written(vectors.select("id", "v"), "vectors")
+    queries = written(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     across = max(1, math.ceil(vectors.count() / block_rows))
     across, down = min(across, 4 * width), max(1, min(math.ceil(queries.count() / query_rows), 4 * width))
     q = _blocks(queries, query_rows, down).select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"))
-    c = _blocks(vectors, block_rows, across).select(F.col("cell").alias("column"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("cell"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "data", "n", "dim")))
-    pairs = q.join(c, ["cell", "column"]).select("ids", "data", "n", "dim", "c_ids", "c_data", "c_n", "c_dim")
+    c = _blocks(vectors, block_rows, across).select(F.col("cell").alias("column"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("cell"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "terms", "rows", "weights")))
+    pairs = q.join(c, ["cell", "column"]).select("ids", "terms", "rows", "weights", "c_ids", "c_terms", "c_rows", "c_weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int64, np.int32, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                a = np.frombuffer(row["data"], np.int64).reshape(row["dim"], row["n"])
-                b = np.frombuffer(row["c_data"], np.int64).reshape(row["c_dim"], row["c_n"])
-                scores = accumulate(a, b)
+            for i in range(batch.num_rows):
+                blocks = [np.frombuffer(x[i].as_py(), kind) for x, kind in zip(batch.columns, kinds * 2, strict=True)]
+                q_ids, c_ids = blocks[0], blocks[4]
+                scores = accumulate(tuple(blocks[1:4]), len(q_ids), tuple(blocks[5:]), len(c_ids))
                 x, y = select(scores, q_ids[:, None] == c_ids[None, :], k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(c_ids[y]), pa.array(scores[x, y])], names=["query_id", "vec_id", "score"])
 

@@ -183,6 +183,41 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(one, one).collect() == []
 
 
+def best_by_hand(rows, queries, k):
+    """Ranked inner products in whole numbers of any size."""
+    low, high = -(2**63) + 1, 2**63 - 1
+    out = []
+    for q, a in queries:
+        scores = sorted((-max(low, min(high, sum(x * y for x, y in zip(a, b, strict=False)))), c) for c, b in rows if c != q)
+        out += [(q, rank, c, -s) for rank, (s, c) in enumerate(scores[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("density, most", [(1.0, 300), (0.15, 300), (0.5, 2**62)])
+def test_topk_equals_brute_force(spark, density, most):
+    rng = random.Random(most)
+    rows = [(i, [rng.randint(-most, most) if rng.random() < density else 0 for _ in range(rng.choice([7, 9]))]) for i in range(300)]
+    schema = "id long, v array<long>, score long, cell int, rank int"  # names that the operator uses
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], schema)
+    queries = [r for r in rows if r[0] % 50 == 0]
+    got = [tuple(r) for r in topk.top_k(df, df.where("id % 50 = 0"), 5, query_rows=4, block_rows=32).orderBy("query_id", "rank").collect()]
+    assert got == best_by_hand(rows, queries, 5)
+
+
+def test_blocks_are_dealt_evenly(spark):
+    df = spark.range(51200).repartition(4).selectExpr("id", "array(id % 7, 1L) AS v")
+    cells = [r["cell"] for r in topk._blocks(df, 800, 16).select("cell").collect()]
+    assert len(set(cells)) == 16 and max(cells.count(c) for c in set(cells)) <= 2 * len(cells) / 16
+
+
+def test_topk_odd_queries(spark):
+    rows = [(1, [5]), (1, [3]), (2, [1]), (3, [2])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    assert [tuple(r) for r in topk.top_k(df, df.where("id = 1")).orderBy("rank").collect()] == [(1, 1, 3, 6), (1, 2, 2, 3)]
+    far = spark.createDataFrame([(1, [3.0e38, -3.0e38])], "vec_id long, embedding array<float>")
+    assert topk.integer_vectors(far).head()["v"] == [9200000000000000000, -9200000000000000000]
+
+
 def test_mix_reaches_targets(spark):
     got = queries.op1_mix(spark, DATA).toPandas()
     assert (got.taken <= 3 * got["size"]).all()
