@@ -248,17 +248,15 @@ def _promising(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return left.join(enough, ["set_id", "level"], "left_semi").select("token", "set_id", "n")
 
 
-def _overlapping(rows: DataFrame, percent: int, times: int = 2) -> DataFrame:
+def _overlapping(rows: DataFrame, percent: int) -> DataFrame:
     """The (token, set_id, n, root) of sets that may be similar to one of another component.
 
     Similar sets have ``percent`` of the shingles of either in common, each of which has both
     their components. So tokens of one component go, then sets with fewer left than that."""
-    for _ in range(times):
-        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        left = written(rows.join(several, "token", "left_semi"), "open-shingles")
-        enough = left.groupBy("set_id", "n").agg(F.count("*").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("set_id")
-        rows = left.join(enough, "set_id", "left_semi")
-    return written(rows.select("token", "set_id", "n", "root"), "overlapping")
+    several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    left = written(rows.join(several, "token", "left_semi"), "open-shingles")
+    enough = left.groupBy("set_id", "n").agg(F.count("*").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("set_id")
+    return written(left.join(enough, "set_id", "left_semi").select("token", "set_id", "n", "root"), "overlapping")
 
 
 def _hub_counts(rows: DataFrame, weight: Column) -> DataFrame:
