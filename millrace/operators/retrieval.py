@@ -7,14 +7,18 @@ ties by the smaller chunk_id. One plan answers one query or a million.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import dot, hash_slot, norm, sigmoid
+from ..sources.tables import kept, lexical_rows
 from .registry import operator
 
 #: A query side of at most so many rows is sent to every task; a larger one is dealt over cells.
@@ -72,43 +76,88 @@ def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 102
     return top_k(scored, k)
 
 
-def postings(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., chunk_id, term, tf, dl): the lexical index of a chunk table."""
-    words = chunks.select(*by, "chunk_id", tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    return words.select(*by, "chunk_id", "dl", F.explode("_t").alias("term")).groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def lexical_index(chunks: DataFrame) -> DataFrame:
+    """(kb_id, chunk_id, document_id, words, dl): the lexical index of a chunk table, written once."""
+    return kept(lexical_rows(chunks), "lexical")
 
 
 @operator("retriever", "bm25", "llama_bm25")
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, squash: bool = True, index: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, squash: bool = True, index: DataFrame | None = None, most: int = BROADCAST_QUERIES) -> DataFrame:
     """Okapi BM25 top-k, chunks of score 0 included; ``squash`` maps s to sigmoid(s - 2).
 
     A term in more than half of the chunks has a negative idf, which is replaced by
     ``epsilon`` times the mean idf of all terms. A term repeated in a query counts each time.
-    Only postings of query terms reach the score; corpus statistics are one row."""
-    index = index if index is not None else postings(chunks)
-    sizes = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
-    idf = df.select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    ``index`` (chunk_id, words, dl) is read instead of the chunks if given. Few queries (a
+    count decides) are sent to the index, whose batches keep their best k each; else their
+    terms are joined with it."""
+    index = index if index is not None else lexical_index(chunks)
+    sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = index.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
+    idf = kept(df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "idf")
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "qtf", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    matched = index.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
-    # at most k chunks without any query term can be among the best: the k with the smallest ids suffice
-    least = chunks.select("chunk_id").orderBy("chunk_id").limit(k)
-    none = queries.select("query_id").crossJoin(F.broadcast(least)).withColumn("raw", F.lit(0.0))
-    scored = matched.unionByName(none).groupBy("query_id", "chunk_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
+    wanted = terms.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight"))
+    if queries.limit(most + 1).count() <= most:
+        scored = _best_by_batch(queries, wanted, index, k, k1, b)
+    else:
+        postings = index.select("chunk_id", "dl", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        matched = postings.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
+        # at most k chunks without any query term can be among the best: the k with the smallest ids suffice
+        least = index.select("chunk_id").orderBy("chunk_id").limit(k)
+        none = queries.select("query_id").crossJoin(F.broadcast(least)).withColumn("raw", F.lit(0.0))
+        scored = matched.unionByName(none).groupBy("query_id", "chunk_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
     ranked = top_k(scored, k, "raw")
     return ranked.select("query_id", "chunk_id", (F.round(sigmoid(F.col("raw") - 2.0), 9) if squash else F.col("raw")).alias("score"), "rank")
 
 
+def _best_by_batch(queries: DataFrame, wanted: DataFrame, index: DataFrame, k: int, k1: float, b: float, rows: int = 256) -> DataFrame:
+    """(query_id, chunk_id, raw): of every batch of the index the best k chunks of each query.
+
+    The queries' terms make one matrix of weights, which is all that leaves the driver."""
+    numbers = {r[0]: i for i, r in enumerate(queries.select("query_id").distinct().orderBy("query_id").collect())}
+    found = wanted.collect()
+    places = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in found))}
+    weights = np.zeros((len(places), len(numbers)))
+    for r in found:
+        weights[places[r["term"]], numbers[r["query_id"]]] = r["weight"]
+    mean, names, ids = (found[0]["avgdl"] if found else 1.0), list(places), list(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kinds = pa.array(names, pa.string()), pa.array(ids)
+        for batch in batches:
+            chunk_ids, lengths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.argsort(chunk_ids, kind="stable")
+            words = batch.column(2)
+            coded = pc.dictionary_encode(words.flatten())
+            place = pc.fill_null(pc.index_in(coded.dictionary, known), -1).to_numpy(zero_copy_only=False)
+            term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+            pair, tf = np.unique(owner[term >= 0] * max(len(names), 1) + term[term >= 0], return_counts=True)
+            owner, term = np.divmod(pair, max(len(names), 1))
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[owner] / mean))
+            scores = np.zeros((len(words), len(ids)))
+            for at in range(0, len(words), rows):
+                here = slice(*np.searchsorted(owner, [at, at + rows]))
+                if here.start < here.stop:
+                    starts = np.flatnonzero(np.r_[True, np.diff(owner[here]) > 0])
+                    scores[owner[here][starts]] = np.add.reduceat(weights[term[here]] * gain[here, None], starts, axis=0)
+            scores = np.round(scores, 9)[order]
+            best = np.argsort(-scores, axis=0, kind="stable")[:k]
+            at, q = best.ravel(), np.tile(np.arange(len(ids)), len(best))
+            yield pa.RecordBatch.from_arrays([kinds.take(pa.array(q)), pa.array(chunk_ids[order][at]), pa.array(scores[at, q] + 0.0)], names=["query_id", "chunk_id", "raw"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return index.select(F.col("chunk_id").cast("long"), "dl", "words").mapInArrow(run, f"query_id {kind}, chunk_id long, raw double")
+
+
 @operator("retriever", "bm25_per_kb")
 def bm25_per_kb(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """BM25 with each kb's own statistics: the best k of each kb, then the best k of all.
 
     As in the per-kb index, tokens keep their case; only matching chunks are hits."""
     cased = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda t: t != "")
-    words = chunks.select("kb_id", "chunk_id", cased.alias("_t")).withColumn("dl", F.size("_t"))
+    words = kept(chunks.select("kb_id", "chunk_id", cased.alias("_t")).withColumn("dl", F.size("_t")), "cased")
     stats = words.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     index = words.select("kb_id", "chunk_id", "dl", F.explode("_t").alias("term")).groupBy("kb_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = index.groupBy("kb_id", "term").agg(F.count("*").alias("df")).join(stats, "kb_id")
@@ -206,6 +255,51 @@ def parent_document(hits: DataFrame, chunks: DataFrame, k: int = 5, previews: in
     return top_k(merged, k)
 
 
+def is_parent(meta: Column) -> Column:
+    """A parent chunk: it has an id of its own and no parent's. Parents are shown, not indexed."""
+    return F.element_at(meta, "parent_id").isNull() & (F.coalesce(F.element_at(meta, "child"), F.lit("")) == "false")
+
+
+@operator("postprocessor", "parent_context")
+def parent_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with ``context_text``: their parent's text, null for a chunk without one. Parents are
+    found by document and id, as p_0 of two documents differ. ``chunks`` has meta (a map)."""
+    own = chunks.select("chunk_id", "document_id", F.element_at("meta", "parent_id").alias("_parent"))
+    parents = chunks.where(is_parent(F.col("meta"))).select(F.col("document_id").alias("_d"), F.element_at("meta", "chunk_id").alias("_p"), F.col("text").alias("context_text"))
+    found = hits.join(own, "chunk_id", "left").join(parents, (F.col("document_id") == F.col("_d")) & (F.col("_parent") == F.col("_p")), "left")
+    return found.select(*hits.columns, "context_text")
+
+
+@operator("retriever", "ann")
+def approximate(queries: DataFrame, chunks: DataFrame, k: int = 5, cells: int | None = None, probes: int = 8, sample: int = 100_000, exclude_self: bool = False, seed: int = 7) -> DataFrame:
+    """Cosine top-k by an inverted file: vectors are dealt to the nearest of ``cells`` centres (the
+    square root of their number by default), a query looks into its ``probes`` nearest cells.
+
+    Centres are fitted on a sample of about ``sample`` vectors; every vector is indexed. The exact
+    way is :func:`dense`."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    length = norm(F.col("vector"))
+    unit = lambda df, *cols: df.where(length > 0).select(*cols, F.transform("vector", lambda x: x.cast("double") / length).alias("_u"))
+    c = kept(unit(chunks, "chunk_id"), "unit-vectors")
+    n = c.count()
+    if not n:
+        return top_k(queries.select("query_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0), k)
+    cells = min(cells or max(1, round(n**0.5)), n)
+    points = (c if n <= sample else c.sample(sample / n, seed=seed)).select(array_to_vector("_u").alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(points) if cells > 1 else None
+    centres = [list(map(float, x)) for x in model.clusterCenters()] if model else [[0.0] * len(c.head()["_u"])]
+    # the nearest centre is the one of the largest inner product less half its squared length
+    near = F.array(*(F.struct((dot(F.col("_u"), F.lit(x)) - 0.5 * sum(v * v for v in x)).alias("s"), F.lit(i).alias("cell")) for i, x in enumerate(centres)))
+    filed = model.transform(c.withColumn("features", array_to_vector("_u"))).select("chunk_id", F.col("_u").alias("_c"), F.col("prediction").alias("_cell")) if model else c.select("chunk_id", F.col("_u").alias("_c"), F.lit(0).alias("_cell"))
+    asked = unit(queries, "query_id").select("query_id", F.col("_u").alias("_q"), F.explode(F.transform(F.slice(F.sort_array(near, asc=False), 1, probes), lambda x: x["cell"])).alias("_cell"))
+    pairs = filed.join(asked, "_cell").where(F.size("_q") == F.size("_c"))
+    if exclude_self:
+        pairs = pairs.where("query_id <> chunk_id")
+    return top_k(pairs.select("query_id", "chunk_id", F.round(dot(F.col("_q"), F.col("_c")), 9).alias("score")), k)
+
+
 @operator("postprocessor", "rerank")
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, provider: str = "overlap") -> DataFrame:
     """Order hits anew. ``none`` gives 1 - 0.01 per place; ``overlap`` the share of the query's
@@ -244,6 +338,7 @@ def threshold(hits: DataFrame, at_least: float) -> DataFrame:
 def prompt(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, prompt): numbered sources in order of rank, then the question; queries
     without hits get a prompt that says so."""
+    # The prompt's labels.
     rows = hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id")
     source = F.concat(F.lit("[来源 "), F.col("rank").cast("string"), F.lit("] "), F.coalesce("title", F.lit("未知文档")), F.lit("\n"), F.col("text"))
     context = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))), lambda x: x["s"]), "\n\n").alias("context"))
