@@ -59,6 +59,18 @@ def language(text: Column, filename: Column | None = None) -> Column:
     return F.coalesce(known, by_words)
 
 
+def place_key(document_id: Column, chunk_index: Column) -> Column:
+    """A chunk's id that follows from its place, so that a repeated ingest gives it again."""
+    return F.md5(F.concat_ws("|", document_id.cast("string"), chunk_index.cast("string")))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as days (if any), hours and minutes."""
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    days = F.when(seconds >= 86400, F.concat(whole(seconds / 86400), F.lit("d "))).otherwise(F.lit(""))
+    return F.concat(days, whole(seconds % 86400 / 3600), F.lit("h "), whole(seconds % 3600 / 60), F.lit("m"))
+
+
 def project_ids(c: Column) -> Column:
     """Ids like AB-001 that a text names, in order, each once."""
     found = F.regexp_extract_all(F.upper(c), F.lit(r"\b([A-Z]{2,10}[-_ ]?[0-9]{3,4})\b"))
@@ -98,7 +110,7 @@ def route(query: Column) -> Column:
         r"(解释|说明|介绍|描述)",
     ]
     keyword = [r"^[a-z]+(?:_[a-z]+)*$", r"^[a-z]+(?:-[a-z]+)*$", r"^\S+$"]
-    fits = lambda ps: query.rlike("|".join(f"(?i:{p})" for p in ps))
+    fits = lambda ps: query.rlike("|".join(f"(?iU:{p})" for p in ps))
     low = strip(F.lower(query))
     words = F.size(tokens(query))
     out = lambda kind, retriever, sure: F.struct(F.lit(kind).alias("query_type"), F.lit(retriever).alias("retriever"), F.lit(sure).alias("confidence"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shortened
+from ..streaming.ingest import retry_outcomes
 
 
 def in_scope(docs: DataFrame, tenant: str, kbs: Sequence[str], tenant_col: str = "lang", kb_col: str = "source") -> DataFrame:
@@ -92,6 +93,42 @@ def newest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def valid_keys(presented: DataFrame, keys: DataFrame, tenants: DataFrame, now: Column) -> DataFrame:
+    """(request_id, key_id, verdict) of presented keys: ok; disabled, where the tenant is not active; or
+    invalid, where no key of that hash is neither revoked nor expired. ``presented``: request_id,
+    secret; ``keys``: key_id, hashed_key, revoked, expires_at, tenant_id; ``tenants``: tenant_id, status."""
+    good = keys.where(~F.col("revoked") & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).join(tenants, "tenant_id")
+    asked = presented.select("request_id", F.sha2("secret", 256).alias("hashed_key"))
+    verdict = F.when(F.col("key_id").isNull(), "invalid").when(F.col("status") != "active", "disabled").otherwise("ok")
+    return asked.join(good, "hashed_key", "left").select("request_id", "key_id", verdict.alias("verdict"))
+
+
+def to_retry(chunks: DataFrame, most: int = 3, n: int = 50) -> DataFrame:
+    """The next ``n`` failed chunks (chunk_id, indexing_status, retry_count) that may be tried again."""
+    return chunks.where((F.col("indexing_status") == "failed") & (F.col("retry_count") < most)).orderBy("chunk_id").limit(n)
+
+
+def _chunk_states(log: DataFrame) -> DataFrame:
+    """A key's calls as attempts to index a chunk: the last call decides, errors count as retries."""
+    return log.groupBy(F.col("api_key_id").alias("chunk_id")).agg(F.when(F.max_by("status_code", F.struct("ts", "event_id")) >= 400, "failed").otherwise("indexed").alias("indexing_status"), (F.count_if(F.col("status_code") >= 400) % 5).cast("int").alias("retry_count"))
+
+
+def _keys(customers: DataFrame, nations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as key holders, nations as tenants, and the secrets that are presented."""
+    secret = lambda n: F.concat(F.lit("sk-"), n.cast("string"))
+    key = F.col("c_custkey")
+    keys = customers.select(key.alias("key_id"), F.sha2(secret(key), 256).alias("hashed_key"), (key % 7 == 0).alias("revoked"), F.when(key % 3 == 0, F.to_date(F.lit("2024-01-01")) + (key % 20).cast("int")).alias("expires_at"), F.col("c_nationkey").alias("tenant_id"))
+    tenants = nations.select(F.col("n_nationkey").alias("tenant_id"), F.when(F.col("n_nationkey") % 4 == 1, "disabled").otherwise("active").alias("status"))
+    return customers.select(key.alias("request_id"), secret(key * 2).alias("secret")), keys, tenants
+
+
+def by_title(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(title, doc_id, n_same) of the documents whose titles are wanted. Titles may repeat: each of a
+    title's documents is mapped, none overwrites another."""
+    same = Window.partitionBy("title")
+    return docs.join(wanted.select("title").distinct(), "title").select("title", "doc_id", F.count("*").over(same).alias("n_same"))
+
+
 def registered(table: Callable) -> dict[str, tuple[Callable, str | None]]:
     """Queries over the driver tables, with their SQL."""
     docs = lambda s, d: table(s, d, "documents")
@@ -99,22 +136,27 @@ def registered(table: Callable) -> dict[str, tuple[Callable, str | None]]:
     kbs = lambda s, d: docs(s, d).groupBy(F.col("source").alias("kb_id")).agg(F.count("*").alias("n_docs"))
     log_sql = "(SELECT event_id, ts, user_id AS api_key_id, event_type AS action, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code FROM events)"
     stats_sql = "count(*) AS total, count_if(status_code >= 400)::BIGINT AS errors, round(count_if(status_code >= 400) / count(*), 6) AS error_rate, round(avg(duration_ms), 2) AS avg_duration_ms"
+    states_sql = "(SELECT user_id AS chunk_id, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'failed' ELSE 'indexed' END AS indexing_status, (count_if(event_type = 'error') % 5)::INTEGER AS retry_count FROM events GROUP BY user_id)"
     return {
         "f1_tenant_kb": (lambda s, d: in_scope(docs(s, d), "fr", ["src0", "src7"]).select("doc_id"), "SELECT doc_id FROM documents WHERE lang = 'fr' AND source IN ('src0', 'src7')"),
         "f3_metadata_match": (lambda s, d: docs(s, d).where(F.col("lang").eqNullSafe("de") & F.col("source").eqNullSafe("src3")).select("doc_id"), "SELECT doc_id FROM documents WHERE lang IS NOT DISTINCT FROM 'de' AND source IS NOT DISTINCT FROM 'src3'"),
         "f4_fuzzy_match": (lambda s, d: docs(s, d).where(F.contains(F.lower("source"), F.lit("src1"))).select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'src1')"),
         "f8_scope_check": (lambda s, d: kbs(s, d).select("kb_id", F.size(scope_violations(F.array("kb_id"), F.array(F.lit("src1"), F.lit("src2")))).alias("n_outside")), "SELECT source AS kb_id, CASE WHEN source IN ('src1', 'src2') THEN 0 ELSE 1 END AS n_outside FROM documents GROUP BY source"),
         "f9_json_flag": (lambda s, d: table(s, d, "events").where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", F.get_json_object("props", "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL"),
-        "f10_retry_selection": (lambda s, d: log(s, d).where("status_code = 500 AND event_id % 4 < 3").orderBy("event_id").limit(50).select("event_id"), f"SELECT event_id FROM {log_sql} WHERE status_code = 500 AND event_id % 4 < 3 ORDER BY event_id LIMIT 50"),
+        "f10_retry_selection": (lambda s, d: to_retry(_chunk_states(log(s, d))).select("chunk_id", "retry_count"), f"SELECT chunk_id, retry_count FROM {states_sql} WHERE indexing_status = 'failed' AND retry_count < 3 ORDER BY chunk_id LIMIT 50"),
+        "a13_retry_outcomes": (lambda s, d: retry_outcomes(_chunk_states(log(s, d)).where("indexing_status = 'failed' and retry_count < 3").withColumn("ok", F.col("chunk_id") % 2 == 0)), f"SELECT count_if(chunk_id % 2 = 0)::BIGINT AS success, count_if(chunk_id % 2 = 1 AND retry_count < 2)::BIGINT AS failed, count_if(chunk_id % 2 = 1 AND retry_count >= 2)::BIGINT AS skipped FROM {states_sql} WHERE indexing_status = 'failed' AND retry_count < 3"),
         "f11_audit_filter": (lambda s, d: audit_filter(log(s, d), action="click", min_status=200).select("event_id", "duration_ms"), f"SELECT event_id, duration_ms FROM {log_sql} WHERE action = 'click' AND status_code >= 200"),
-        "f13_key_validity": (lambda s, d: newest(log(s, d).where("status_code < 400"), ["api_key_id"], [F.desc("ts"), F.desc("event_id")]).select("api_key_id", "event_id"), f"SELECT api_key_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY api_key_id ORDER BY ts DESC, event_id DESC) AS n FROM {log_sql} WHERE status_code < 400) WHERE n = 1"),
+        "f13_key_validity": (
+            lambda s, d: valid_keys(*_keys(table(s, d, "customer"), table(s, d, "nation")), F.to_date(F.lit("2024-01-10"))),
+            "WITH k AS (SELECT c_custkey AS key_id, CASE WHEN c_nationkey % 4 = 1 THEN 'disabled' ELSE 'active' END AS status FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR DATE '2024-01-01' + (c_custkey % 20)::INTEGER > DATE '2024-01-10')) SELECT c_custkey AS request_id, key_id, CASE WHEN key_id IS NULL THEN 'invalid' WHEN status <> 'active' THEN 'disabled' ELSE 'ok' END AS verdict FROM customer LEFT JOIN k ON key_id = c_custkey * 2",
+        ),
         "f14_indexable": (lambda s, d: docs(s, d).where("text is not null and length(text) > 0").select("doc_id"), "SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0"),
         "j1_document_kb": (lambda s, d: docs(s, d).join(kbs(s, d), F.col("source") == F.col("kb_id")).select("doc_id", "kb_id", "n_docs"), "SELECT doc_id, kb_id, n_docs FROM documents JOIN (SELECT source AS kb_id, count(*) AS n_docs FROM documents GROUP BY source) ON source = kb_id"),
         "j2_document_label_count": (lambda s, d: docs(s, d).select("doc_id").join(table(s, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_labels")), "SELECT doc_id, coalesce(n, 0) AS n_labels FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) USING (doc_id)"),
         "j3_key_tenant": (lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
         "j4_semi": (lambda s, d: docs(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "j5_anti": (lambda s, d: docs(s, d).join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-        "j11_title_mapping": (lambda s, d: docs(s, d).select("doc_id", F.concat_ws("-", "source", "doc_id").alias("title")).join(docs(s, d).select(F.concat_ws("-", "source", "doc_id").alias("title"), "lang"), "title").select("doc_id", "title", "lang"), "SELECT doc_id, source || '-' || doc_id AS title, lang FROM documents"),
+        "j11_title_mapping": (lambda s, d: by_title(docs(s, d).select("doc_id", F.concat_ws("-", "source", F.col("doc_id") % 20).alias("title")), docs(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.concat_ws("-", "source", F.col("doc_id") % 20).alias("title"))), "WITH t AS (SELECT doc_id, source || '-' || (doc_id % 20) AS title FROM documents) SELECT title, doc_id, count(*) OVER (PARTITION BY title) AS n_same FROM t WHERE title IN (SELECT title FROM t JOIN labels USING (doc_id) WHERE quality = 1)"),
         "a1_total": (lambda s, d: page_count(docs(s, d), 20), "SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS pages FROM documents"),
         "a2_per_group": (lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn")), "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id"),
         "a3_kbs_per_tenant": (lambda s, d: docs(s, d).groupBy("lang").agg(F.countDistinct("source").alias("kbs")), "SELECT lang, count(DISTINCT source) AS kbs FROM documents GROUP BY lang"),

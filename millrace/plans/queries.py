@@ -157,11 +157,6 @@ def c8_sentence(spark, d):
 
 # ---------------------------------------------------------------- scans and scalars
 
-@query("s2_text_parser", "SELECT doc_id, 'text' AS format, source || '-' || doc_id || '.txt' AS filename, length(text)::INTEGER AS char_count FROM documents")
-def s2_text_parser(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit("text").alias("format"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.length("text").alias("char_count"))
-
-
 @query("s9_url_documents", "SELECT page_id, 'url' AS source, url AS title, length(html)::INTEGER AS char_count, md5(html) AS digest FROM pages")
 def s9_url_documents(spark, d):
     return table(spark, d, "pages").select("page_id", F.lit("url").alias("source"), F.col("url").alias("title"), F.length("html").alias("char_count"), F.md5("html").alias("digest"))
@@ -236,11 +231,23 @@ def e7_enrichment_context(spark, d):
     return relational.neighbours(chunks(spark, d))
 
 
-@query("r23_router", r"""
-SELECT item_id AS query_id, CASE WHEN regexp_matches(text, '(?i)\b(function|def|class|method|api|endpoint)\b|\b(import|from|require|include)\b|\b(error|exception|bug|fix)\b.*\b(code|function|method)\b|`[^`]+`|\b\w+\(\)|\b(how to|how do i)\b.*\b(implement|code|write|create)\b|\.(py|js|ts|java|go|rs|cpp|c|h)\b') THEN 'code'
-  WHEN regexp_matches(text, '(?i)^(what|what''s|whats)\s+(is|are|was|were)\b|^(how|why|when|where|who)\b|^(explain|describe|tell me|can you)\b') THEN 'semantic' ELSE 'hybrid' END AS query_type FROM benchmark""")
+# The router's patterns, as in functions.text.route, words of any letters.
+_CODE = r"\b(function|def|class|method|api|endpoint)\b|\b(import|from|require|include)\b|\b(error|exception|bug|fix)\b.*\b(code|function|method)\b|`[^`]+`|[\w\p{L}]+\(\)|\b(how to|how do i)\b.*\b(implement|code|write|create)\b|\.(py|js|ts|java|go|rs|cpp|c|h)\b"
+_SEMANTIC = r"^(what|what''s|whats)\s+(is|are|was|were)\b|^(how|why|when|where|who)\b|^(explain|describe|tell me|can you)\b|(什么|为什么|怎么|如何|怎样|哪个|哪些)|(解释|说明|介绍|描述)"
+_KEYWORD = r"^[a-z]+(?:_[a-z]+)*$|^[a-z]+(?:-[a-z]+)*$|^\S+$"
+
+
+@query("r23_router", f"""
+WITH t AS (SELECT item_id * 10 + n AS query_id, CASE n WHEN 0 THEN text WHEN 1 THEN split_part(text, ' ', 1) WHEN 2 THEN 'what is ' || text WHEN 3 THEN '请解释 ' || split_part(text, ' ', 2) ELSE split_part(text, ' ', 1) || '()' END AS q FROM benchmark, range(5) AS r(n)),
+k AS (SELECT query_id, CASE WHEN regexp_matches(q, '(?i){_CODE}') THEN 'code' WHEN regexp_matches(q, '(?i){_SEMANTIC}') THEN 'semantic'
+  WHEN len({TOKENS.format("q")}) <= 3 AND regexp_matches(trim(lower(q), ' ' || chr(9) || chr(10) || chr(13)), '{_KEYWORD}') THEN 'keyword' ELSE 'hybrid' END AS query_type FROM t)
+SELECT query_id, query_type, CASE query_type WHEN 'semantic' THEN 'dense' WHEN 'keyword' THEN 'bm25' ELSE 'hybrid' END AS retriever, CASE query_type WHEN 'keyword' THEN 0.7::DOUBLE WHEN 'hybrid' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM k""")
 def r23_router(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), fx.route(F.col("text"))["query_type"].alias("query_type"))
+    """Whole items and, of each, a word, a question, a Chinese request and a call: all classes."""
+    first = F.substring_index("text", " ", 1)
+    forms = F.array(F.col("text"), first, F.concat(F.lit("what is "), "text"), F.concat(F.lit("请解释 "), F.split_part("text", F.lit(" "), F.lit(2))), F.concat(first, F.lit("()")))
+    q = table(spark, d, "benchmark").select("item_id", F.posexplode(forms).alias("n", "q"))
+    return q.select((F.col("item_id") * 10 + F.col("n")).alias("query_id"), fx.route(F.col("q")).alias("r")).select("query_id", "r.query_type", "r.retriever", F.col("r.confidence").cast("double").alias("confidence"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -586,3 +593,6 @@ for _name, (_f, _sql) in relational.registered(table).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLE[_name] = _sql
+
+
+from . import service  # noqa: E402, F401  (registers its queries)

@@ -317,3 +317,51 @@ def results_table(results: DataFrame, fields: list[str]) -> DataFrame:
     order and with the headings that the service's spreadsheets have."""
     value = lambda f: F.when(F.col("success"), F.element_at("fields", F.lit(f))).alias(f)
     return results.select(F.col("filename").alias("文件名"), *(value(f) for f in fields), F.when(F.col("success"), "成功").otherwise("失败").alias("状态"), F.when(~F.col("success"), F.col("error")).alias("错误信息"))
+
+
+def workbook_bytes(pages: dict[str, list[list[object]]]) -> bytes:
+    """An .xlsx file of sheets by name, each a list of rows; None is an empty cell."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    packaged = "http://schemas.openxmlformats.org/package/2006"
+
+    def letters(n: int) -> str:
+        return (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    def cell(value: object, at: str) -> str:
+        if value is None:
+            return ""
+        if isinstance(value, bool):
+            return f'<c r="{at}" t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, int | float):
+            return f'<c r="{at}"><v>{value}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        write = lambda name, body: archive.writestr(zipfile.ZipInfo(name), '<?xml version="1.0" encoding="UTF-8"?>' + body)
+        numbers = range(1, len(pages) + 1)
+        kinds = f"{packaged}/content-types"
+        sheet_type = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        write("[Content_Types].xml", f'<Types xmlns="{kinds}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{sheet_type}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{sheet_type}.worksheet+xml"/>' for i in numbers) + "</Types>")
+        write("_rels/.rels", f'<Relationships xmlns="{packaged}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        write("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="s{i}"/>' for i, name in zip(numbers, pages, strict=True)) + "</sheets></workbook>")
+        write("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{packaged}/relationships">' + "".join(f'<Relationship Id="s{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>")
+        for i, rows in zip(numbers, pages.values(), strict=True):
+            body = "".join(f'<row r="{r}">' + "".join(cell(v, f"{letters(c)}{r}") for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+            write(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def results_workbooks(table: DataFrame, by: str, sheet: str) -> DataFrame:
+    """(path, content): a workbook for each value of ``by``, of the other columns under their names.
+
+    A group's rows make one file, so it is gathered: groups must be of a file's size."""
+    names = [c for c in table.columns if c != by]
+
+    def make(rows: pa.Table) -> pa.Table:
+        body = [[r[c] for c in names] for r in rows.to_pylist()]
+        return pa.table({"path": [f"{rows.column(by)[0].as_py()}.xlsx"], "content": pa.array([workbook_bytes({sheet: [names, *body]})], pa.binary())})
+
+    return table.groupBy(by).applyInArrow(make, "path string, content binary")
