@@ -301,18 +301,21 @@ def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, doc_id: str =
 
 
 def kept(docs: DataFrame, model: CoTrained, keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, whole, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, whole, with all their columns.
+
+    Columns that the views read travel twice only where they are missing or of another type."""
     names, p = docs.columns, "_view_"
     while any(c.lower().startswith(p) for c in names):
         p += "_"
-    wanted = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    view = [(F.col(c) if c in names else F.lit(None)).cast(k).alias(p + c) for c, k in wanted.items()]
-    with_view = docs.select("*", *view)
+    wanted = {"text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
+    here = {f.name: f.dataType.simpleString() for f in docs.schema}
+    place = {c: c if here.get(c) == kind else p + c for c, kind in wanted.items()}
+    view = [(F.col(c) if c in names else F.lit(None)).cast(kind).alias(p + c) for c, kind in wanted.items() if place[c] != c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2048, 1 << 20):
-                seen = pa.RecordBatch.from_arrays([part.column(p + c) for c in wanted], names=list(wanted))
+                seen = pa.RecordBatch.from_arrays([part.column(place[c]) for c in wanted], names=list(wanted))
                 yield part.select(names).filter(pa.array(model.score(*_features(seen))[2] >= keep_at))
 
-    return with_view.mapInArrow(run, docs.schema)
+    return docs.select("*", *view).mapInArrow(run, docs.schema)
