@@ -17,10 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests) a temporary folder is made and set.
+    Where a local session has none a temporary folder is made and set. On a cluster executors
+    would not see it, so there a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("millrace.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.shared.dir", folder)
     return folder.rstrip("/")

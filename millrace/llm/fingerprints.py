@@ -88,7 +88,8 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text has its last floor(n_chars / 2) code points replaced by the first as
     many (or all) of the next document's, in descending doc_id, after the last the first.
     Null text is empty; null ids come last; rows of one id follow each other in the order of
-    a hash of their texts. The only document is its own next. An empty table gives no rows.
+    a hash of their texts. The only document is its own next. Long texts count whole. Other
+    columns are ignored, whatever their names. An empty table gives no rows.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows, _ = in_chain(docs, doc_id, text)

@@ -224,6 +224,8 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, scheme: Scheme) -> DataF
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (set_id, root) after the components that links (a, b) join are one."""
     links = written(links, "links")
+    if links.isEmpty():
+        return labels
     ends = [labels.select(F.col("set_id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
     between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     upper = merge(labels.select(F.col("root").alias("id")).distinct(), between)

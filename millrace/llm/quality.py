@@ -251,7 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: in
 
     Each round scores all unlabelled documents, and each view hands the other the ``each`` of
     every source that it is most sure of. A document labelled several times counts by its mean
-    label, ties as good; null labels and ids drop out; labels of documents not there, too."""
+    label, ties as good; null labels and ids drop out; labels of documents not there, too. Of rows
+    repeated under one id one teaches. Null and empty texts count as texts without words. Without
+    documents, or labels of both kinds, the model gives the share of good labels. Columns other
+    than the views' are ignored, whatever their names."""
     mean = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     wanted, spark = _wanted(docs, doc_id), docs.sparkSession
     known = mean.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled)

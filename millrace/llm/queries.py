@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL.
+
+Each applies its operator to its whole table. What null, empty, long, repeated and missing rows
+and clashing columns give is stated by the operators."""
 
 from __future__ import annotations
 
@@ -12,24 +15,29 @@ from .common import read
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words the mix takes of it: sources weigh 1, 2, 3, at most 3 times each."""
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), max_copies=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of documents linked at 85% of four-word shingles."""
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
     import public_tokenizers
 
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in sequences of 1024 tokens."""
     import public_tokenizers
 
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
@@ -63,24 +71,29 @@ PATTERNS = url_filter.parse_rules("""
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host and path, the rule and pattern that fit, and the verdict."""
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), HOST_RULES, PATTERNS).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of each whose id is divisible by 50."""
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its text, its metadata and both."""
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens as read back from the files."""
     import public_tokenizers
 
     return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

@@ -113,7 +113,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
     Words are runs of anything but ASCII white space, lower-cased; each is cut greedily
     into the longest pieces; one that ends a word fits only there. Null and empty texts have 0
-    of both. Repeated rows are counted each; very long words take one pass.
+    of both. Repeated rows and null ids are counted each; very long words take one pass. Other
+    columns are ignored, whatever their names. An empty table gives no rows.
     """
     cache: dict[str, int] = {}
 
