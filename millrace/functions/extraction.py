@@ -53,6 +53,6 @@ def payload_of(found: Column, project: Column) -> Column:
     return F.map_concat(F.map_filter(first, lambda k, v: k != PROJECT), F.create_map(F.lit(PROJECT), project))
 
 
-def typed(found: Column, schema: str) -> Column:
-    """A payload's JSON text as a struct of a schema's fields; what doesn't fit is null."""
-    return F.from_json(F.to_json(found), schema)
+def typed(found: Column, fields: dict[str, str]) -> Column:
+    """A payload as a struct of a schema's fields (name to type); what is missing or doesn't fit is null."""
+    return F.struct(*(F.element_at(found, F.lit(name)).try_cast(kind).alias(name) for name, kind in fields.items()))

@@ -150,7 +150,7 @@ def _answers(spark, d):
 
 @query("e8_field_extraction", "SELECT event_id, 'nd' || lpad((event_id % 50)::VARCHAR, 3, '0') AS project, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def e8_field_extraction(spark, d):
-    fields = extraction.typed(F.col("found")[0], "`项目` string, k int")
+    fields = extraction.typed(F.col("found")[0], {"项目": "string", "k": "int"})
     return _answers(spark, d).select("event_id", fields["项目"].alias("project"), fields["k"].alias("k"))
 
 
