@@ -32,7 +32,7 @@ third of all sets share is never among the rarest; copies never pair with each o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +190,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
 def set_components(sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``sets`` (of :func:`shingled`) with root (a set_id that names the component; null for an
     empty set) and component_id (its least doc_id; null if it has none, or for an empty set)."""
-    labels = _links(docs, sets, size, Scheme(percent))
+    return named_components(sets, _links(docs, sets, size, Scheme(percent)))
+
+
+def named_components(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``sets`` with root and component_id, from the (set_id, root) of sets that may have links."""
     # a set's component is named by the least document of all its sets
     named = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     if labels is not None:
@@ -214,14 +218,14 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, scheme: Scheme) -> DataF
     for choice in CHOICES[:HUB_ROUNDS]:
         if rows.isEmpty():
             return labels
-        labels = _joined(labels, similar(_named_hubs(rows, choice), arrays, scheme.percent))
+        labels = joined(labels, similar(_named_hubs(rows, choice), arrays, scheme.percent))
         rows = _overlapping(rows.drop("root").join(labels, "set_id"), scheme.percent)
     if rows.isEmpty():
         return labels
-    return _joined(labels, _links_in_groups(rows, arrays, labels, scheme.percent))
+    return joined(labels, _links_in_groups(rows, arrays, labels, scheme.percent))
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (set_id, root) after the components that links (a, b) join are one."""
     links = written(links, "links")
     if links.isEmpty():
@@ -297,6 +301,13 @@ def _links_in_groups(rows: DataFrame, arrays: DataFrame, labels: DataFrame, perc
     opened = overlap.where(F.col("c") >= need).select("set_id", F.col("other").alias("grp")).unionByName(home).distinct()
     opened = written(opened.join(home.select("set_id", F.col("grp").alias("own")), "set_id").select("set_id", "grp", (F.col("grp") == F.col("own")).alias("home")), "opened")
 
+    return differing_pairs(opened, arrays, labels, percent, lambda pairs: similar(pairs, arrays, percent))
+
+
+def differing_pairs(opened: DataFrame, arrays: DataFrame, labels: DataFrame, percent: int, only: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(a, b) of different components in the groups of ``opened`` (set_id, grp: its hub's set_id,
+    home): sets near their hub with it, and others whose differences from it let them be similar
+    (those of them that ``only`` keeps)."""
     sets = arrays.select("set_id", "n", "shingles").join(labels, "set_id")
     hubs = sets.select(F.col("set_id").alias("grp"), F.col("n").alias("n_hub"), F.col("shingles").alias("hub"), F.col("root").alias("hub_root"))
     apart = F.concat(F.array_except("shingles", "hub"), F.array_except("hub", "shingles"))
@@ -304,7 +315,7 @@ def _links_in_groups(rows: DataFrame, arrays: DataFrame, labels: DataFrame, perc
     apart = apart.withColumn("d", F.size("apart")).withColumn("near", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_hub")))
     apart = written(apart, "apart")
     by_hub = apart.where("near and root <> hub_root").select(F.col("set_id").alias("a"), F.col("grp").alias("b"))
-    return by_hub.unionByName(similar(_pairs_in_groups(apart.drop("hub_root"), percent), arrays, percent))
+    return by_hub.unionByName(only(_pairs_in_groups(apart.drop("hub_root"), percent)))
 
 
 def _pairs_in_groups(apart: DataFrame, percent: int) -> DataFrame:

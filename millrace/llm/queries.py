@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, jaccard_join, mixing, packing, quality, token_counts, token_files, topk, url_filter
+from . import fingerprints, html_text, jaccard_join, minhash, mixing, packing, quality, resampling, token_counts, token_files, topk, url_filter, vector_codes
 from .common import read
 
 
@@ -99,6 +99,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the quarter that is drawn."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), shortest=1, longest=2, buckets=10_000, seed=7, least_words=20, percent=25)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of 8 parts with 16 entries each, learned in 6 rounds."""
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates, 85% of five-word shingles, and whether it stays."""
+    return minhash.near_components(read(spark, sf_dir, "documents"), size=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_html_text": op2_html_text,
@@ -110,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
+    "op11_resample": op11_resample,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE: dict[str, str] = {}
@@ -219,3 +237,80 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n_shingles, CASE WHEN n.n_shingles > 0 THEN c.root ELSE n.doc_id END AS component_id
 FROM n LEFT JOIN cls ON cls.h = n.h AND n.n_shingles > 0 LEFT JOIN c ON c.id = cls.rep
 """
+
+ORACLE["op13_minhash"] = (
+    ORACLE["op3_jaccard_join"].replace("len(w) < 4", "len(w) < 5").replace("len(w) - 2), lambda i: array_to_string(w[i:i + 3]", "len(w) - 3), lambda i: array_to_string(w[i:i + 4]")
+    .replace("ELSE n.doc_id END AS component_id", "ELSE n.doc_id END AS component_id,\n  n.doc_id = CASE WHEN n.n_shingles > 0 THEN c.root ELSE n.doc_id END AS kept")
+)
+
+#: crc32 goes byte by byte through a table of 256 remainders, which is made by the rule of its polynomial.
+ORACLE["op11_resample"] = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)
+), w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), tw AS (
+  SELECT coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark
+), f AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w
+), tf AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM tw
+), grams AS (
+  SELECT g FROM f UNION SELECT g FROM tf
+), b AS (
+  SELECT g, xor(list_reduce(list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM grams, crc_table
+), s AS (
+  SELECT bucket, count(*) AS n FROM f JOIN b USING (g) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM tf JOIN b USING (g) GROUP BY bucket
+), gain AS (
+  SELECT r.i AS bucket, floor(1000 * ln(((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)) / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM range(10000) AS r(i) LEFT JOIN s ON s.bucket = r.i LEFT JOIN t ON t.bucket = r.i
+), d AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (g) JOIN gain USING (bucket) GROUP BY doc_id
+), h AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(d.n, 0)::BIGINT AS n_features, coalesce(d.weight, 0) AS weight,
+    coalesce(d.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN d USING (doc_id)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS eligible FROM h
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 25 * eligible // 100 THEN r END::BIGINT AS rank FROM o
+"""
+
+
+def _rounds_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Rounds of assignment and means as one common table each."""
+    near = """a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := entry)) AS best
+  FROM x JOIN c{i} USING (part) GROUP BY ALL
+)"""
+    mean = """c{j} AS MATERIALIZED (
+  SELECT c{i}.part, c{i}.entry, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY pos) AS c FROM (
+      SELECT part, best.e AS entry, pos, sum(v[pos])::DOUBLE AS s, count(*) AS n FROM a{i}, range(1, 1 + (SELECT max(len(v)) FROM x)) AS r(pos) GROUP BY ALL
+    ) GROUP BY ALL
+  ) AS m ON m.part = c{i}.part AND m.entry = c{i}.entry
+)"""
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [mean.format(i=i, j=i + 1), near.format(i=i + 1)]
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, label, p.part, v[p.part * len(v) // {parts} + 1:(p.part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) AS p(part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL
+), book AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
+ORACLE["op12_vector_codes"] = _rounds_sql()
