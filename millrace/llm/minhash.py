@@ -14,8 +14,8 @@ shares most buckets with others, so that families of copies of one text take one
 copy; links merge components. A second round takes a hub among the sets outside the first
 hub's component. In buckets that still hold several components, sets outside the first hub's
 are paired with all others where that makes at most ``PAIRED`` pairs. Larger ones take an exact
-way: their sets are described by how they differ from the hub, and only those with enough common
-differences become candidates. All of these pass the same sequential and exact verification. No
+way: their sets are described by how they differ from one of the hubs of their hub's component,
+and only those with enough common differences become candidates. All of these pass the same sequential and exact verification. No
 bucket is capped.
 
 A pair at the threshold has none of the bands with a chance of (1 - t^ROWS)^BANDS: for 0.85, 1e-6.
@@ -151,12 +151,15 @@ def _beside(rows: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _rest(rows: DataFrame, hubs: DataFrame, arrays: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) among sets of different components of open buckets, other than with hubs."""
-    dealt = written(_beside(rows, hubs, labels).select("key", "set_id", "root", "hub", "outside"), "rest")
+    dealt = written(_beside(rows, hubs, labels).select("key", "set_id", "root", "hub", "hub_root", "outside"), "rest")
     few = (F.count_if("outside") * F.count("*") <= PAIRED).alias("few")
     dealt = dealt.join(written(dealt.groupBy("key").agg(few), "bucket-sizes"), "key")
     ends = [dealt.where("few").select("key", F.col("set_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("outside").alias(f"outside_{x}")) for x in ("a", "b")]
     pairs = ends[0].where("outside_a").join(ends[1], "key").where("root_a <> root_b and (a < b or not outside_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    opened = dealt.where("not few").select("set_id", F.col("hub").alias("grp")).distinct().withColumn("home", F.lit(True))
+    # hubs of one component are one group, described from the hub of most buckets
+    large = written(dealt.where("not few").groupBy("set_id", "hub", "hub_root").agg(F.count("*").alias("c")), "large")
+    named = large.groupBy("hub_root", "hub").agg(F.sum("c").alias("c")).groupBy("hub_root").agg(F.max_by("hub", F.struct("c", "hub")).alias("grp"))
+    opened = large.select("set_id", "hub_root").distinct().join(written(named, "group-hubs"), "hub_root").select("set_id", "grp", F.lit(True).alias("home"))
     return pairs.unionByName(differing_pairs(opened, arrays, labels, percent))
 
 
