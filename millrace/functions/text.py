@@ -130,7 +130,7 @@ def sanitized(m: Column, most: int = 500) -> Column:
 def audit_action(method: Column, path: Column) -> Column:
     """What a request did, from its method and path; null where that is not recorded."""
     # Path parts in order, and verbs by method.
-    parts = [("/v1/retrieve", "retrieve"), ("/v1/rag", "rag"), ("/v1/chat/completions", "rag_chat"), ("/v1/embeddings", "embedding"), ("/documents", "document"), ("/v1/knowledge-bases", "kb"), ("/v1/api-keys", "apikey"), ("/admin/tenants", "admin_tenant"), ("/admin", "admin_generic")]
+    parts = [("/v1/retrieve", "retrieve"), ("/v1/rag", "rag"), ("/v1/chat/completions", "rag_chat"), ("/v1/embeddings", "embedding"), ("/v1/knowledge-bases", "kb"), ("/v1/api-keys", "apikey"), ("/admin/tenants", "admin_tenant"), ("/admin", "admin_generic"), ("/documents", "document")]
     post = {"retrieve": "retrieve", "rag": "rag", "rag_chat": "rag_chat", "embedding": "embedding", "kb": "kb_create", "apikey": "apikey_create", "admin_tenant": "admin_tenant_create", "admin_generic": "admin_action", "document": "doc_upload"}
     delete = {"kb": "kb_delete", "document": "doc_delete", "apikey": "apikey_delete", "admin_tenant": "admin_delete", "admin_generic": "admin_delete"}
     change = {"kb": "kb_update", "document": "doc_update", "apikey": "apikey_update", "admin_tenant": "admin_update", "admin_generic": "admin_update"}

@@ -7,7 +7,7 @@ ties by the smaller chunk_id. One plan answers one query or a million.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -24,6 +24,11 @@ from .registry import operator
 #: A query side of at most so many rows is sent to every task; a larger one is dealt over cells.
 BROADCAST_QUERIES = 5_000
 CELLS = 64
+#: What a task is sent of the queries has at most so many weights or slots, and as many rights.
+SENT = 4_000_000
+#: Queries that are scored at once against a batch, and copies of a term in joins.
+QUERY_BLOCK = 128
+SALTS = 16
 
 
 def top_k(hits: DataFrame, k: int, score: str = "score", by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -44,13 +49,18 @@ def every_pair(queries: DataFrame, chunks: DataFrame, most: int = BROADCAST_QUER
 
 
 @operator("retriever", "dense", "llama_dense")
-def dense(queries: DataFrame, chunks: DataFrame, k: int = 5, exclude_self: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """Exact cosine top-k, of each ``by`` (columns of chunks) if given. Vectors of unequal length or without length score nothing."""
+def dense(queries: DataFrame, chunks: DataFrame, k: int = 5, exclude_self: bool = False, by: Sequence[str] = (), visible: DataFrame | None = None) -> DataFrame:
+    """Exact cosine top-k, of each ``by`` (columns of chunks) if given. Vectors of unequal length or without length score nothing.
+
+    ``visible`` (query_id, acl_class; chunks have acl_class) keeps a query to its classes."""
+    rights = ("acl_class",) if visible is not None and "acl_class" not in by else ()
     q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"))
-    c = chunks.select("chunk_id", *by, F.col("vector").alias("_c"), norm(F.col("vector")).alias("_nc")).where("_nc > 0")
+    c = chunks.select("chunk_id", *by, *rights, F.col("vector").alias("_c"), norm(F.col("vector")).alias("_nc")).where("_nc > 0")
     pairs = every_pair(q.where("_nq > 0"), c).where(F.size("_q") == F.size("_c"))
     if exclude_self:
         pairs = pairs.where("query_id <> chunk_id")
+    if visible is not None:
+        pairs = pairs.join(visible, ["query_id", "acl_class"], "left_semi")
     scored = pairs.select("query_id", "chunk_id", *by, F.round(dot(F.col("_q"), F.col("_c")) / (F.col("_nq") * F.col("_nc")), 9).alias("score"))
     return top_k(scored, k, by=("query_id", *by))
 
@@ -61,19 +71,103 @@ def slots(texts: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:
     return words.groupBy(key, hash_slot(F.col("_w"), dim).alias("slot")).agg(F.count("*").alias("c"))
 
 
-def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 1024) -> DataFrame:
-    """Exact cosine top-k of hash embeddings by a join on slots. ``queries``: query_id, query.
-
-    A slot that a text lacks adds nothing, so no vector is laid out. Cosines are not negative:
-    of the chunks without a common slot the k with the smallest ids suffice."""
+def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 1024, visible: DataFrame | None = None, most: int = SENT) -> DataFrame:
+    """Exact cosine top-k of hash embeddings. ``queries``: query_id, query.
+
+    Few queries (a count of their slots decides) are sent to the chunks, whose batches keep the
+    best k of each; else both meet by slot. A slot that a text lacks adds nothing. Cosines are not
+    negative: of the chunks without a common slot the k with the smallest ids suffice.
+    ``visible`` (query_id, acl_class; chunks have acl_class) keeps a query to its classes."""
+    if queries.limit(most // dim + 1).count() <= most // dim and _few(visible, most):
+        places = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != ""), lambda t: hash_slot(t, dim).cast("int"))
+        c = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), places.alias("slots"), _class_of(chunks, visible)).where(F.size("slots") > 0)
+        ids: dict = {}
+        found = slots(queries, "query_id", "query", dim).groupBy("query_id").agg(F.collect_list(F.struct("slot", "c")).alias("s")).orderBy("query_id").collect()
+        sent = np.zeros((dim, len(found)))
+        for i, r in enumerate(found):
+            ids[r["query_id"]] = i
+            for slot, n in r["s"]:
+                sent[slot, i] = n
+        lengths = (sent * sent).sum(axis=0)
+
+        def score(batch: pa.RecordBatch, queries_at: slice) -> np.ndarray:
+            rows, flat = _owners(batch.column(1)), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            held = np.bincount(rows * dim + flat, minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
+            return held @ sent[:, queries_at] / np.sqrt(np.outer((held * held).sum(axis=1), lengths[queries_at]))
+
+        return top_k(_best_of_batches(c, ids, score, k, visible, queries), k)
     q, c = slots(queries, "query_id", "query", dim), slots(chunks, "chunk_id", "text", dim)
     length = lambda df, key, name: df.groupBy(key).agg(F.sum(F.col("c") * F.col("c")).alias(name))
     nq, nc = length(q, "query_id", "_nq"), length(c, "chunk_id", "_nc")
     met = c.join(q.withColumnRenamed("c", "_c"), "slot").groupBy("query_id", "chunk_id").agg(F.sum(F.col("c") * F.col("_c")).alias("_dot"))
-    none = nq.select("query_id").crossJoin(F.broadcast(nc.select("chunk_id").orderBy("chunk_id").limit(k))).withColumn("_dot", F.lit(0).cast("long"))
-    dots = met.unionByName(none).groupBy("query_id", "chunk_id").agg(F.sum("_dot").alias("_dot"))
+    dots = met.unionByName(_least_ids(nq, nc, chunks, k, visible).withColumn("_dot", F.lit(0).cast("long"))).groupBy("query_id", "chunk_id").agg(F.sum("_dot").alias("_dot"))
     scored = dots.join(nq, "query_id").join(nc, "chunk_id").select("query_id", "chunk_id", F.round(F.col("_dot") / F.sqrt(F.col("_nq") * F.col("_nc")), 9).alias("score"))
-    return top_k(scored, k)
+    return top_k(_seen(scored, chunks, visible), k)
+
+
+def _few(visible: DataFrame | None, most: int) -> bool:
+    return visible is None or visible.limit(most + 1).count() <= most
+
+
+def _class_of(chunks: DataFrame, visible: DataFrame | None) -> Column:
+    return (F.col("acl_class") if visible is not None else F.lit(0)).cast("long").alias("acl_class")
+
+
+def _seen(hits: DataFrame, chunks: DataFrame, visible: DataFrame | None) -> DataFrame:
+    """Hits of classes that their query may see."""
+    if visible is None:
+        return hits
+    return hits.join(chunks.select("chunk_id", "acl_class"), "chunk_id").join(visible, ["query_id", "acl_class"], "left_semi").select(hits.columns)
+
+
+def _least_ids(queries: DataFrame, rows: DataFrame, chunks: DataFrame, k: int, visible: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id): for each query the k smallest ids of ``rows`` that it may see."""
+    if visible is None:
+        return queries.select("query_id").crossJoin(F.broadcast(rows.select("chunk_id").orderBy("chunk_id").limit(k)))
+    place = F.row_number().over(Window.partitionBy("acl_class").orderBy("chunk_id"))
+    least = rows.select("chunk_id").join(chunks.select("chunk_id", "acl_class"), "chunk_id").withColumn("_n", place).where(F.col("_n") <= k)
+    return queries.select("query_id").join(visible, "query_id").join(least, "acl_class").select("query_id", "chunk_id")
+
+
+def _owners(lists: pa.Array) -> np.ndarray:
+    """The row of each element of a column of lists."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _best_of_batches(rows: DataFrame, ids: dict, score: Callable[[pa.RecordBatch, slice], np.ndarray], k: int, visible: DataFrame | None, queries: DataFrame, size: int = 1024) -> DataFrame:
+    """(query_id, chunk_id, score): of every batch of ``rows`` (chunk_id, ..., acl_class) the best k of each
+    query, by what ``score`` gives for a batch and a block of the queries, which ``ids`` numbers."""
+    seen: dict[int, np.ndarray] | None = None
+    if visible is not None:
+        seen = {}
+        for r in visible.groupBy("acl_class").agg(F.collect_set("query_id").alias("q")).collect():
+            seen[r["acl_class"]] = np.array(sorted(ids[q] for q in r["q"] if q in ids), np.int64)
+    names = list(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.array(names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")))
+                chunk_ids, classes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                for at in range(0, len(names), QUERY_BLOCK):
+                    end = min(at + QUERY_BLOCK, len(names))
+                    scores = np.round(score(batch, slice(at, end)), 9) + 0.0
+                    if seen is not None:
+                        hidden = np.ones(scores.shape, bool)
+                        for c in np.unique(classes):
+                            q = seen.get(int(c), np.zeros(0, np.int64))
+                            hidden[np.ix_(classes == c, q[(q >= at) & (q < end)] - at)] = False
+                        scores[hidden] = -np.inf
+                    best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    row, q = best.ravel(), np.tile(np.arange(end - at), len(best))
+                    fine = np.isfinite(scores[row, q])
+                    row, q = row[fine], q[fine]
+                    yield pa.RecordBatch.from_arrays([kinds.take(pa.array(q + at)), pa.array(chunk_ids[row]), pa.array(scores[row, q])], names=["query_id", "chunk_id", "score"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"query_id {kind}, chunk_id long, score double")
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
@@ -82,73 +176,80 @@ def lexical_index(chunks: DataFrame) -> DataFrame:
 
 
 @operator("retriever", "bm25", "llama_bm25")
-def bm25(queries: DataFrame, chunks: DataFrame | None, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, squash: bool = True, index: DataFrame | None = None, most: int = BROADCAST_QUERIES) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, squash: bool = True, index: DataFrame | None = None, most: int = BROADCAST_QUERIES, visible: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 top-k, chunks of score 0 included; ``squash`` maps s to sigmoid(s - 2).
 
     A term in more than half of the chunks has a negative idf, which is replaced by
     ``epsilon`` times the mean idf of all terms. A term repeated in a query counts each time.
-    ``index`` (chunk_id, words, dl) is read instead of the chunks if given. Few queries (a
-    count decides) are sent to the index, whose batches keep their best k each; else their
-    terms are joined with it."""
+    ``index`` (chunk_id, words, dl) is read instead of the chunks if given. Few queries of few
+    terms (counts decide) are sent to the index, whose batches keep their best k each; else their
+    terms are joined with it, common ones in several parts. ``visible`` (query_id, acl_class; chunks
+    have acl_class) keeps a query to its classes; statistics are of all chunks."""
     index = index if index is not None else lexical_index(chunks)
     sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = index.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
     idf = kept(df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "idf")
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight"))
-    if queries.limit(most + 1).count() <= most:
-        scored = _best_by_batch(queries, wanted, index, k, k1, b)
+    asked = queries.select("query_id", tokens(F.col("query")).alias("words")) if "words" not in queries.columns else queries.select("query_id", "words")
+    terms = asked.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = kept(terms.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight")), "weights")
+    if visible is not None and "acl_class" not in index.columns:
+        index = index.join(chunks.select("chunk_id", "acl_class"), "chunk_id")
+    if queries.limit(most + 1).count() <= most and wanted.limit(SENT + 1).count() <= SENT and _few(visible, SENT):
+        scored = _best_by_batch(queries, wanted, index, k, k1, b, visible)
     else:
+        salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
         postings = index.select("chunk_id", "dl", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
         gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        matched = postings.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
+        dealt = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = postings.withColumn("_salt", salt("chunk_id")).join(dealt, ["term", "_salt"]).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
         # at most k chunks without any query term can be among the best: the k with the smallest ids suffice
-        least = index.select("chunk_id").orderBy("chunk_id").limit(k)
-        none = queries.select("query_id").crossJoin(F.broadcast(least)).withColumn("raw", F.lit(0.0))
-        scored = matched.unionByName(none).groupBy("query_id", "chunk_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
+        none = _least_ids(queries, index, index, k, visible).withColumn("raw", F.lit(0.0))
+        scored = _seen(matched.unionByName(none).groupBy("query_id", "chunk_id").agg(F.round(F.sum("raw"), 9).alias("raw")), index, visible)
     ranked = top_k(scored, k, "raw")
     return ranked.select("query_id", "chunk_id", (F.round(sigmoid(F.col("raw") - 2.0), 9) if squash else F.col("raw")).alias("score"), "rank")
 
 
-def _best_by_batch(queries: DataFrame, wanted: DataFrame, index: DataFrame, k: int, k1: float, b: float, rows: int = 256) -> DataFrame:
+def _best_by_batch(queries: DataFrame, wanted: DataFrame, index: DataFrame, k: int, k1: float, b: float, visible: DataFrame | None = None, rows: int = 256) -> DataFrame:
     """(query_id, chunk_id, raw): of every batch of the index the best k chunks of each query.
 
-    The queries' terms make one matrix of weights, which is all that leaves the driver."""
+    The queries' weights are sent as (term, query, weight); a batch lays out those of its own terms
+    for a block of queries at a time."""
     numbers = {r[0]: i for i, r in enumerate(queries.select("query_id").distinct().orderBy("query_id").collect())}
     found = wanted.collect()
     places = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in found))}
-    weights = np.zeros((len(places), len(numbers)))
-    for r in found:
-        weights[places[r["term"]], numbers[r["query_id"]]] = r["weight"]
-    mean, names, ids = (found[0]["avgdl"] if found else 1.0), list(places), list(numbers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kinds = pa.array(names, pa.string()), pa.array(ids)
-        for batch in batches:
-            chunk_ids, lengths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            order = np.argsort(chunk_ids, kind="stable")
-            words = batch.column(2)
-            coded = pc.dictionary_encode(words.flatten())
-            place = pc.fill_null(pc.index_in(coded.dictionary, known), -1).to_numpy(zero_copy_only=False)
-            term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
-            pair, tf = np.unique(owner[term >= 0] * max(len(names), 1) + term[term >= 0], return_counts=True)
-            owner, term = np.divmod(pair, max(len(names), 1))
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[owner] / mean))
-            scores = np.zeros((len(words), len(ids)))
-            for at in range(0, len(words), rows):
-                here = slice(*np.searchsorted(owner, [at, at + rows]))
-                if here.start < here.stop:
-                    starts = np.flatnonzero(np.r_[True, np.diff(owner[here]) > 0])
-                    scores[owner[here][starts]] = np.add.reduceat(weights[term[here]] * gain[here, None], starts, axis=0)
-            scores = np.round(scores, 9)[order]
-            best = np.argsort(-scores, axis=0, kind="stable")[:k]
-            at, q = best.ravel(), np.tile(np.arange(len(ids)), len(best))
-            yield pa.RecordBatch.from_arrays([kinds.take(pa.array(q)), pa.array(chunk_ids[order][at]), pa.array(scores[at, q] + 0.0)], names=["query_id", "chunk_id", "raw"])
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return index.select(F.col("chunk_id").cast("long"), "dl", "words").mapInArrow(run, f"query_id {kind}, chunk_id long, raw double")
+    asked = np.array([(numbers[r["query_id"]], places[r["term"]]) for r in found], np.int32).reshape(-1, 2)
+    order = np.argsort(asked[:, 0], kind="stable")
+    asked, weight = asked[order], np.array([r["weight"] for r in found])[order]
+    mean, names = (found[0]["avgdl"] if found else 1.0), list(places)
+
+    def score(batch: pa.RecordBatch, queries_at: slice) -> np.ndarray:
+        scores = np.zeros((batch.num_rows, queries_at.stop - queries_at.start))
+        words, lengths = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(words.flatten())
+        place = pc.fill_null(pc.index_in(coded.dictionary, pa.array(names, pa.string())), -1).to_numpy(zero_copy_only=False)
+        if not len(place) or not names:
+            return scores
+        term = place[coded.indices.to_numpy(zero_copy_only=False)]
+        pair, tf = np.unique(_owners(words)[term >= 0] * len(names) + term[term >= 0], return_counts=True)
+        owner, term = np.divmod(pair, len(names))
+        here, local = np.unique(term, return_inverse=True)
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[owner] / mean))
+        block = slice(*np.searchsorted(asked[:, 0], [queries_at.start, queries_at.stop]))
+        q, t, w = asked[block, 0] - queries_at.start, asked[block, 1], weight[block]
+        at = np.minimum(np.searchsorted(here, t), max(len(here) - 1, 0))
+        there = here[at] == t if len(here) else np.zeros(len(t), bool)
+        weights = np.zeros((len(here), scores.shape[1]))
+        weights[at[there], q[there]] = w[there]
+        for first in range(0, batch.num_rows, rows):
+            part = slice(*np.searchsorted(owner, [first, first + rows]))
+            if part.start < part.stop:
+                starts = np.flatnonzero(np.r_[True, np.diff(owner[part]) > 0])
+                scores[owner[part][starts]] = np.add.reduceat(weights[local[part]] * gain[part, None], starts, axis=0)
+        return scores
+
+    c = index.select(F.col("chunk_id").cast("long"), "dl", "words", _class_of(index, visible))
+    return _best_of_batches(c, numbers, score, k, visible, queries).withColumnRenamed("score", "raw")
 
 
 @operator("retriever", "bm25_per_kb")

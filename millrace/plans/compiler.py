@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import acl, registry, retrieval
+from ..sources.tables import kept
 
 #: What preset names of an ensemble stand for.
 PRESETS = {
@@ -58,17 +59,21 @@ def members(params: dict) -> list[dict]:
 @dataclass
 class Corpus:
     """What is searched: chunks (chunk_id, document_id, kb_id, text, ...), and vectors of theirs (chunk_id,
-    vector) where they are not embedded by their words; ``index`` if the words are indexed."""
+    vector) where they are not embedded by their words; ``index`` if the words are indexed. Under
+    ``visible`` all of them have acl_class."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     index: DataFrame | None = None
+    #: (user_id, acl_class) if queries (with user_id) search only what their user may see.
+    visible: DataFrame | None = None
 
 
 def hits(name: str, params: dict, queries: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) of one retriever over ``queries`` (query_id, query[, vector])."""
-    lexical = lambda n: retrieval.bm25(queries, corpus.chunks, n, index=corpus.index)
-    dense = lambda n: retrieval.dense(queries, corpus.vectors, n) if corpus.vectors is not None else retrieval.hash_dense(queries, corpus.chunks, n)
+    seen = None if corpus.visible is None else queries.select("query_id", "user_id").join(corpus.visible, "user_id").select("query_id", "acl_class")
+    lexical = lambda n: retrieval.bm25(queries, corpus.chunks, n, index=corpus.index, visible=seen)
+    dense = lambda n: retrieval.dense(queries, corpus.vectors, n, visible=seen) if corpus.vectors is not None else retrieval.hash_dense(queries, corpus.chunks, n, visible=seen)
     if name in ("dense", "llama_dense"):
         return dense(k)
     if name in ("bm25", "llama_bm25"):
@@ -80,9 +85,10 @@ def hits(name: str, params: dict, queries: DataFrame, corpus: Corpus, k: int) ->
         fused = retrieval.fusion(dense(recall), lexical(recall), params.get("rerank_top_n", 10) * 3 if params.get("rerank") else k, params.get("mode", "rrf"), params.get("dense_weight", 0.7), params.get("sparse_weight", 0.3), params.get("rrf_k", 60))
         return retrieval.rerank(fused, queries, corpus.chunks, k) if params.get("rerank") else fused
     if name in ("multi_query", "hyde"):
-        variants = queries.select("query_id", F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query")).withColumn("variant_id", F.xxhash64("query_id", "variant_no"))
-        asked = variants.select(F.col("variant_id").alias("query_id"), "query")
-        found = hits(params.get("base_retriever", "dense"), params.get("base_params") or {}, asked, Corpus(corpus.chunks, None, corpus.index), k)
+        user = [] if corpus.visible is None else ["user_id"]
+        variants = queries.select("query_id", *user, F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query")).withColumn("variant_id", F.xxhash64("query_id", "variant_no"))
+        asked = variants.select(F.col("variant_id").alias("query_id"), "query", *user)
+        found = hits(params.get("base_retriever", "dense"), params.get("base_params") or {}, asked, Corpus(corpus.chunks, None, corpus.index, corpus.visible), k)
         return retrieval.over_variants(found.withColumnRenamed("query_id", "variant_id"), variants, k, params.get("rrf_k", 60))
     if name == "ensemble":
         lists, weights = [], []
@@ -95,18 +101,23 @@ def hits(name: str, params: dict, queries: DataFrame, corpus: Corpus, k: int) ->
     raise SettingsError(f"{name} needs more than queries and chunks: call it directly")
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, settings: Sequence[dict | None] = (), override: dict | None = None, k: int = 5, threshold: float = 0.0, rerank: str | None = None, context: tuple[int, int] | None = None, users: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: Corpus, settings: Sequence[dict | None] = (), override: dict | None = None, k: int = 5, threshold: float = 0.0, rerank: str | None = None, context: tuple[int, int] | None = None, users: DataFrame | None = None, acl_mode: str = "pre") -> DataFrame:
     """(query_id, chunk_id, score, rank[, context_text]) of a request for every query.
 
-    Hits, then their context, a rerank, the threshold, and last the user's rights, as the service
-    has it: filters after the top-k may leave fewer than k. ``users`` has user_id, roles, groups,
-    clearance, is_admin and, to join by, the queries' user_id; chunks then have ACL columns."""
+    Hits, a rerank, the threshold and context. ``users`` has user_id, roles, groups, clearance,
+    is_admin and, to join by, the queries' user_id; chunks then have ACL columns. With ``acl_mode``
+    "pre" retrievers rank only what a query's user may see, so that k hits are found where k are
+    allowed; with "post", as the service has it, rights trim the hits and may leave fewer."""
     name, params = resolve(settings, override)
+    if users is not None and acl_mode == "pre":
+        classed = acl.with_class(corpus.chunks)
+        own = lambda df: df if df is None or "acl_class" in df.columns else df.join(classed.select("chunk_id", "acl_class"), "chunk_id")
+        corpus = Corpus(classed, own(corpus.vectors), own(corpus.index), kept(acl.visible(classed, users), "visible"))
     found = hits(name, params, queries, corpus, k).select("query_id", "chunk_id", "score", "rank")
     if rerank:
         found = retrieval.rerank(found, queries, corpus.chunks, k, rerank)
     found = retrieval.threshold(found, threshold)
-    if users is not None:
+    if users is not None and acl_mode == "post":
         rights = corpus.chunks.select("chunk_id", "sensitivity_level", "acl_users", "acl_roles", "acl_groups")
         seen = found.join(rights, "chunk_id").join(queries.select("query_id", "user_id"), "query_id")
         found = acl.trim(seen, users).select("query_id", "chunk_id", "score", "rank")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.vectors import hash_slot
-from ..operators import acl, chunkers, raptor, relational, retrieval
+from ..operators import acl, chunkers, raptor, relational, retrieval, segmentation
+from ..sources.tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +41,7 @@ CHUNKS = """c AS (
   FROM (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(length(text) - 800, 0) / 600.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)
 )"""
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda t: t <> '')"
-ITEMS = f"q AS (SELECT item_id AS query_id, array_to_string(({TOKENS.format('text')})[1:6], ' ') AS query FROM benchmark)"
+ITEMS = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 DENSE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 dense AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -69,7 +70,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(fx.tokens(F.col("text")), 1, 6), " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,19 +195,6 @@ def n11_language(spark, d):
     return table(spark, d, "documents").select("doc_id", fx.language(F.col("text")).alias("language"))
 
 
-@query("e1_hash_embedding", r"""
-WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS w FROM benchmark),
-s AS (SELECT item_id, (('0x' || substr(md5(w), 25, 8))::BIGINT % 1024)::INTEGER AS slot FROM t),
-n AS (SELECT item_id, slot, count(*) AS c FROM s GROUP BY ALL)
-SELECT item_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 9) AS value FROM n
-""")
-def e1_hash_embedding(spark, d):
-    """The embedding's slots that aren't 0: the sparse form, one row each."""
-    words = table(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("w"))
-    counts = words.groupBy("item_id", hash_slot(F.col("w"), 1024).alias("slot")).agg(F.count("*").alias("c"))
-    return counts.select("item_id", "slot", F.round(F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("item_id"))), 9).alias("value"))
-
-
 @query("e9_project_ids", r"""
 WITH x AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '\b([A-Z]{2,10}[-_ ]?[0-9]{3,4})\b'), lambda m: regexp_extract(m, '^([A-Z]+)', 1) || '-' || regexp_extract(m, '([0-9]+)$', 1))) AS ids FROM documents)
 SELECT doc_id, len(ids)::INTEGER AS n_ids, array_to_string(list_sort(ids), ',') AS ids FROM x WHERE len(ids) > 0""")
@@ -269,79 +257,67 @@ def r5_bm25(spark, d):
     return retrieval.bm25(items(spark, d), chunks(spark, d), 5)
 
 
-@query("r6_bm25_per_kb", f"""WITH {CHUNKS}, {ITEMS.replace("lower(text)", "text")},
+# Texts of two languages are spelled in Han characters without spaces: a word's length gives the number
+# of its characters, its hash which ones. So the given tables hold mixed texts.
+_HAN_OF = "array_to_string(list_transform(" + TOKENS.format("{0}") + """, lambda w: list_reduce(list_transform(range(1, CASE WHEN length(w) <= 3 THEN 2 WHEN length(w) <= 8 THEN 3 ELSE 4 END), lambda i: chr((19968 + (('0x' || substr(md5(regexp_replace(w, '[.,]$', '')), i * 4, 4))::INTEGER % 300))::INTEGER)), lambda x, y: x || y)
+    || CASE WHEN regexp_matches(w, '[.,]$') THEN '。' ELSE '' END), '')"""
+MIXED = f"m AS (SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN {_HAN_OF.format('text')} ELSE text END AS text FROM documents)"
+
+
+def in_han(text):
+    bare = lambda w: F.regexp_replace(w, "[.,]$", "")
+    code = lambda w, i: F.lpad(F.hex((F.conv(F.substr(F.md5(bare(w)), i * 4, F.lit(4)), 16, 10).cast("int") % 300 + 19968).cast("long")), 4, "0")
+    number = lambda w: F.when(F.length(w) <= 3, 1).when(F.length(w) <= 8, 2).otherwise(3)
+    spelled = lambda w: F.decode(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), number(w)), lambda i: code(w, i)), "")), "UTF-16BE")
+    return F.array_join(F.transform(fx.tokens(text), lambda w: F.concat(spelled(w), F.when(w.rlike("[.,]$"), "。").otherwise(""))), "")
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    han = F.col("lang").isin("de", "es")
+    return table(spark, sf_dir, "documents").withColumn("text", F.when(han, in_han(F.col("text"))).otherwise(F.col("text")))
+
+
+@query("r5_dictionary", f"""WITH {MIXED}, runs AS (SELECT unnest(regexp_extract_all(text, '\\p{{Han}}+')) AS run FROM m),
+g AS (SELECT word, count(*) AS n FROM (SELECT substr(run, i, k) AS word FROM (SELECT run, k, unnest(range(1, length(run) - k + 2)) AS i FROM runs, range(1, 5) AS r(k))) GROUP BY word HAVING length(word) = 1 OR count(*) >= 5),
+t AS (SELECT sum(n)::DOUBLE AS total FROM g WHERE length(word) = 1),
+c AS (SELECT word, n, unnest(range(1, length(word))) AS k FROM g WHERE length(word) > 1),
+w AS (SELECT c.word, c.n, max(h.n::DOUBLE * e.n) AS by_chance FROM c JOIN g h ON h.word = substr(c.word, 1, k) JOIN g e ON e.word = substr(c.word, k + 1) GROUP BY ALL),
+d AS (SELECT word, n FROM g WHERE length(word) = 1 UNION ALL SELECT word, n FROM w, t WHERE n * total >= 10.0::DOUBLE * by_chance)
+SELECT word, n, round(ln(n::DOUBLE) - ln((SELECT sum(n) FROM d)::DOUBLE), 9) AS log_p FROM d""")
+def r5_dictionary(spark, d):
+    """The words that the runs of Han characters of all documents give."""
+    return segmentation.learn(segmentation.han_runs(mixed_documents(spark, d))).select("word", "n", F.round("log_p", 9).alias("log_p"))
+
+
+@query("r5_bm25_segmented")
+def r5_bm25_segmented(spark, d):
+    """BM25 over mixed texts: chunks and queries are cut into words by the documents' own dictionary."""
+    docs = kept(mixed_documents(spark, d).select(F.col("doc_id").alias("document_id"), F.col("source").alias("kb_id"), "text"), "mixed")
+    words = kept(segmentation.learn(segmentation.han_runs(docs)), "words")
+    c = chunkers.sliding_window(docs, 800, 200).withColumn("chunk_id", F.col("document_id") * 100000 + F.col("chunk_index"))
+    index = kept(segmentation.segmented(c, words, "chunk_id").select("chunk_id", "words", F.size("words").alias("dl")), "segmented-index")
+    q = items(spark, d).withColumn("query", F.when(F.col("query_id") % 2 == 1, in_han(F.col("query"))).otherwise(F.col("query")))
+    return retrieval.bm25(segmentation.segmented(q, words, "query_id", "query"), None, 5, index=index)
+
+
+@query("r6_bm25_per_kb", f"""WITH {CHUNKS}, {ITEMS},
 tok AS (SELECT kb_id, chunk_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS term FROM c),
 tf AS (SELECT kb_id, chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT kb_id, chunk_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS dl FROM c),
 st AS (SELECT kb_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY kb_id),
 df AS (SELECT kb_id, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (kb_id) GROUP BY kb_id, term, n),
 mi AS (SELECT kb_id, avg(raw) AS m FROM df GROUP BY kb_id),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM q) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(query, '\\s+'), lambda t: t <> '')) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, kb_id, chunk_id, round(sum(qtf * (CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM qt JOIN df USING (term) JOIN mi USING (kb_id) JOIN tf USING (kb_id, term) JOIN dl USING (kb_id, chunk_id) JOIN st USING (kb_id) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, chunk_id) AS r FROM s)
 SELECT query_id, kb_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k WHERE r <= 5) WHERE rank <= 5""")
 def r6_bm25_per_kb(spark, d):
-    words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
-    return retrieval.bm25_per_kb(q, chunks(spark, d), 5)
-
-
-# The queries above and below whose SQL takes ITEMS see six words of a text. Their twins take all of it.
-WHOLE = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
-
-
-def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-@query("r5_bm25_whole", f"WITH {CHUNKS}, {WHOLE}, {bm25_sql('c')} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM bm25")
-def r5_bm25_whole(spark, d):
-    return retrieval.bm25(whole_items(spark, d), chunks(spark, d), 5)
-
-
-@query("r6_bm25_per_kb_whole", ORACLE["r6_bm25_per_kb"].replace("[1:6]", ""))
-def r6_bm25_per_kb_whole(spark, d):
-    return retrieval.bm25_per_kb(whole_items(spark, d), chunks(spark, d), 5)
-
-
-_TWO = f"""WITH {DENSE}, top AS (SELECT * FROM dense WHERE rank <= 10), near AS (
-  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e) / list_aggregate(list_transform(b.e, lambda x: abs(x)), 'sum'), 9) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
-), second AS (SELECT * FROM near WHERE rank <= 10)"""
-
-
-def _second(spark, d):
-    """Another ranking of the same vectors: inner product over the candidate's L1 length."""
-    from ..functions.vectors import dot
-
-    pairs = retrieval.every_pair(vector_queries(spark, d).select("query_id", F.col("vector").alias("q")), vectors(spark, d)).where("query_id <> chunk_id")
-    l1 = F.aggregate(F.transform("vector", lambda x: F.abs(x.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return retrieval.top_k(pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("vector")) / l1, 9).alias("score")), 10)
-
-
-def _fused_sql(gain_a: str, gain_b: str, k: int) -> str:
-    return f"""{_TWO}, f AS (SELECT query_id, chunk_id, round(sum(g), 9) AS score FROM (SELECT query_id, chunk_id, {gain_a} AS g FROM top UNION ALL SELECT query_id, chunk_id, {gain_b} FROM second) GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= {k}"""
-
-
-@query("r8_hybrid", _fused_sql("0.7 * score", "0.3 * score", 5))
-def r8_hybrid(spark, d):
-    return retrieval.hybrid(dense_hits(spark, d, 10), _second(spark, d), 5)
-
-
-@query("r10_fusion_rrf", _fused_sql("1.0 / (60 + rank)", "1.0 / (60 + rank)", 5))
-def r10_fusion_rrf(spark, d):
-    return retrieval.fusion(dense_hits(spark, d, 10), _second(spark, d), 5)
-
-
-@query("r11_ensemble", _fused_sql("0.75 * score", "0.25 * score", 5))
-def r11_ensemble(spark, d):
-    return retrieval.ensemble([dense_hits(spark, d, 10), _second(spark, d)], 5, "weighted", [3.0, 1.0])
+    return retrieval.bm25_per_kb(items(spark, d), chunks(spark, d), 5)
 
 
 _SLOTS = "(SELECT {0}, slot, count(*) AS c FROM (SELECT {0}, (('0x' || substr(md5(w), 25, 8))::BIGINT % 1024)::INTEGER AS slot FROM (SELECT {0}, unnest(list_filter(regexp_split_to_array({1}, '\\s+'), lambda t: t <> '')) AS w FROM {2})) GROUP BY ALL)"
-_LEXICAL = f"""WITH {CHUNKS}, {WHOLE}, qs AS {_SLOTS.format("query_id", "query", "q")}, cs AS {_SLOTS.format("chunk_id", "text", "c")},
+_LEXICAL = f"""WITH {CHUNKS}, {ITEMS}, qs AS {_SLOTS.format("query_id", "query", "q")}, cs AS {_SLOTS.format("chunk_id", "text", "c")},
 nq AS (SELECT query_id, sum(c * c) AS nq FROM qs GROUP BY ALL), nc AS (SELECT chunk_id, sum(c * c) AS nc FROM cs GROUP BY ALL),
 dots AS (SELECT query_id, chunk_id, sum(dot) AS dot FROM (SELECT query_id, chunk_id, sum(qs.c * cs.c) AS dot FROM qs JOIN cs USING (slot) GROUP BY ALL
   UNION ALL SELECT query_id, chunk_id, 0 FROM nq, (SELECT chunk_id FROM nc ORDER BY chunk_id LIMIT 10) AS z) GROUP BY ALL),
@@ -350,32 +326,37 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 {bm25_sql("c", "second", 10)}"""
 
 
-@query("e1_hash_embedding_chunks", f"""WITH {CHUNKS}, {WHOLE}, n AS (SELECT 'chunk' AS kind, chunk_id AS id, slot, c FROM {_SLOTS.format("chunk_id", "text", "c")} UNION ALL SELECT 'query', query_id, slot, c FROM {_SLOTS.format("query_id", "query", "q")})
+@query("e1_hash_embedding", f"""WITH {CHUNKS}, {ITEMS}, n AS (SELECT 'chunk' AS kind, chunk_id AS id, slot, c FROM {_SLOTS.format("chunk_id", "text", "c")} UNION ALL SELECT 'query', query_id, slot, c FROM {_SLOTS.format("query_id", "query", "q")})
 SELECT kind, id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY kind, id)), 9) AS value FROM n""")
-def e1_hash_embedding_chunks(spark, d):
+def e1_hash_embedding(spark, d):
     """The sparse form of the embeddings of every chunk and every benchmark item."""
     c = retrieval.slots(chunks(spark, d), "chunk_id", "text").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "slot", "c")
-    q = retrieval.slots(whole_items(spark, d), "query_id", "query").select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "slot", "c")
+    q = retrieval.slots(items(spark, d), "query_id", "query").select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "slot", "c")
     return c.unionByName(q).select("kind", "id", "slot", F.round(F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("kind", "id"))), 9).alias("value"))
 
 
 def _dense_and_lexical(spark, d):
-    c, q = chunks(spark, d), whole_items(spark, d)
+    c, q = chunks(spark, d), items(spark, d)
     return retrieval.hash_dense(q, c, 10), retrieval.bm25(q, c, 10)
 
 
-@query("r8_hybrid_lexical", _fused_sql("0.7 * score", "0.3 * score", 5).replace(_TWO, _LEXICAL))
-def r8_hybrid_lexical(spark, d):
+def _fused_sql(gain_a: str, gain_b: str, k: int) -> str:
+    return f"""{_LEXICAL}, f AS (SELECT query_id, chunk_id, round(sum(g), 9) AS score FROM (SELECT query_id, chunk_id, {gain_a} AS g FROM top UNION ALL SELECT query_id, chunk_id, {gain_b} FROM second) GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= {k}"""
+
+
+@query("r8_hybrid", _fused_sql("0.7 * score", "0.3 * score", 5))
+def r8_hybrid(spark, d):
     return retrieval.hybrid(*_dense_and_lexical(spark, d), 5)
 
 
-@query("r10_fusion_rrf_lexical", _fused_sql("1.0 / (60 + rank)", "1.0 / (60 + rank)", 5).replace(_TWO, _LEXICAL))
-def r10_fusion_rrf_lexical(spark, d):
+@query("r10_fusion_rrf", _fused_sql("1.0 / (60 + rank)", "1.0 / (60 + rank)", 5))
+def r10_fusion_rrf(spark, d):
     return retrieval.fusion(*_dense_and_lexical(spark, d), 5)
 
 
-@query("r11_ensemble_lexical", _fused_sql("2.0 / 3 * score", "1.0 / 3 * score", 5).replace(_TWO, _LEXICAL))
-def r11_ensemble_lexical(spark, d):
+@query("r11_ensemble", _fused_sql("2.0 / 3 * score", "1.0 / 3 * score", 5))
+def r11_ensemble(spark, d):
     return retrieval.ensemble(list(_dense_and_lexical(spark, d)), 5, "weighted", [2.0, 1.0])
 
 
@@ -398,11 +379,6 @@ def r12_multi_query(spark, d):
     return _multi_query(items(spark, d), chunks(spark, d))
 
 
-@query("r12_multi_query_whole", ORACLE["r12_multi_query"].replace(ITEMS.replace("q AS", "q0 AS"), WHOLE.replace("q AS", "q0 AS")))
-def r12_multi_query_whole(spark, d):
-    return _multi_query(whole_items(spark, d), chunks(spark, d))
-
-
 @query("r14_self_query", f"""WITH {DENSE}, m AS (SELECT query_id, chunk_id, score FROM dense JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 30 AND contains(e.label::VARCHAR, '3'))
 SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) WHERE rank <= 10""")
 def r14_self_query(spark, d):
@@ -425,38 +401,10 @@ def r15_parent_document(spark, d):
     return retrieval.parent_document(hits, tree, 5).select("query_id", "chunk_id", "score", F.size("matched_children").alias("n_previews"), "rank")
 
 
-_TREE = """n AS (
-  SELECT vec_id AS node_id, 1000000 + vec_id // 20 AS parent_id, 0 AS level, vec_id AS chunk_id FROM embeddings
-  UNION ALL SELECT DISTINCT 1000000 + vec_id // 20, 2000000, 1, NULL FROM embeddings
-  UNION ALL SELECT 2000000, NULL, 2, NULL
-)"""
-
-
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A summary tree over the vectors: twenty neighbours under a summary, all under a root."""
-    up = (F.floor(F.col("chunk_id") / 20) + 1_000_000).cast("long")
-    leaves = vectors(spark, sf_dir).select(F.col("chunk_id").alias("node_id"), up.alias("parent_id"), F.lit(0).alias("level"), "chunk_id", "vector", F.lit("kb").alias("kb_id"))
-    mean = leaves.select("parent_id", F.posexplode("vector").alias("i", "x")).groupBy("parent_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("vector"))
-    mid = mean.select(F.col("parent_id").alias("node_id"), F.lit(2_000_000).cast("long").alias("parent_id"), F.lit(1).alias("level"), F.lit(None).cast("long").alias("chunk_id"), "vector", F.lit("kb").alias("kb_id"))
-    top = spark.createDataFrame([(2_000_000, None, 2, None, [1.0] * 64, "kb")], leaves.schema)
-    return leaves.unionByName(mid).unionByName(top)
-
-
-@query("r16_raptor_collapsed", f"""WITH {DENSE}, {_TREE}, h AS (SELECT query_id, chunk_id AS node_id, score FROM dense WHERE rank <= 5 UNION ALL SELECT query_id, 1000000 + chunk_id // 20, score FROM dense WHERE rank = 1),
-l AS (SELECT query_id, n.chunk_id, score, 0 AS s FROM h JOIN n USING (node_id) WHERE level = 0 UNION ALL SELECT query_id, k.chunk_id, score * 0.9::DOUBLE, 1 FROM h JOIN n USING (node_id) JOIN n k ON k.parent_id = n.node_id WHERE n.level = 1),
-b AS (SELECT query_id, chunk_id, min(s) AS s, round(coalesce(max(score) FILTER (s = 0), max(score)), 9) AS score FROM l GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, score DESC, chunk_id) AS rank FROM b) WHERE rank <= 10""")
-def r16_raptor_collapsed(spark, d):
-    near = dense_hits(spark, d, 5)
-    summaries = near.where("rank = 1").select("query_id", (F.floor(F.col("chunk_id") / 20) + 1_000_000).cast("long").alias("node_id"), "score")
-    hits = near.select("query_id", F.col("chunk_id").alias("node_id"), "score").unionByName(summaries)
-    return raptor.collapsed(hits, tree(spark, d), 10)
-
-
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary tree that clustering builds over all embeddings, whose texts are their names."""
     leaves = vectors(spark, sf_dir).select(F.col("chunk_id").alias("node_id"), "chunk_id", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")).alias("text"), "vector")
-    return raptor.build(leaves).cache()
+    return kept(raptor.build(leaves), "tree")
 
 
 @query("e4_raptor_build")
@@ -469,16 +417,16 @@ def a4_raptor_stats(spark, d):
     return raptor.stats(built(spark, d).withColumn("kb_id", F.lit("kb")))
 
 
-@query("r16_raptor_collapsed_built")
-def r16_raptor_collapsed_built(spark, d):
+@query("r16_raptor_collapsed")
+def r16_raptor_collapsed(spark, d):
     """Summaries are searched as nodes beside the leaves."""
     nodes = built(spark, d)
     hits = retrieval.dense(vector_queries(spark, d), nodes.select(F.col("node_id").alias("chunk_id"), "vector"), 10, exclude_self=True)
     return raptor.collapsed(hits.withColumnRenamed("chunk_id", "node_id"), nodes, 10)
 
 
-@query("r18_leaf_search_built")
-def r18_leaf_search_built(spark, d):
+@query("r18_leaf_search")
+def r18_leaf_search(spark, d):
     nodes = built(spark, d)
     return raptor.descendants(nodes, nodes.where("level > 0")).join(nodes.where("level = 0").select("node_id"), "node_id", "left_semi").select("root", "node_id")
 
@@ -488,12 +436,6 @@ def r17_raptor_traversal(spark, d):
     return raptor.traversal(vector_queries(spark, d), built(spark, d), 5)
 
 
-@query("r18_leaf_search", f"WITH RECURSIVE {_TREE}, r(root, node_id) AS (SELECT node_id, node_id FROM n WHERE level = 1 UNION SELECT r.root, n.node_id FROM r JOIN n ON n.parent_id = r.node_id) SELECT root, r.node_id FROM r JOIN n USING (node_id) WHERE level = 0")
-def r18_leaf_search(spark, d):
-    nodes = tree(spark, d)
-    return raptor.descendants(nodes, nodes.where("level = 1")).join(nodes.where("level = 0").select("node_id"), "node_id", "left_semi").select("root", "node_id")
-
-
 @query("r19_rerank", f"""WITH {CHUNKS}, {ITEMS}, {bm25_sql('c', k=20)},
 s AS (SELECT query_id, chunk_id, round(len(list_intersect(list_distinct({TOKENS.format("query")}), {TOKENS.format("c.text")})) / greatest(len(list_distinct({TOKENS.format("query")})), 1), 9) AS score FROM bm25 JOIN q USING (query_id) JOIN c USING (chunk_id))
 SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
@@ -502,33 +444,18 @@ def r19_rerank(spark, d):
     return retrieval.rerank(retrieval.bm25(q, c, 20), q, c, 5)
 
 
-@query("r19_rerank_whole", ORACLE["r19_rerank"].replace(ITEMS, WHOLE))
-def r19_rerank_whole(spark, d):
-    c, q = chunks(spark, d), whole_items(spark, d)
-    return retrieval.rerank(retrieval.bm25(q, c, 20), q, c, 5)
-
-
 @query("r19_rerank_none", f"WITH {DENSE} SELECT query_id, chunk_id, round(1 - 0.01 * (rank - 1), 9)::DOUBLE AS score, rank::INTEGER AS rank FROM dense WHERE rank <= 5")
 def r19_rerank_none(spark, d):
     return retrieval.rerank(dense_hits(spark, d, 10), None, None, 5, "none")
 
 
-@query("r20_context_window", f"""WITH {CHUNKS}, h AS (SELECT chunk_id AS query_id, chunk_id, document_id AS doc, chunk_index AS pos, text AS own FROM c WHERE chunk_index % 3 = 1)
-SELECT query_id, h.chunk_id, concat_ws(chr(10) || chr(10), b.text, h.own, a.text) AS context_text, (b.text IS NOT NULL)::BIGINT AS n_before, (a.text IS NOT NULL)::BIGINT AS n_after
-FROM h LEFT JOIN c b ON b.document_id = doc AND b.chunk_index = pos - 1 LEFT JOIN c a ON a.document_id = doc AND a.chunk_index = pos + 1""")
-def r20_context_window(spark, d):
-    c = chunks(spark, d)
-    hits = c.where("chunk_index % 3 = 1").select(F.col("chunk_id").alias("query_id"), "chunk_id")
-    return retrieval.context_window(hits, c, 1, 1, 2048)
-
-
-@query("r20_context_window_all", f"""WITH {CHUNKS}, n AS (
+@query("r20_context_window", f"""WITH {CHUNKS}, n AS (
   SELECT h.chunk_id, length(h.text) AS own, x.chunk_index - h.chunk_index AS off, x.text, length(h.text) + sum(length(x.text)) OVER (PARTITION BY h.chunk_id, sign(x.chunk_index - h.chunk_index) ORDER BY abs(x.chunk_index - h.chunk_index)) AS used
   FROM c h JOIN c x ON x.document_id = h.document_id AND x.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2),
 m AS (SELECT *, coalesce(max(used - own) FILTER (off < 0 AND used <= 2400) OVER (PARTITION BY chunk_id), 0) AS taken FROM n)
 SELECT chunk_id AS query_id, chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY off) AS context_text, count(*) FILTER (off < 0) AS n_before, count(*) FILTER (off > 0) AS n_after
 FROM m WHERE off = 0 OR (off < 0 AND used <= 2400) OR (off > 0 AND used + taken <= 2400) GROUP BY chunk_id""")
-def r20_context_window_all(spark, d):
+def r20_context_window(spark, d):
     """Every chunk's window; 2400 characters hold three of five whole chunks."""
     c = chunks(spark, d)
     return retrieval.context_window(c.select(F.col("chunk_id").alias("query_id"), "chunk_id"), c, 2, 2, 1200)
@@ -542,12 +469,6 @@ def e12_prompt(spark, d):
     return retrieval.prompt(retrieval.bm25(q, c, 3), c.withColumn("title", F.col("kb_id")), q)
 
 
-@query("e12_prompt_whole", ORACLE["e12_prompt"].replace(ITEMS, WHOLE))
-def e12_prompt_whole(spark, d):
-    c, q = chunks(spark, d), whole_items(spark, d)
-    return retrieval.prompt(retrieval.bm25(q, c, 3), c.withColumn("title", F.col("kb_id")), q)
-
-
 # ---------------------------------------------------------------- filters and ACL
 
 def users(spark: SparkSession) -> DataFrame:

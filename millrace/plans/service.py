@@ -12,7 +12,7 @@ from ..operators import chunkers, raptor, relational, retrieval
 from ..sources import parsers, tables
 from ..streaming import audit, ingest
 from . import compiler
-from .queries import _ACL, _LEXICAL, CHUNKS, TOKENS, chunks, protected, query, table, tree, users, vector_queries, vectors, whole_items
+from .queries import _ACL, _LEXICAL, CHUNKS, TOKENS, chunks, items, protected, query, table, users, vector_queries, vectors
 
 
 def _new(spark, label: str) -> str:
@@ -102,11 +102,32 @@ h AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id
 SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM h JOIN c USING (chunk_id) JOIN p ON p.doc_id = c.document_id AND p.user_id = 'u1' WHERE rank <= 5 AND score >= 0.2 AND (admin OR pub OR (clear AND named))""")
 def r22_request(spark, d):
     """A request with the settings of two knowledge bases that agree, a threshold and a user."""
+    return _request(spark, d, F.lit("u1"), "post", 0.2)
+
+
+def _request(spark, d, user, acl_mode, threshold):
     rights = protected(spark, d).withColumnRenamed("doc_id", "document_id")
     corpus = compiler.Corpus(chunks(spark, d).join(rights, "document_id"), index=retrieval.lexical_index(chunks(spark, d)))
-    queries = whole_items(spark, d).withColumn("user_id", F.lit("u1"))
     setting = {"name": "hybrid", "params": {"dense_weight": 0.7, "sparse_weight": 0.3}}
-    return compiler.retrieve(queries, corpus, [setting, dict(setting)], k=5, threshold=0.2, users=users(spark))
+    return compiler.retrieve(items(spark, d).withColumn("user_id", user), corpus, [setting, dict(setting)], k=5, threshold=threshold, users=users(spark), acl_mode=acl_mode)
+
+
+_FIRST = _LEXICAL.index("dots AS (")
+
+
+@query("r22_request_allowed", f"""{_LEXICAL[:_FIRST]}{_ACL},
+asks AS (SELECT query_id, ['u0', 'u1', 'u2', 'u3', 'src4'][(query_id % 5 + 1)::INTEGER] AS user_id FROM q),
+may AS (SELECT query_id, chunk_id FROM asks JOIN p ON p.user_id = asks.user_id AND (admin OR pub OR (clear AND named)) JOIN c ON c.document_id = p.doc_id),
+{_LEXICAL[_FIRST:].replace("SELECT query_id, chunk_id, 0 FROM nq, (SELECT chunk_id FROM nc ORDER BY chunk_id LIMIT 10) AS z", "SELECT query_id, chunk_id, 0 FROM may")
+ .replace("FROM dots JOIN nq USING (query_id)", "FROM dots JOIN may USING (query_id, chunk_id) JOIN nq USING (query_id)")
+ .replace("UNION ALL SELECT query_id, chunk_id, 0.0 FROM q, (SELECT chunk_id FROM c ORDER BY chunk_id LIMIT 10) AS z", "UNION ALL SELECT query_id, chunk_id, 0.0 FROM may")
+ .replace("raw AS (SELECT query_id, chunk_id, round(sum(s), 9) AS raw FROM hit GROUP BY ALL)", "raw AS (SELECT query_id, chunk_id, round(sum(s), 9) AS raw FROM hit SEMI JOIN may USING (query_id, chunk_id) GROUP BY ALL)")},
+f AS (SELECT query_id, chunk_id, round(sum(g), 9) AS score FROM (SELECT query_id, chunk_id, 0.7 * score AS g FROM top WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 0.3 * score FROM second WHERE rank <= 5) GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 5""")
+def r22_request_allowed(spark, d):
+    """The same request by five users in turn, each of whom gets the best five of what they may see."""
+    names = F.array(*(F.lit(x) for x in ("u0", "u1", "u2", "u3", "src4")))
+    return _request(spark, d, F.element_at(names, (F.col("query_id") % 5 + 1).cast("int")), "pre", 0.0)
 
 
 def _family(spark, d):
@@ -128,6 +149,23 @@ def r21_parent_context(spark, d):
     return retrieval.parent_context(found, family).select("chunk_id", F.md5("context_text").alias("digest"))
 
 
+_TREE = """n AS (
+  SELECT vec_id AS node_id, 1000000 + vec_id // 20 AS parent_id, 0 AS level, vec_id AS chunk_id FROM embeddings
+  UNION ALL SELECT DISTINCT 1000000 + vec_id // 20, 2000000, 1, NULL FROM embeddings
+  UNION ALL SELECT 2000000, NULL, 2, NULL
+)"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary tree over the vectors: twenty neighbours under a summary, all under a root."""
+    up = (F.floor(F.col("chunk_id") / 20) + 1_000_000).cast("long")
+    leaves = vectors(spark, sf_dir).select(F.col("chunk_id").alias("node_id"), up.alias("parent_id"), F.lit(0).alias("level"), "chunk_id", "vector", F.lit("kb").alias("kb_id"))
+    mean = leaves.select("parent_id", F.posexplode("vector").alias("i", "x")).groupBy("parent_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("vector"))
+    mid = mean.select(F.col("parent_id").alias("node_id"), F.lit(2_000_000).cast("long").alias("parent_id"), F.lit(1).alias("level"), F.lit(None).cast("long").alias("chunk_id"), "vector", F.lit("kb").alias("kb_id"))
+    top = spark.createDataFrame([(2_000_000, None, 2, None, [1.0] * 64, "kb")], leaves.schema)
+    return leaves.unionByName(mid).unionByName(top)
+
+
 @query("a4_tree_stats", """
 SELECT 'kb' AS kb_id, (SELECT count(*) FROM embeddings) + (SELECT count(DISTINCT vec_id // 20) FROM embeddings) + 1 AS total, (SELECT count(*) FROM embeddings) AS leaves, (SELECT count(DISTINCT vec_id // 20) FROM embeddings) + 1 AS summaries, 2::INTEGER AS max_level,
 '0:' || (SELECT count(*) FROM embeddings) || ',1:' || (SELECT count(DISTINCT vec_id // 20) FROM embeddings) || ',2:1' AS by_level, 'partial' AS status""")
