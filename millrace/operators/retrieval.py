@@ -7,6 +7,7 @@ ties by the smaller chunk_id. One plan answers one query or a million.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -79,8 +80,8 @@ def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 102
     negative: of the chunks without a common slot the k with the smallest ids suffice.
     ``visible`` (query_id, acl_class; chunks have acl_class) keeps a query to its classes."""
     if queries.limit(most // dim + 1).count() <= most // dim and _few(visible, most):
-        places = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != ""), lambda t: hash_slot(t, dim).cast("int"))
-        c = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), places.alias("slots"), _class_of(chunks, visible)).where(F.size("slots") > 0)
+        words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+        c = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), words.alias("words"), _class_of(chunks, visible))
         ids: dict = {}
         found = slots(queries, "query_id", "query", dim).groupBy("query_id").agg(F.collect_list(F.struct("slot", "c")).alias("s")).orderBy("query_id").collect()
         sent = np.zeros((dim, len(found)))
@@ -90,12 +91,20 @@ def hash_dense(queries: DataFrame, chunks: DataFrame, k: int = 5, dim: int = 102
                 sent[slot, i] = n
         lengths = (sent * sent).sum(axis=0)
 
-        def score(batch: pa.RecordBatch, queries_at: slice) -> np.ndarray:
-            rows, flat = _owners(batch.column(1)), batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            held = np.bincount(rows * dim + flat, minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
-            return held @ sent[:, queries_at] / np.sqrt(np.outer((held * held).sum(axis=1), lengths[queries_at]))
+        def prepared(batch: pa.RecordBatch) -> Callable[[slice], np.ndarray]:
+            coded = pc.dictionary_encode(batch.column(1).flatten())
+            slot = np.fromiter((int(hashlib.md5(w.encode()).hexdigest(), 16) % dim for w in coded.dictionary.to_pylist()), np.int64)
+            flat = slot[coded.indices.to_numpy(zero_copy_only=False)] if len(slot) else slot
+            held = np.bincount(_owners(batch.column(1)) * dim + flat, minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
+            squared = (held * held).sum(axis=1)
 
-        return top_k(_best_of_batches(c, ids, score, k, visible, queries), k)
+            def score(queries_at: slice) -> np.ndarray:
+                with np.errstate(invalid="ignore"):  # a chunk without words has no cosine and is no hit
+                    return held @ sent[:, queries_at] / np.sqrt(np.outer(squared, lengths[queries_at]))
+
+            return score
+
+        return top_k(_best_of_batches(c, ids, prepared, k, visible, queries), k)
     q, c = slots(queries, "query_id", "query", dim), slots(chunks, "chunk_id", "text", dim)
     length = lambda df, key, name: df.groupBy(key).agg(F.sum(F.col("c") * F.col("c")).alias(name))
     nq, nc = length(q, "query_id", "_nq"), length(c, "chunk_id", "_nc")
@@ -134,9 +143,9 @@ def _owners(lists: pa.Array) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
 
 
-def _best_of_batches(rows: DataFrame, ids: dict, score: Callable[[pa.RecordBatch, slice], np.ndarray], k: int, visible: DataFrame | None, queries: DataFrame, size: int = 1024) -> DataFrame:
+def _best_of_batches(rows: DataFrame, ids: dict, prepared: Callable[[pa.RecordBatch], Callable[[slice], np.ndarray]], k: int, visible: DataFrame | None, queries: DataFrame, size: int = 1024) -> DataFrame:
     """(query_id, chunk_id, score): of every batch of ``rows`` (chunk_id, ..., acl_class) the best k of each
-    query, by what ``score`` gives for a batch and a block of the queries, which ``ids`` numbers."""
+    query, by the scores that ``prepared`` of a batch gives for a block of the queries, which ``ids`` numbers."""
     seen: dict[int, np.ndarray] | None = None
     if visible is not None:
         seen = {}
@@ -151,9 +160,10 @@ def _best_of_batches(rows: DataFrame, ids: dict, score: Callable[[pa.RecordBatch
                 batch = whole.slice(start, size)
                 batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")))
                 chunk_ids, classes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                score = prepared(batch)
                 for at in range(0, len(names), QUERY_BLOCK):
                     end = min(at + QUERY_BLOCK, len(names))
-                    scores = np.round(score(batch, slice(at, end)), 9) + 0.0
+                    scores = np.round(score(slice(at, end)), 9) + 0.0
                     if seen is not None:
                         hidden = np.ones(scores.shape, bool)
                         for c in np.unique(classes):
@@ -223,33 +233,35 @@ def _best_by_batch(queries: DataFrame, wanted: DataFrame, index: DataFrame, k: i
     asked, weight = asked[order], np.array([r["weight"] for r in found])[order]
     mean, names = (found[0]["avgdl"] if found else 1.0), list(places)
 
-    def score(batch: pa.RecordBatch, queries_at: slice) -> np.ndarray:
-        scores = np.zeros((batch.num_rows, queries_at.stop - queries_at.start))
+    def prepared(batch: pa.RecordBatch) -> Callable[[slice], np.ndarray]:
         words, lengths = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(words.flatten())
         place = pc.fill_null(pc.index_in(coded.dictionary, pa.array(names, pa.string())), -1).to_numpy(zero_copy_only=False)
-        if not len(place) or not names:
-            return scores
-        term = place[coded.indices.to_numpy(zero_copy_only=False)]
-        pair, tf = np.unique(_owners(words)[term >= 0] * len(names) + term[term >= 0], return_counts=True)
-        owner, term = np.divmod(pair, len(names))
+        term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.zeros(0, np.int64)
+        pair, tf = np.unique(_owners(words)[term >= 0] * max(len(names), 1) + term[term >= 0], return_counts=True)
+        owner, term = np.divmod(pair, max(len(names), 1))
         here, local = np.unique(term, return_inverse=True)
         gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[owner] / mean))
-        block = slice(*np.searchsorted(asked[:, 0], [queries_at.start, queries_at.stop]))
-        q, t, w = asked[block, 0] - queries_at.start, asked[block, 1], weight[block]
-        at = np.minimum(np.searchsorted(here, t), max(len(here) - 1, 0))
-        there = here[at] == t if len(here) else np.zeros(len(t), bool)
-        weights = np.zeros((len(here), scores.shape[1]))
-        weights[at[there], q[there]] = w[there]
-        for first in range(0, batch.num_rows, rows):
-            part = slice(*np.searchsorted(owner, [first, first + rows]))
-            if part.start < part.stop:
-                starts = np.flatnonzero(np.r_[True, np.diff(owner[part]) > 0])
-                scores[owner[part][starts]] = np.add.reduceat(weights[local[part]] * gain[part, None], starts, axis=0)
-        return scores
+        parts = [slice(*np.searchsorted(owner, [first, first + rows])) for first in range(0, batch.num_rows, rows)]
+
+        def score(queries_at: slice) -> np.ndarray:
+            scores = np.zeros((batch.num_rows, queries_at.stop - queries_at.start))
+            block = slice(*np.searchsorted(asked[:, 0], [queries_at.start, queries_at.stop]))
+            q, t, w = asked[block, 0] - queries_at.start, asked[block, 1], weight[block]
+            at = np.minimum(np.searchsorted(here, t), max(len(here) - 1, 0))
+            there = here[at] == t if len(here) else np.zeros(len(t), bool)
+            weights = np.zeros((len(here), scores.shape[1]))
+            weights[at[there], q[there]] = w[there]
+            for part in parts:
+                if part.start < part.stop:
+                    starts = np.flatnonzero(np.r_[True, np.diff(owner[part]) > 0])
+                    scores[owner[part][starts]] = np.add.reduceat(weights[local[part]] * gain[part, None], starts, axis=0)
+            return scores
+
+        return score
 
     c = index.select(F.col("chunk_id").cast("long"), "dl", "words", _class_of(index, visible))
-    return _best_of_batches(c, numbers, score, k, visible, queries).withColumnRenamed("score", "raw")
+    return _best_of_batches(c, numbers, prepared, k, visible, queries).withColumnRenamed("score", "raw")
 
 
 @operator("retriever", "bm25_per_kb")
@@ -371,36 +383,6 @@ def parent_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select(*hits.columns, "context_text")
 
 
-@operator("retriever", "ann")
-def approximate(queries: DataFrame, chunks: DataFrame, k: int = 5, cells: int | None = None, probes: int = 8, sample: int = 100_000, exclude_self: bool = False, seed: int = 7) -> DataFrame:
-    """Cosine top-k by an inverted file: vectors are dealt to the nearest of ``cells`` centres (the
-    square root of their number by default), a query looks into its ``probes`` nearest cells.
-
-    Centres are fitted on a sample of about ``sample`` vectors; every vector is indexed. The exact
-    way is :func:`dense`."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    length = norm(F.col("vector"))
-    unit = lambda df, *cols: df.where(length > 0).select(*cols, F.transform("vector", lambda x: x.cast("double") / length).alias("_u"))
-    c = kept(unit(chunks, "chunk_id"), "unit-vectors")
-    n = c.count()
-    if not n:
-        return top_k(queries.select("query_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0), k)
-    cells = min(cells or max(1, round(n**0.5)), n)
-    points = (c if n <= sample else c.sample(sample / n, seed=seed)).select(array_to_vector("_u").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(points) if cells > 1 else None
-    centres = [list(map(float, x)) for x in model.clusterCenters()] if model else [[0.0] * len(c.head()["_u"])]
-    # the nearest centre is the one of the largest inner product less half its squared length
-    near = F.array(*(F.struct((dot(F.col("_u"), F.lit(x)) - 0.5 * sum(v * v for v in x)).alias("s"), F.lit(i).alias("cell")) for i, x in enumerate(centres)))
-    filed = model.transform(c.withColumn("features", array_to_vector("_u"))).select("chunk_id", F.col("_u").alias("_c"), F.col("prediction").alias("_cell")) if model else c.select("chunk_id", F.col("_u").alias("_c"), F.lit(0).alias("_cell"))
-    asked = unit(queries, "query_id").select("query_id", F.col("_u").alias("_q"), F.explode(F.transform(F.slice(F.sort_array(near, asc=False), 1, probes), lambda x: x["cell"])).alias("_cell"))
-    pairs = filed.join(asked, "_cell").where(F.size("_q") == F.size("_c"))
-    if exclude_self:
-        pairs = pairs.where("query_id <> chunk_id")
-    return top_k(pairs.select("query_id", "chunk_id", F.round(dot(F.col("_q"), F.col("_c")), 9).alias("score")), k)
-
-
 @operator("postprocessor", "rerank")
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, provider: str = "overlap") -> DataFrame:
     """Order hits anew. ``none`` gives 1 - 0.01 per place; ``overlap`` the share of the query's

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import extraction
 from millrace.functions import text as fx
 from millrace.functions.vectors import hash_embedding
-from millrace.operators import relational, retrieval
+from millrace.operators import relational, retrieval, vector_index
 from millrace.plans import compiler
 from millrace.plans.queries import QUERIES, vector_queries, vectors
 from millrace.sources import parsers, tables
@@ -118,15 +118,33 @@ def test_both_ways_of_bm25_agree(spark):
     assert rows(100) == rows(0) and len(rows(100)) == 24
 
 
-def test_approximate_search_finds_nine_of_ten(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_search_finds_nine_of_ten(spark, sf):
+    """While a tenth of the vectors at most is scored."""
+    d = f"/root/testdata/{sf}"
     exact = {(r["query_id"], r["chunk_id"]) for r in QUERIES["r1_dense"](spark, d).collect()}
     found = {(r["query_id"], r["chunk_id"]) for r in QUERIES["r3_ann"](spark, d).collect()}
     recall = len(exact & found) / len(exact)
     print(f"recall at 10: {recall:.3f}")
-    assert recall >= 0.9
-    every = retrieval.approximate(vector_queries(spark, d), vectors(spark, d), 10, cells=5, probes=5, exclude_self=True)
-    assert {(r["query_id"], r["chunk_id"]) for r in every.collect()} == exact
+    assert recall >= 0.9 and 50 <= vectors(spark, d).count() / 10
+    if sf == "sf0.01":
+        index = vector_index.build(vectors(spark, d), cells=5)
+        every = vector_index.search(index, vector_queries(spark, d), vectors(spark, d), 10, probes=5, shortlist=1000, exclude_self=True)
+        assert {(r["query_id"], r["chunk_id"]) for r in every.collect()} == exact
+
+
+def test_approximate_search_of_odd_vectors(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(50, None), (51, [0.0, 0.0, 0.0]), (52, [1.0]), (53, [None, 1.0, 1.0]), (54, [nan, 1.0, 1.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, None), (3, [0.0, 0.0, 0.0]), (4, [1.0]), (5, [2.0, 1.0, 0.0])], "query_id long, vector array<double>")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect() if r["query_id"] != 4)
+    fine = c.where("chunk_id < 52")
+    want = key(retrieval.dense(q, fine, 4))
+    assert key(vector_index.approximate(q, c, 4, cells=6, probes=6, shortlist=60)) == want
+    monkeypatch.setattr(vector_index, "BROADCAST_QUERIES", 1)
+    assert key(vector_index.approximate(q, c, 4, cells=6, probes=6, shortlist=60)) == want
+    assert vector_index.approximate(q, c.limit(0), 4).collect() == [] and vector_index.approximate(q.limit(0), c, 4).collect() == []
 
 
 def test_children_show_their_parents(spark):
