@@ -51,23 +51,20 @@ HOST_RULES = [
     url_filter.HostRule("block", "example.net/de/8"),
     url_filter.HostRule("block", "org/es/"),
 ]
-#: A filter list of names that betting, advert and tracking hosts and pages carry.
-PATTERNS = url_filter.parse_rules("""
-! betting
--bets.
--casino.
--casino-
--poker.
-! adverts and tracking
-||ads.
-||adserver.
-||tracker.
-/ads/
-/adserver/
-/banners/
-/tracking/
-@@/ads/policy/
-""".splitlines())
+#: A filter list by topic: the names, and the forms (with their expressions in SQL) in which hosts and
+#: paths of betting sites, adverts and trackers carry them.
+_TOPICS = {
+    "betting": (
+        "bets casino casinos poker slots roulette jackpot bingo lottery sportsbook gambling blackjack baccarat craps keno betting wager freespins highroller scratchcards".split(),
+        {"-{}.": r"-{}\.", "||{}.": r"^([^/]*\.)?{}\.", "||{}-": r"^([^/]*\.)?{}-", "-{}-": "-{}-", "/{}/": "/{}/", "/{}-": "/{}-", "-{}/": "-{}/"},
+    ),
+    "adverts and tracking": (
+        "ads adserver adverts banners popunder tracker trackers tracking clicktrack retargeting affiliates sponsored interstitial beacon".split(),
+        {"||{}.": r"^([^/]*\.)?{}\.", "/{}/": "/{}/", "/{}.": r"/{}\.", "-{}.": r"-{}\.", "@@/{}/policy": "/{}/policy", "@@||{}.*/about^": r"^([^/]*\.)?{}\..*/about([^0-9A-Za-z_.%-]|$)"},
+    ),
+}
+_LINES = [(form.format(name), expression.format(name)) for names, forms in _TOPICS.values() for name in names for form, expression in forms.items()]
+PATTERNS = url_filter.parse_rules(line for line, _ in _LINES)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,16 +184,16 @@ WITH h AS (
 ), r AS (
   SELECT * FROM (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')) AS t(verdict, rule)
 ), p AS (
-  SELECT * FROM (VALUES ('block', '-bets.', '-bets\.'), ('block', '-casino.', '-casino\.'), ('block', '-casino-', '-casino-'), ('block', '-poker.', '-poker\.'), ('block', '||ads.', '^([^/]*\.)?ads\.'), ('block', '||adserver.', '^([^/]*\.)?adserver\.'), ('block', '||tracker.', '^([^/]*\.)?tracker\.'), ('block', '/ads/', '/ads/'), ('block', '/adserver/', '/adserver/'), ('block', '/banners/', '/banners/'), ('block', '/tracking/', '/tracking/'), ('allow', '/ads/policy/', '/ads/policy/')) AS t(verdict, pattern, re)
+  SELECT * FROM (VALUES @PATTERNS@) AS t(verdict, pattern, re)
 ), j AS (
   SELECT page_id, host, path,
     (SELECT max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) FROM r
       WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))) AS a,
-    (SELECT max(struct_pack(n := length(pattern), pattern := pattern, verdict := verdict)) FROM p WHERE regexp_matches(host || path, re)) AS b
+    (SELECT max(struct_pack(exception := verdict = 'allow', n := length(pattern), pattern := pattern, verdict := verdict)) FROM p WHERE regexp_matches(host || path, re, 'i')) AS b
   FROM h
 )
 SELECT page_id, host, path, a.rule AS rule, coalesce(a.verdict, b.verdict, 'allow') AS verdict, b.pattern AS pattern FROM j
-"""
+""".replace("@PATTERNS@", ", ".join(f"('{'allow' if line.startswith('@@') else 'block'}', '{line.removeprefix('@@')}', '{expression}')" for line, expression in _LINES))
 
 ORACLE["op8_topk"] = r"""
 WITH v AS (

@@ -14,6 +14,7 @@ closure; ``MAX_RULES`` bounds them. Judging is a map without any shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,41 +40,68 @@ class HostRule:
 class PatternRule:
     """A pattern over host and path: ``*`` stands for any characters, ``^`` for a separator
     or the end, a leading ``||`` for the start of a host label, ``|`` at either end for the
-    start of the host or the end of the path, all else for itself."""
+    start of the host or the end of the path, all else for itself, in either case unless
+    ``match_case``. An important block rule outweighs exceptions."""
 
     verdict: str
     pattern: str
+    match_case: bool = False
+    important: bool = False
 
+    def rank(self) -> tuple[int, int]:
+        """Important blocks first, then exceptions, then other blocks; the longer of a kind."""
+        return (1 if self.verdict == "allow" else 2 * self.important), len(self.pattern)
 
-def parse_rules(lines: Iterable[str]) -> list[PatternRule]:
-    """Pattern rules from a filter list: block patterns, ``@@`` before those that allow, lines
-    of hosts files ("0.0.0.0 name"), comments (``!``, ``#``).
 
-    Rules that depend on more than a URL (``$`` options, ``##`` selectors) are no rules for
-    URLs and are left out; so are empty lines. A pattern that stands twice counts once."""
+def parse_list(lines: Iterable[str]) -> tuple[list[PatternRule], Counter[str]]:
+    """Pattern rules from a filter list, and what was left out of it: block patterns, ``@@`` before
+    those that allow, lines of hosts files ("0.0.0.0 name"), comments (``!``, ``#``).
+
+    Of ``$`` options those that a page's URL decides are honoured: match-case, important, and the
+    types document, doc and all, which a page is. A rule with others (which site asks, what kind
+    of part is loaded) or with a ``##`` selector is no rule for URLs; each is counted by its
+    option's name or as "##". Empty lines go. A rule that stands twice counts once."""
     out: dict[PatternRule, None] = {}
+    left: Counter[str] = Counter()
     for line in map(str.strip, lines):
         address = _HOSTS_LINE.fullmatch(line)
         if address:
             for name in address[1].split():
                 out.setdefault(PatternRule("block", f"||{name.lower()}^"))
-        elif line and line[0] not in "!#[" and not _BEYOND_URLS.search(line):
-            allow = line.startswith("@@")
-            if pattern := line.removeprefix("@@"):
-                out.setdefault(PatternRule("allow" if allow else "block", pattern))
-    return list(out)
+        elif _SELECTOR.search(line):
+            left["##"] += 1
+        elif line and line[0] not in "!#[":
+            found = _OPTIONS.search(line)
+            options = {o.partition("=")[0].lower() for o in found[1].split(",") if o} if found else set()
+            types, others = options & _PAGE_TYPES, options - _PAGE_TYPES - _DECIDED
+            if others - (_PART_TYPES if types else set()):
+                left.update(others)
+                continue
+            pattern = (line[: found.start()] if found else line).removeprefix("@@")
+            if pattern:
+                out.setdefault(PatternRule("allow" if line.startswith("@@") else "block", pattern, "match-case" in options, "important" in options))
+    return list(out), left
+
+
+def parse_rules(lines: Iterable[str]) -> list[PatternRule]:
+    """The rules of :func:`parse_list`."""
+    return parse_list(lines)[0]
 
 
 _HOSTS_LINE = re.compile(r"(?:0\.0\.0\.0|127\.0\.0\.1|::1?)\s+([^#]+?)\s*(?:#.*)?")
-_BEYOND_URLS = re.compile(r"#@?[?$]?#|\$[a-z0-9~_,=|.-]+$", re.I)
+_SELECTOR = re.compile(r"#@?[?$]?#")
+_OPTIONS = re.compile(r"\$([a-z0-9~_,=|.-]+)$", re.I)
+_DECIDED, _PAGE_TYPES = {"match-case", "important"}, {"document", "doc", "all"}
+#: Types of parts of pages: beside a page type they take nothing from the rule.
+_PART_TYPES = {"script", "image", "stylesheet", "subdocument", "xmlhttprequest", "object", "media", "font", "ping", "websocket", "popup", "other"}
 
 
-def _regex(p: str) -> re.Pattern:
+def _regex(p: str, match_case: bool = False) -> re.Pattern:
     head = r"^(?:[^/]*\.)?" if p.startswith("||") else "^" if p.startswith("|") else ""
     p = p.removeprefix("||") if p.startswith("||") else p.removeprefix("|")
     tail = "$" if p.endswith("|") else ""
     body = "".join({"*": ".*", "^": r"(?:[^0-9A-Za-z_.%-]|$)"}.get(c) or re.escape(c) for c in p.removesuffix("|"))
-    return re.compile(head + body + tail, re.S)
+    return re.compile(head + body + tail, re.S if match_case else re.S | re.I)
 
 
 def literal_tokens(p: str) -> list[str]:
@@ -118,7 +146,7 @@ class RuleIndex:
             pattern = re.compile(r"(?:^|.*\.)" + re.escape(host.lower()) + "\n" + re.escape(slash + path))
             self._file(labels, counts, (1, len(r.rule), r.rule, r.verdict, pattern))
         for p in patterns:
-            self._file(literal_tokens(p.pattern), counts, (0, len(p.pattern), p.pattern, p.verdict, _regex(p.pattern)))
+            self._file(literal_tokens(p.pattern), counts, (0, p.rank(), p.pattern, p.verdict, _regex(p.pattern, p.match_case)))
 
     def _file(self, tokens: list[str], counts: dict[str, int], rule: tuple) -> None:
         if not tokens:
@@ -146,8 +174,9 @@ class RuleIndex:
 def judge_urls(df: DataFrame, host_rules: Sequence[HostRule], patterns: Sequence[PatternRule] = (), url: str = "url", id_col: str = "page_id") -> DataFrame:
     """Per row: id, host, path, rule, pattern, verdict.
 
-    A host rule that fits decides (longest first, ties to the larger string); else the
-    longest fitting pattern rule; else the URL is allowed. Null, empty or scheme-less URLs have
+    A host rule that fits decides (longest first, ties to the larger string); else a fitting
+    pattern rule: an important block, else an exception, else any block, the longest of its
+    kind; else the URL is allowed. Null, empty or scheme-less URLs have
     an empty host and path, which no host rule fits. Rows repeat as they come, null and
     repeated ids, too; a long URL counts whole. Other columns are ignored, whatever their
     names. An empty table gives no rows, an empty list of rules allows all.

@@ -187,6 +187,20 @@ def test_filter_lists():
     assert judge("a", "/xtracky\n") == ("*track*", "block") and judge("notbad.example", "/") == (None, "allow")
 
 
+def test_exceptions_win_and_options_that_urls_decide_count():
+    lines = ["@@||good.com^", "/advertising/banner/", "/Upper/$match-case", "/always/$important", "||ads.com^$third-party", "||page.com^$document,script", "/part.js$script", "||x.com^$domain=a.com|b.com,image", "a.com##.b", "a.com#@#.c", "@@/always/"]
+    rules, left = url_filter.parse_list(lines)
+    assert left == {"third-party": 1, "script": 1, "domain": 1, "image": 1, "##": 2}
+    index = url_filter.RuleIndex([], rules, {})
+    judge = lambda host, path: index.judge(host, path)[1:]
+    assert judge("good.com", "/advertising/banner/") == ("||good.com^", "allow")
+    assert judge("bad.com", "/ADVERTISING/banner/") == ("/advertising/banner/", "block")
+    assert judge("a.com", "/Upper/")[1] == "block" and judge("a.com", "/upper/")[1] == "allow"
+    assert judge("good.com", "/always/") == ("/always/", "block")
+    assert judge("ads.com", "/")[1] == judge("x.com", "/")[1] == "allow" and judge("www.page.com", "/")[1] == "block"
+    assert len(queries.PATTERNS) > 200
+
+
 def test_thousands_of_rules():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 4])))
