@@ -7,8 +7,10 @@ nearest is the one whose path has the longest prefix in common with the page's o
 
 Lines shared with the nearest page are deleted; the page's markup has a vote. Blocks inside
 elements that say plainly what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, by tag, role or whole class name) go in any case. A name that only
-begins or ends like those ("ad-story", "related-work") leaves the decision to differencing.
+forms to fill in, reader comments, by tag, role or whole class name) go in any case. A name that
+only begins or ends like those ("ad-story", "related-work"), or that parts of an article have, too
+("related", "notice"; unless most of the part is links), leaves the decision to differencing. A
+form around a page is none, and inline parts of an article have no names that count.
 Blocks inside ``article`` or ``main`` are the text and stay, but for lines that the pages on
 both sides share while being other texts. A page whose unshared text outside is over twice
 that inside has marked a teaser only, and is judged as if it had marked nothing.
@@ -55,8 +57,40 @@ _PART = re.compile(r"[a-z]+", re.I)
 _PLAIN = frozenset("area bar block body bottom box btn button buttons col column container content div element footer group head header holder icon icons inner item items left link links list main module outer panel post posts region right row section slot slots space static text title top unit view wrap wrapper".split())
 
 
-def _is_furniture(tag: str, attributes: str, in_main: bool) -> int:
-    """2 where an element says that it is no main text, 1 where its name only hints at it."""
+#: Names that parts of an article have, too: there they count only where most of the part is links.
+_ALSO_TEXT = frozenset("related alert notice notices banner header masthead menu footer promotion reply".split())
+_FORM_END = re.compile(r"</?form(?=[\s/>])", re.I)
+_FIELD = re.compile(r"<(?:button|select|textarea|input(?![^>]*\btype\s*=\s*[\"']?hidden))(?=[\s/>])", re.I)
+_HOLDS_TEXT = re.compile(r"<(?:article|main)(?=[\s/>])|role\s*=\s*[\"']?main", re.I)
+_MARKUP = re.compile(r"<(script|style)(?=[\s>]).*?</\1\s*>|<[^>]*>", re.S | re.I)
+_LINK = re.compile(r"<a(?=[\s>])[^>]*>(.*?)</a\s*>", re.S | re.I)
+#: Characters of text a field that tell a form around a page from one to fill in, and of a part that is looked at for links.
+_PER_FIELD, _PART_SIZE = 300, 20_000
+
+
+def _wraps_page(page: str, at: int) -> bool:
+    """Whether the form that opens before ``at`` holds an article, or little but fields: text of a page."""
+    end = _FORM_END.search(page, at)
+    inner = page[at : end.start() if end else len(page)]
+    return bool(_HOLDS_TEXT.search(inner)) or len(_MARKUP.sub("", inner).split()) * 6 >= _PER_FIELD * max(1, len(_FIELD.findall(inner)))
+
+
+def _mostly_links(page: str, tag: str, at: int) -> bool:
+    """Whether half of the text of the part that opens before ``at`` is in links."""
+    inner = page[at : at + _PART_SIZE]
+    end = re.search(rf"</{re.escape(tag)}(?=[\s>])", inner, re.I)
+    inner = inner[: end.start()] if end else inner
+    size = lambda x: sum(map(len, _MARKUP.sub(" ", x).split()))
+    return 2 * sum(size(x) for x in _LINK.findall(inner)) >= size(inner)
+
+
+def _is_furniture(tag: str, attributes: str, in_main: bool, page: str, at: int) -> int:
+    """2 where an element says that it is no main text, 1 where its name only hints at it. Inline
+    parts of an article are its text, whatever their names."""
+    if in_main and tag in _INLINE:
+        return 0
+    if tag == "form" and _wraps_page(page, at):
+        return 0
     if tag in _FURNITURE or (tag == "header" and not in_main):
         return 2
     if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
@@ -71,7 +105,9 @@ def _is_furniture(tag: str, attributes: str, in_main: bool) -> int:
         for name in value.split():
             parts = _PART.findall(name)
             if name in _NAMES or (parts and not (in_main and parts[-1] in ("header", "title")) and any(x in _NAMES for x in parts) and all(x in _NAMES or x in _PLAIN for x in parts)):
-                return 2
+                if not (in_main and _ALSO_TEXT.issuperset(x for x in parts if x in _NAMES)) or _mostly_links(page, tag, at):
+                    return 2
+                found = 1
             if parts and (parts[-1] in _NAMES or parts[0] in _NAMES) and not (in_main and parts[-1] in ("header", "title")):
                 found = 1
     return found
@@ -167,9 +203,9 @@ def parsed(page: str | None) -> list[tuple[str, bool, bool]]:
                 while stack and (stack[-1][0] in _SELF_CLOSING[tag] or stack[-1][0] in _INLINE or stack[-1][0] == "p") and any(x[0] in _SELF_CLOSING[tag] for x in stack[-4:]):
                     close(len(stack) - 1)
             above = stack[-1] if stack else ("", 0, False)
-            if tag in _VOID or m[3].endswith("/"):
+            if tag in _VOID:  # a slash closes no other element of HTML
                 continue
-            furniture = above[1] if above[1] == 2 else max(above[1], _is_furniture(tag, m[3], above[2]))
+            furniture = above[1] if above[1] == 2 else max(above[1], _is_furniture(tag, m[3], above[2], page, at))
             opened.setdefault(tag, []).append(len(stack))
             if not plain:
                 solid.append(len(stack))

@@ -237,3 +237,20 @@ def test_host_rules(spark, url, host, path, rule, verdict):
 
 def test_urls_of_an_empty_table(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), queries.HOST_RULES, queries.PATTERNS).collect() == []
+
+
+STORY = "A paragraph of the story that goes on for a while, with words enough to be one. " * 6
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><form id="aspnetForm" action="/x"><input type="hidden" name="v"><nav>Menu</nav><div><h1>T</h1><p>{STORY}</p></div></form></body>', ["T", STORY.strip()]),
+    (f'<body><form><input name="v"><article><p>{STORY}</p></article></form></body>', [STORY.strip()]),
+    (f'<body><article><p>{STORY}</p><form><label>Name</label><input name="n"><textarea>x</textarea></form></article></body>', [STORY.strip()]),
+    (f'<article><p>{STORY}</p><section class="related"><h2>Related work</h2><p>Others did <a href="/a">this</a> and that before.</p></section></article>', [STORY.strip(), "Related work", "Others did this and that before."]),
+    (f'<article><p>{STORY}</p><div class="related"><a href="/a">One more story</a> <a href="/b">Another</a></div></article>', [STORY.strip()]),
+    ('<article><p>Price <span class="alert">alert</span> now <b class="ad">end</b></p></article>', ["Price alert now end"]),
+    (f"<nav data-u=/x/>Home<ul><li>Menu</ul></nav><article><div/><p>{STORY}</p></article>", [STORY.strip()]),
+    (f'<article><p>{STORY}</p><div class="ad">Buy</div><div class="comments"><p>First!</p></div></article>', [STORY.strip()]),
+])
+def test_forms_names_and_slashes(page, want):
+    assert [t for t, _ in html_text.blocks_of(page)] == want
