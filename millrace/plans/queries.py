@@ -6,6 +6,7 @@ play the audit log, benchmark items the queries, embeddings the vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.vectors import hash_slot
 from ..operators import acl, chunkers, raptor, relational, retrieval, segmentation
-from ..sources.tables import kept
+from ..sources.tables import IndexTable, kept, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_TREES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -402,9 +404,14 @@ def r15_parent_document(spark, d):
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary tree that clustering builds over all embeddings, whose texts are their names."""
+    """The summary tree that clustering builds over all embeddings, whose texts are their names. It is
+    built once a session and folder and read by every query on trees."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    if key in _TREES:
+        return _TREES[key]
     leaves = vectors(spark, sf_dir).select(F.col("chunk_id").alias("node_id"), "chunk_id", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")).alias("text"), "vector")
-    return kept(raptor.build(leaves), "tree")
+    _TREES[key] = kept(raptor.build(leaves), "tree")
+    return _TREES[key]
 
 
 @query("e4_raptor_build")
@@ -412,6 +419,21 @@ def e4_raptor_build(spark, d):
     return built(spark, d).select("node_id", "parent_id", "level", "chunk_id", "text")
 
 
+@query("e5_tree_upkeep")
+def e5_tree_upkeep(spark, d):
+    """All embeddings in a stored tree: nine of ten build it, the others come later and are added."""
+    leaves = kept(vectors(spark, d).select(F.col("chunk_id").alias("node_id"), "chunk_id", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")).alias("text"), "vector"), "leaves")
+    table = IndexTable(spark, f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}", raptor.TREES, raptor.TREE_KEY)
+    late = F.pmod(F.xxhash64("node_id"), F.lit(10)) == 0
+    # ids of summaries follow those of all leaves
+    top = leaves.agg(F.max("node_id")).head()[0] or 0
+    tree = kept(raptor.build(leaves.where(~late)), "tree")
+    above = lambda c: F.when(F.col("level") + int(c == "parent_id") > 0, F.col(c) + top + 1).otherwise(F.col(c)).alias(c)
+    raptor.store(tree.select(above("node_id"), above("parent_id"), "level", "chunk_id", "text", "vector"), "kb", table)
+    raptor.add(leaves.where(late), "kb", table)
+    return table.read().select("kb_id", "node_id", "parent_id", "level", "chunk_id", "text")
+
+
 @query("a4_raptor_stats")
 def a4_raptor_stats(spark, d):
     return raptor.stats(built(spark, d).withColumn("kb_id", F.lit("kb")))
