@@ -244,6 +244,32 @@ def t1_audit_windows(spark, d):
     return last.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "action", "total", "errors", F.round("mean_ms", 6).alias("mean_ms"))
 
 
+@query("t1_sliding_windows", """WITH w AS (SELECT *, unnest([0, 1, 2]) AS back FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - back * INTERVAL 2 HOUR AS start FROM w)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type AS action, count(*) AS total, count_if(event_type = 'error')::BIGINT AS errors, round(avg(value), 6) AS mean_ms FROM s GROUP BY ALL""")
+def t1_sliding_windows(spark, d):
+    """The events as a stream: six hours by action, anew every two; the last state of all windows."""
+    last = audit.gathered(audit.window_stats(_requests(spark, d), "6 hours", "2 hours"), _new(spark, "sliding"), "complete")
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "action", "total", "errors", F.round("mean_ms", 6).alias("mean_ms"))
+
+
+@query("t1_sessions", """WITH b AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 8 HOUR, true) AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM b)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS requests FROM s GROUP BY user_id, n""")
+def t1_sessions(spark, d):
+    """The events as a stream: each user's runs without a pause of eight hours."""
+    last = audit.gathered(audit.session_stats(_event_stream(spark, d), "8 hours", key="user_id"), _new(spark, "sessions"), "complete")
+    second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return last.select("user_id", second("start").alias("start"), second("end").alias("until"), "requests")
+
+
+@query("t1_followed", "SELECT a.user_id, a.event_id, b.event_id AS then_id, floor((epoch_us(b.ts) - epoch_us(a.ts)) / 1000)::BIGINT AS waited_ms FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'error' AND b.event_type = 'view'")
+def t1_followed(spark, d):
+    """Two streams of events, joined: errors, and what the same user viewed within six hours after."""
+    of = lambda kind: _event_stream(spark, d).where(F.col("event_type") == kind)
+    return audit.gathered(audit.followed(of("error"), of("view"), "6 hours", key="user_id"), _new(spark, "followed"))
+
+
 @query("t6_rate_limiter")
 def t6_rate_limiter(spark, d):
     """At most two requests of a key in a day; refused ones don't count."""

@@ -34,6 +34,19 @@ def session_stats(requests: DataFrame, gap: str = "30 minutes", late: str = "10
     return runs.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
 
 
+def followed(first: DataFrame, then: DataFrame, within: str = "1 hour", late: str = "10 minutes", key: str = "api_key_id") -> DataFrame:
+    """(key, event_id, then_id, waited_ms): requests of a stream ``first`` and those of a stream ``then`` of the same
+    key, not before them and at most ``within`` after.
+
+    Both sides have watermarks, so each side's state is what the other may still meet: a request of
+    ``first`` is kept for ``within`` and the lateness, one of ``then`` for the lateness. What comes later
+    than ``late`` behind the newest of its side is dropped by a stream. Null keys and times meet nothing."""
+    side = lambda df, suffix: df.select(F.col(key).alias(f"_key{suffix}"), F.col("event_id").alias(f"_id{suffix}"), F.col("ts").cast("timestamp").alias(f"_at{suffix}")).withWatermark(f"_at{suffix}", late)
+    near = F.expr(f"_key1 = _key2 AND _at2 >= _at1 AND _at2 <= _at1 + INTERVAL {within}")
+    waited = F.floor((F.unix_micros("_at2") - F.unix_micros("_at1")) / 1000)
+    return side(first, 1).join(side(then, 2), near).select(F.col("_key1").alias(key), F.col("_id1").alias("event_id"), F.col("_id2").alias("then_id"), waited.alias("waited_ms"))
+
+
 def append_log(requests: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append a stream of (request_id, ts, method, path, status_code, duration_ms) to a log, with the
     action of each; requests that are not recorded are left out. Without ``every`` the
