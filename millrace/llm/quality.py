@@ -242,7 +242,8 @@ def _surest(wanted: DataFrame, known: DataFrame, used: DataFrame, model: CoTrain
     found = wanted.where("doc_id is not null").mapInArrow(run, "doc_id long, origin int, view int, y int, far double")
     free = found.join(known, "doc_id", "left_anti").join(F.broadcast(used), "doc_id", "left_anti")
     order = Window.partitionBy("origin", "view", "y").orderBy(F.desc("far"), F.xxhash64("doc_id"), "doc_id")
-    best = free.withColumn("no", F.row_number().over(order)).where(F.col("no") <= F.when(F.col("y") == 1, many[1]).otherwise(many[0]))
+    # with a literal limit each task keeps the first few of every group before the shuffle
+    best = free.withColumn("no", F.row_number().over(order)).where((F.col("no") <= max(many)) & (F.col("no") <= F.when(F.col("y") == 1, many[1]).otherwise(many[0])))
     return best.select("view", "y", "origin", "no", "doc_id").orderBy("view", F.desc("y"), "origin", "no").collect()
 
 
