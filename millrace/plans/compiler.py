@@ -6,13 +6,13 @@ else dense search. The plan is DataFrame operators only; Catalyst does the rest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acl, registry, retrieval
+from ..operators import acl, feedback, metadata, model_calls, registry, retrieval
 from ..sources.tables import kept
 
 #: What preset names of an ensemble stand for.
@@ -86,7 +86,12 @@ def hits(name: str, params: dict, queries: DataFrame, corpus: Corpus, k: int) ->
         return retrieval.rerank(fused, queries, corpus.chunks, k) if params.get("rerank") else fused
     if name in ("multi_query", "hyde"):
         user = [] if corpus.visible is None else ["user_id"]
-        variants = queries.select("query_id", *user, F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query")).withColumn("variant_id", F.xxhash64("query_id", "variant_no"))
+        if params.get("generator") == "feedback":
+            said = kept(feedback.variants(queries, lexical(params.get("feedback_hits", 10)), corpus.chunks, params.get("feedback_terms", 10)), "variants")
+            forms = said.join(queries.select("query_id", *user), "query_id") if user else said
+        else:
+            forms = queries.select("query_id", *user, F.posexplode(retrieval.keyword_variants(F.col("query"))).alias("variant_no", "query"))
+        variants = forms.withColumn("variant_id", F.xxhash64("query_id", "variant_no"))
         asked = variants.select(F.col("variant_id").alias("query_id"), "query", *user)
         found = hits(params.get("base_retriever", "dense"), params.get("base_params") or {}, asked, Corpus(corpus.chunks, None, corpus.index, corpus.visible), k)
         return retrieval.over_variants(found.withColumnRenamed("query_id", "variant_id"), variants, k, params.get("rrf_k", 60))
@@ -101,10 +106,11 @@ def hits(name: str, params: dict, queries: DataFrame, corpus: Corpus, k: int) ->
     raise SettingsError(f"{name} needs more than queries and chunks: call it directly")
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, settings: Sequence[dict | None] = (), override: dict | None = None, k: int = 5, threshold: float = 0.0, rerank: str | None = None, context: tuple[int, int] | None = None, users: DataFrame | None = None, acl_mode: str = "pre") -> DataFrame:
+def retrieve(queries: DataFrame, corpus: Corpus, settings: Sequence[dict | None] = (), override: dict | None = None, k: int = 5, threshold: float = 0.0, rerank: str | Callable | None = None, context: tuple[int, int] | None = None, users: DataFrame | None = None, acl_mode: str = "pre", filters: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank[, context_text]) of a request for every query.
 
-    Hits, a rerank, the threshold and context. ``users`` has user_id, roles, groups, clearance,
+    Hits, a rerank (an offline one by name, or a model of ``model_calls``), the threshold, ``filters``
+    (``metadata``; chunks then have meta) and context. ``users`` has user_id, roles, groups, clearance,
     is_admin and, to join by, the queries' user_id; chunks then have ACL columns. With ``acl_mode``
     "pre" retrievers rank only what a query's user may see, so that k hits are found where k are
     allowed; with "post", as the service has it, rights trim the hits and may leave fewer."""
@@ -115,8 +121,10 @@ def retrieve(queries: DataFrame, corpus: Corpus, settings: Sequence[dict | None]
         corpus = Corpus(classed, own(corpus.vectors), own(corpus.index), kept(acl.visible(classed, users), "visible"))
     found = hits(name, params, queries, corpus, k).select("query_id", "chunk_id", "score", "rank")
     if rerank:
-        found = retrieval.rerank(found, queries, corpus.chunks, k, rerank)
+        found = model_calls.rerank(found, queries, corpus.chunks, rerank, k) if callable(rerank) else retrieval.rerank(found, queries, corpus.chunks, k, rerank)
     found = retrieval.threshold(found, threshold)
+    if filters is not None:
+        found = metadata.filtered(found, filters, corpus.chunks)
     if users is not None and acl_mode == "post":
         rights = corpus.chunks.select("chunk_id", "sensitivity_level", "acl_users", "acl_roles", "acl_groups")
         seen = found.join(rights, "chunk_id").join(queries.select("query_id", "user_id"), "query_id")

@@ -6,6 +6,7 @@ play the audit log, benchmark items the queries, embeddings the vectors.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.vectors import hash_slot
-from ..operators import acl, chunkers, raptor, relational, retrieval, segmentation
+from ..operators import acl, chunkers, feedback, metadata, model_calls, raptor, relational, retrieval, segmentation
 from ..sources.tables import IndexTable, kept, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,11 +234,15 @@ k AS (SELECT query_id, CASE WHEN regexp_matches(q, '(?i){_CODE}') THEN 'code' WH
   WHEN len({TOKENS.format("q")}) <= 3 AND regexp_matches(trim(lower(q), ' ' || chr(9) || chr(10) || chr(13)), '{_KEYWORD}') THEN 'keyword' ELSE 'hybrid' END AS query_type FROM t)
 SELECT query_id, query_type, CASE query_type WHEN 'semantic' THEN 'dense' WHEN 'keyword' THEN 'bm25' ELSE 'hybrid' END AS retriever, CASE query_type WHEN 'keyword' THEN 0.7::DOUBLE WHEN 'hybrid' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM k""")
 def r23_router(spark, d):
+    return _requests_of_all_classes(spark, d).select("query_id", fx.route(F.col("query")).alias("r")).select("query_id", "r.query_type", "r.retriever", F.col("r.confidence").cast("double").alias("confidence"))
+
+
+def _requests_of_all_classes(spark, d):
     """Whole items and, of each, a word, a question, a Chinese request and a call: all classes."""
     first = F.substring_index("text", " ", 1)
     forms = F.array(F.col("text"), first, F.concat(F.lit("what is "), "text"), F.concat(F.lit("请解释 "), F.split_part("text", F.lit(" "), F.lit(2))), F.concat(first, F.lit("()")))
     q = table(spark, d, "benchmark").select("item_id", F.posexplode(forms).alias("n", "q"))
-    return q.select((F.col("item_id") * 10 + F.col("n")).alias("query_id"), fx.route(F.col("q")).alias("r")).select("query_id", "r.query_type", "r.retriever", F.col("r.confidence").cast("double").alias("confidence"))
+    return q.select((F.col("item_id") * 10 + F.col("n")).alias("query_id"), F.col("q").alias("query"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -491,6 +496,97 @@ def e12_prompt(spark, d):
     return retrieval.prompt(retrieval.bm25(q, c, 3), c.withColumn("title", F.col("kb_id")), q)
 
 
+# ---------------------------------------------------------------- model calls
+
+@query("e2_model_embedding", f"""WITH {CHUNKS}, n AS {_SLOTS.format("chunk_id", "text", "c")}
+SELECT chunk_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)), 9) AS value FROM n""")
+def e2_model_embedding(spark, d):
+    """Every chunk through the call of a model that takes sixty-four texts; slots that aren't 0."""
+    found = model_calls.embed(chunks(spark, d).select("chunk_id", "text"), "text", model_calls.hash_embedder(), model_calls.limits_of("siliconflow"))
+    filled = F.filter(F.transform("vector", lambda v, i: F.struct(i.alias("slot"), F.round(v, 9).alias("value"))), lambda s: s["value"] != 0)
+    return found.select("chunk_id", F.explode(filled).alias("s")).select("chunk_id", "s.slot", "s.value")
+
+
+@query("r19_rerank_model", f"""WITH {CHUNKS}, {ITEMS}, {bm25_sql('c', k=20)},
+s AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-6.0 * (len(list_intersect(list_distinct({TOKENS.format("query")}), {TOKENS.format("c.text")}))::DOUBLE / greatest(len(list_distinct({TOKENS.format("query")})), 1) - 0.5))), 9) AS score FROM bm25 JOIN q USING (query_id) JOIN c USING (chunk_id))
+SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+def r19_rerank_model(spark, d):
+    """Twenty lexical hits of every item, scored as pairs by a model that gives logits."""
+    c, q = chunks(spark, d), items(spark, d)
+    return model_calls.rerank(retrieval.bm25(q, c, 20), q, c, model_calls.overlap_scorer(), 5, logits=True)
+
+
+def _topic(texts: list) -> list:
+    """An offline model for routes: long requests are about meaning; of others it isn't sure."""
+    return ["Semantic " if len(t.split()) >= 12 else "unsure" for t in texts]
+
+
+@query("r24_router_model", ORACLE["r23_router"].replace("CASE WHEN regexp_matches", f"CASE WHEN len(list_filter(regexp_split_to_array(q, '\\s+'), lambda t: t <> '')) >= 12 THEN 'model' WHEN regexp_matches", 1)
+    .replace("SELECT query_id, query_type, CASE query_type", "SELECT query_id, CASE query_type WHEN 'model' THEN 'semantic' ELSE query_type END AS query_type, query_type = 'model' AS by_model, CASE query_type WHEN 'model' THEN 'dense'")
+    .replace("CASE query_type WHEN 'keyword' THEN 0.7::DOUBLE", "CASE query_type WHEN 'model' THEN 0.9::DOUBLE WHEN 'keyword' THEN 0.7::DOUBLE"))
+def r24_router_model(spark, d):
+    """The router's requests by a model's answer, and by the rules where it has none of the classes."""
+    return model_calls.route(_requests_of_all_classes(spark, d), _topic, {"semantic": "dense", "keyword": "bm25", "code": "hybrid", "hybrid": "hybrid"})
+
+
+# ---------------------------------------------------------------- feedback and metadata
+
+_SECOND = re.sub(r"\b(qt|hit|raw|q)\b", r"\1_2", bm25_sql("c", "second_hits")[bm25_sql("c", "second_hits").index("qt AS"):])
+
+
+@query("r25_feedback", f"""WITH {CHUNKS}, {ITEMS}, {bm25_sql('c', 'first', 10)},
+m AS (SELECT query_id, chunk_id, score / sum(score) OVER (PARTITION BY query_id) AS mass FROM first),
+said AS (SELECT query_id, mass / len({TOKENS.format("text")}) AS part, unnest({TOKENS.format("text")}) AS term FROM m JOIN c USING (chunk_id)),
+w AS (SELECT query_id, term, round(sum(part), 9) AS weight FROM said WHERE length(term) >= 4 GROUP BY ALL),
+own AS (SELECT query_id, unnest(list_distinct({TOKENS.format("query")})) AS term FROM q),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS no FROM w ANTI JOIN own USING (query_id, term)),
+t AS (SELECT query_id, string_agg(term, ' ' ORDER BY no) AS terms FROM best WHERE no <= 10 GROUP BY query_id),
+v AS (SELECT query_id AS base, 0 AS variant_no, query FROM q UNION ALL SELECT query_id, 1, query || ' ' || terms FROM q JOIN t USING (query_id) UNION ALL SELECT query_id, 2, terms FROM t),
+q_2 AS (SELECT base * 10 + variant_no AS query_id, base, variant_no, query FROM v), {_SECOND},
+f AS (SELECT base AS query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, arg_min(score, variant_no) AS score FROM second_hits JOIN q_2 USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, score, rrf_score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM f) WHERE rank <= 5""")
+def r25_feedback(spark, d):
+    """Every item beside what its first ten hits say: three variants, fused."""
+    c, q = chunks(spark, d), items(spark, d)
+    index = kept(retrieval.lexical_index(c), "index")
+    said = feedback.variants(q, retrieval.bm25(q, c, 10, index=index), c)
+    v = kept(said.withColumn("variant_id", F.col("query_id") * 10 + F.col("variant_no")), "variants")
+    hits = retrieval.bm25(v.select(F.col("variant_id").alias("query_id"), "query"), c, 5, index=index)
+    return retrieval.over_variants(hits.withColumnRenamed("query_id", "variant_id"), v, 5)
+
+
+def _filters(spark, d):
+    """Filters of every item, by its id: of a source, of part of a language's name, of lengths."""
+    i, text = F.col("query_id"), lambda c: F.to_json(F.struct(c.alias("v")))
+    quoted = lambda c: F.regexp_extract(text(c), ":(.*)}$", 1)
+    one = lambda key, op, value: F.struct(F.lit(key).alias("key"), F.lit(op).alias("op"), value.alias("value"))
+    source = F.when(i % 3 != 2, one("source", "eq", quoted(F.concat(F.lit("src"), (i % 8).cast("string")))))
+    lang = F.when(i % 4 == 1, one("lang", "contains", F.lit('"E"')))
+    low, high = F.when(i % 2 == 0, one("n_chars", "ge", (i * 20).cast("string"))), one("$.n_chars", "le", (i * 50 + 1500).cast("string"))
+    none = F.when(i % 7 == 0, one("owner", "eq", F.lit("null")))
+    return items(spark, d).select("query_id", F.explode(F.array_compact(F.array(source, lang, low, high, none))).alias("f")).select("query_id", "f.*")
+
+
+_FITS = "(i % 3 = 2 OR source = 'src' || i % 8) AND (i % 4 <> 1 OR contains(lower(lang), 'e')) AND (i % 2 <> 0 OR n_chars >= i * 20) AND n_chars <= i * 50 + 1500"
+
+
+@query("f3_filters", f"SELECT i AS query_id, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM documents JOIN (SELECT item_id AS i FROM benchmark) AS b ON {_FITS} GROUP BY i")
+def f3_filters(spark, d):
+    """The filters of every item over all documents: how many fit, and the sum of their ids."""
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", metadata.of_columns("source", "lang", "n_chars").alias("meta"))
+    found = metadata.matching(items(spark, d), _filters(spark, d), c, ["source"])
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
+
+
+@query("f4_filtered_hits", f"""WITH {CHUNKS}, {ITEMS}, {bm25_sql('c', k=50)}, f AS (SELECT query_id AS i, chunk_id, score FROM bm25)
+SELECT i AS query_id, chunk_id, score, (row_number() OVER (PARTITION BY i ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM f JOIN c USING (chunk_id) JOIN documents ON doc_id = document_id WHERE {_FITS}""")
+def f4_filtered_hits(spark, d):
+    """Of fifty lexical hits of every item those that meet its filters, as a request has it."""
+    c, q = chunks(spark, d), items(spark, d)
+    meta = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), metadata.of_columns("source", "lang", "n_chars").alias("meta"))
+    return metadata.filtered(retrieval.bm25(q, c, 50), _filters(spark, d), c.drop("meta").join(meta, "document_id"))
+
+
 # ---------------------------------------------------------------- filters and ACL
 
 def users(spark: SparkSession) -> DataFrame:
