@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,31 @@ class IndexTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def _file(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        fs, path = self._file()
+        return fs.exists(path)
+
+    def _claim(self) -> int:
+        """The number of a new change. Writers claim numbers by creating a file that must not be there,
+        as sure as the file system's create is; of two that write the same key the greater
+        number counts. A number whose writer stopped stays unused."""
+        fs, folder = self._file("/_claims")
+        stored = self._stored().agg(F.max("change")).head()[0]
+        claimed = [int(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        change = max([-1 if stored is None else stored, *claimed]) + 1
+        while True:
+            fs, path = self._file(f"/_claims/{change}")
+            try:
+                fs.create(path, False).close()
+                return change
+            except Py4JJavaError:
+                if not fs.exists(path):
+                    raise
+                change += 1
 
     def read(self) -> DataFrame:
         """The latest row of each key that has not been deleted since."""
@@ -60,9 +83,7 @@ class IndexTable:
         return last.where("not _row._gone").select("_row.*").drop("_gone")
 
     def _append(self, rows: DataFrame, gone: bool) -> None:
-        last = self._stored().agg(F.max("change")).head()[0]
-        change = 0 if last is None else last + 1
-        rows.select(*self.columns, F.lit(gone).alias("_gone")).write.partitionBy("kb_id").parquet(f"{self.path}/change={change}")
+        rows.select(*self.columns, F.lit(gone).alias("_gone")).write.partitionBy("kb_id").parquet(f"{self.path}/change={self._claim()}")
 
     def upsert(self, rows: DataFrame) -> None:
         """Insert rows, or replace those of the same key. Of rows that repeat a key in one change
