@@ -1,15 +1,16 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation.
 
 Vectors are sparse rows of integer components; a component's position is its term. Queries
-are packed into blocks of sparse rows, candidates into blocks of postings: for each term, the
-candidates that hold it and their weights. Each pair of a query block and a candidate block
-is scored by walking the terms: every query row that holds the term scatters its weight times
-the term's postings into a dense score array. Partition selection (``argpartition``) keeps k
-per query and block, and a ranking over those merges the blocks.
+and candidates are packed into blocks of postings: for each term, the rows that hold it and
+their weights. Each pair of a query block and a candidate block is scored by walking the
+terms: every query row that holds the term adds its weight times the term's postings to a
+dense score array. A term that many rows of a block hold is read as a row with zeros instead,
+which needs no scatter. The k best of a query block are kept from one candidate block to the
+next, so only scores that reach a query's k-th best are sorted; a ranking merges the tasks.
 
 Every query meets every candidate. Blocks are dealt over a grid: query blocks are copied
-to the grid's columns, candidate blocks to its rows, so a task holds one pair of blocks at
-a time and neither side is broadcast, whatever its size.
+to the grid's columns, candidate blocks to its rows. A cell holds a bounded number of
+either, whatever the tables' size, and neither side is broadcast.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: ``terms``: where each term's postings start, and the end; ``rows``: who holds it; ``weights``.
-_BLOCK = "cell int, ids binary, terms binary, rows binary, weights binary"
+#: ``terms``: where each term's postings start, and the end; ``rows``: who holds it; ``weights``,
+#: ``kinds``: the types of these two.
+_BLOCK = "cell int, ids binary, terms binary, rows binary, weights binary, kinds string"
 _LONG = np.iinfo(np.int64)
+#: Components of a block at most, beyond one row, and blocks of candidates and queries in a cell of the grid, about.
+_COMPONENTS, _CELL = 1 << 18, (8, 256)
+#: A term of which a block's rows hold this share is a row with zeros.
+_DENSE = 0.25
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -38,6 +44,14 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the least type that holds them."""
+    for kind in (np.int8, np.int16, np.int32):
+        if x.min(initial=0) >= np.iinfo(kind).min and x.max(initial=0) <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
+
+
 def _blocks(df: DataFrame, rows: int, cells: int) -> DataFrame:
     """Postings of at most ``rows`` vectors each, dealt over ``cells`` cells in turn."""
 
@@ -47,51 +61,82 @@ def _blocks(df: DataFrame, rows: int, cells: int) -> DataFrame:
         # tasks begin at different cells, spread evenly over them
         cell = int(TaskContext.get().partitionId() * 0.6180339887498949 % 1 * cells)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            step = max(1, min(rows, batch.num_rows * _COMPONENTS // max(1, len(batch.column(1).flatten()))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 order = np.argsort(ids, kind="stable")
                 vectors = part.column(1).take(pa.array(order))
-                sizes = np.array([len(x) for x in vectors], np.int64)
+                sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 term = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 row = np.repeat(np.arange(len(ids)), sizes)
                 there = np.flatnonzero(flat)
                 by_term = there[np.argsort(term[there], kind="stable")]
                 starts = np.searchsorted(term[by_term], np.arange(int(sizes.max(initial=0)) + 1))
-                arrays = (ids[order].astype(np.int64), starts.astype(np.int64), row[by_term].astype(np.int32), flat[by_term])
-                yield pa.RecordBatch.from_arrays([pa.array([cell % cells], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["cell", "ids", "terms", "rows", "weights"])
+                held, weights = _narrow(row[by_term]), _narrow(flat[by_term])
+                arrays = (ids[order].astype(np.int64), starts.astype(np.int64), held, weights)
+                yield pa.RecordBatch.from_arrays([pa.array([cell % cells], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays), pa.array([f"{held.dtype} {weights.dtype}"])], names=["cell", "ids", "terms", "rows", "weights", "kinds"])
                 cell += 1
 
     return df.mapInArrow(run, _BLOCK)
 
 
-Postings = tuple[np.ndarray, np.ndarray, np.ndarray]
+Term = tuple[np.ndarray, np.ndarray] | tuple[None, np.ndarray] | None
+
+
+class Block:
+    """A block's ids and, for each term, who holds it and the weights; None and a weight for each
+    row where many do; None where nobody does. ``largest``: the largest absolute weight of each."""
+
+    def __init__(self, ids: bytes, terms: bytes, rows: bytes, weights: bytes, kinds: str):
+        self.ids, starts = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.int64)
+        held, w = (np.frombuffer(x, kind) for x, kind in zip((rows, weights), kinds.split(), strict=True))
+        self.terms: list[Term] = []
+        self.largest: list[int] = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            self.largest.append(max(-int(w[a:b].min(initial=0)), int(w[a:b].max(initial=0))))
+            if b - a < _DENSE * len(self.ids):
+                self.terms.append((held[a:b].astype(np.int64), w[a:b]) if b > a else None)
+            else:
+                row = np.zeros(len(self.ids), w.dtype)
+                row[held[a:b]] = w[a:b]
+                self.terms.append((None, row))
+        self.as_kind: dict[type, list[Term]] = {}
+
+    def of_kind(self, kind: type) -> list[Term]:
+        if kind not in self.as_kind:
+            self.as_kind[kind] = [t and (t[0], t[1].astype(kind)) for t in self.terms]
+        return self.as_kind[kind]
+
 
+def _loaded(blocks: pa.Table) -> Iterator[Block]:
+    for i in range(blocks.num_rows):
+        yield Block(*(blocks.column(x)[i].as_py() for x in ("ids", "terms", "rows", "weights", "kinds")))
 
-def accumulate(q: Postings, n_queries: int, c: Postings, n: int) -> np.ndarray:
-    """Scores of all queries against all candidates of two blocks of postings (starts, rows, weights).
+
+def accumulate(q: Block, c: Block) -> np.ndarray:
+    """Scores of all queries against all candidates of two blocks.
 
     Sums that a long might not hold are made of whole numbers of any size and end at its limits."""
-    largest = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))
-    terms = min(len(q[0]), len(c[0])) - 1
-    exact = largest(q[2]) * largest(c[2]) * max(terms, 1) < _LONG.max
-    kind = np.int64 if exact else object
-    q_weights, c_weights = q[2].astype(kind), c[2].astype(kind)
-    scores = np.zeros((n_queries, n), kind)
-    for t in range(terms):
-        a, b = q[0][t], q[0][t + 1]
-        i, j = c[0][t], c[0][t + 1]
-        if a == b or i == j:
+    bound = sum(x * y for x, y in zip(q.largest, c.largest, strict=False))
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < _LONG.max else object
+    scores = np.zeros((len(q.ids), len(c.ids)), kind)
+    gains = np.empty_like(scores)
+    for a, b in zip(q.of_kind(kind), c.of_kind(kind), strict=False):
+        if a is None or b is None:
             continue
-        gains = q_weights[a:b, None] * c_weights[i:j]
-        if j - i == n and b - a == n_queries:  # every row holds the term
+        (i, x), (j, y) = a, b
+        if i is None and j is None:
+            np.multiply(x[:, None], y, out=gains)
             scores += gains
-        elif j - i == n:
-            scores[q[1][a:b]] += gains
+        elif j is None:
+            scores[i] += x[:, None] * y
+        elif i is None:
+            scores[:, j] += x[:, None] * y
         else:
-            scores[q[1][a:b, None], c[1][i:j]] += gains
-    return scores if exact else np.clip(scores, _LONG.min + 1, _LONG.max).astype(np.int64)
+            scores[i[:, None], j] += x[:, None] * y
+    return scores if kind is not object else np.clip(scores, _LONG.min + 1, _LONG.max).astype(np.int64)
 
 
 def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +146,7 @@ def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
     low = np.iinfo(np.int64).min
     n = scores.shape[1]
     k = min(k, n)
-    key = scores.copy()
+    key = scores.astype(np.int64)
     key[own] = low
     part = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), key.shape)
     least = np.take_along_axis(key, part, 1).min(1)
@@ -113,7 +158,41 @@ def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return q[keep], c[keep]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = 256, block_rows: int = 4096) -> DataFrame:
+def best_of(q: Block, candidates: list[Block], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores) of the k best of each query of a block, ties to the smaller id."""
+    low = _LONG.min
+    at, ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.full(len(q.ids), low)  # what a candidate must reach
+    for c in candidates:
+        scores = accumulate(q, c)
+        if (least == low).any():
+            x, y = select(scores, q.ids[:, None] == c.ids, k)
+        else:
+            x, y = np.nonzero(scores >= least[:, None])
+            other = q.ids[x] != c.ids[y]
+            x, y = x[other], y[other]
+        if not len(x):
+            continue
+        at, ids, best = np.r_[at, x], np.r_[ids, c.ids[y]], np.r_[best, scores[x, y].astype(np.int64)]
+        order = np.lexsort((ids, -best, at))
+        at, ids, best = at[order], ids[order], best[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == k - 1
+        least[at[last]] = best[last]
+        at, ids, best = at[place < k], ids[place < k], best[place < k]
+    return q.ids[at], ids, best
+
+
+def _grid(vectors: DataFrame, queries: DataFrame, query_rows: int, block_rows: int) -> tuple[int, int]:
+    """(columns, rows) of the grid: cells of a bounded number of blocks, and enough of them for all cores."""
+    sizes = [df.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).head() for df in (vectors, queries)]
+    blocks = [max(1, math.ceil(n / rows), math.ceil(total / most)) for (n, total), rows, most in zip(sizes, (block_rows, query_rows), (_COMPONENTS, _COMPONENTS // 64), strict=True)]
+    wanted = 8 * vectors.sparkSession.sparkContext.defaultParallelism
+    across = max(math.ceil(blocks[0] / _CELL[0]), min(blocks[0], wanted))
+    return across, max(math.ceil(blocks[1] / _CELL[1]), min(blocks[1], wanted // across))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = 64, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best inner products over all rows of
     ``vectors`` but the one with its own id; ties go to the smaller id.
 
@@ -123,26 +202,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int =
     query with fewer than k candidates returns all of them, an empty table nothing. Scores
     end at the limits of a long. Columns other than id and v are ignored, whatever their names.
     """
-    spark = vectors.sparkSession
     vectors = written(vectors.select("id", "v"), "vectors")
     queries = written(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    across = max(1, math.ceil(vectors.count() / block_rows))
-    across, down = min(across, 4 * width), max(1, min(math.ceil(queries.count() / query_rows), 4 * width))
-    q = _blocks(queries, query_rows, down).select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"))
-    c = _blocks(vectors, block_rows, across).select(F.col("cell").alias("column"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("cell"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "terms", "rows", "weights")))
-    pairs = q.join(c, ["cell", "column"]).select("ids", "terms", "rows", "weights", "c_ids", "c_terms", "c_rows", "c_weights")
+    across, down = _grid(vectors, queries, query_rows, block_rows)
+    q = _blocks(queries, query_rows, down).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    c = _blocks(vectors, block_rows, across).withColumnRenamed("cell", "column").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.int64, np.int32, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                blocks = [np.frombuffer(x[i].as_py(), kind) for x, kind in zip(batch.columns, kinds * 2, strict=True)]
-                q_ids, c_ids = blocks[0], blocks[4]
-                scores = accumulate(tuple(blocks[1:4]), len(q_ids), tuple(blocks[5:]), len(c_ids))
-                x, y = select(scores, q_ids[:, None] == c_ids[None, :], k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(c_ids[y]), pa.array(scores[x, y])], names=["query_id", "vec_id", "score"])
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        candidates = list(_loaded(right)) if left.num_rows else []
+        found = [best_of(x, candidates, k) for x in _loaded(left)] if candidates else []
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+
+    best = q.groupBy("cell", "column").cogroup(c.groupBy("cell", "column")).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

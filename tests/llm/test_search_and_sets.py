@@ -210,6 +210,29 @@ def test_blocks_are_dealt_evenly(spark):
     assert len(set(cells)) == 16 and max(cells.count(c) for c in set(cells)) <= 2 * len(cells) / 16
 
 
+def test_blocks_and_cells_are_bounded(spark):
+    wide = spark.range(600).selectExpr("id", "transform(sequence(1, 2048), x -> x % 100 - id) AS v").coalesce(1)
+    blocks = topk._blocks(wide, 4096, 3).collect()
+    assert sorted(i for b in blocks for i in np.frombuffer(b["ids"], np.int64)) == list(range(600))
+    assert max(len(b["rows"]) + len(b["weights"]) for b in blocks) <= 4 << 18
+    vectors = spark.range(1_000_000).selectExpr("id", "array(id, 1L) AS v")
+    across, down = topk._grid(vectors, vectors.where("id % 50 = 0"), 64, 4096)
+    assert across * 8 * 4096 >= 1_000_000 and down * 256 * 64 >= 20_000
+    assert down <= 2 and across <= 64 * spark.sparkContext.defaultParallelism  # copies of candidates, of queries
+
+
+@pytest.mark.parametrize("most", [1, 300, 2**30, 2**62])
+def test_best_of_several_blocks(spark, most):
+    rng = random.Random(most)
+    rows = [(i, [rng.randint(-most, most) if rng.random() < share else 0 for share in (1, 1, 0.5, 0.1, 0.1)]) for i in range(200)]
+    rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties over the blocks
+    df = spark.createDataFrame(rows, "id long, v array<long>").coalesce(1)
+    blocks = [topk.Block(*b[1:]) for b in topk._blocks(df, 32, 1).collect()]
+    rng.shuffle(blocks)
+    got = [x for b in blocks for x in zip(*(y.tolist() for y in topk.best_of(b, blocks, 5)), strict=True)]
+    assert sorted(got) == sorted((q, c, s) for q, _, c, s in best_by_hand(rows, rows, 5))
+
+
 def test_topk_odd_queries(spark):
     rows = [(1, [5]), (1, [3]), (2, [1]), (3, [2])]
     df = spark.createDataFrame(rows, "id long, v array<long>")
