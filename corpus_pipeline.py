@@ -2,7 +2,8 @@
 
 ``STAGES`` lists the stages. Each takes (spark, docs, sf_dir), works on all rows of docs,
 and returns a DataFrame, which is written as Parquet and read again as the next one's docs;
-all but the last return the columns of documents.
+all but the last return the columns of documents. Stages with Python in their tasks bound the
+session's Arrow batches where they are not set, so that memory does not follow the partitions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, mixing, packing, quality
-from millrace.llm.common import read, small, written
+from millrace.llm.common import bounded_batches, read, small, written
 
 #: Near duplicates share 0.8 of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -22,6 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows are judged one by one: null, empty and very long texts are scored like any other,
     repeated rows alike; an empty table stays empty. Other columns of any name are kept."""
+    bounded_batches(spark)
     return quality.kept(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -37,6 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their own, a null id with the text of another is its copy, and of equal rows one stays.
     Documents without words are near nothing, and all stay. Long texts count whole. An empty
     table stays empty. Other columns of any name are kept."""
+    bounded_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(jaccard_join.shingled(slim, SHINGLE), "sets")
     found = written(jaccard_join.set_components(sets, slim, SHINGLE, PERCENT).where("n_shingles > 0").select("root", "doc_id", "text_hash"), "groups")
@@ -72,6 +75,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table gives no rows. Other columns are ignored."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
 
 

@@ -54,6 +54,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once, about; a row is never cut.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about ``BATCH_BYTES``, unless the session says otherwise.
+
+    Spark's own bound lets a whole input partition of texts be one batch, which each task holds
+    in the executor's direct memory, while its buffers double, and again in its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch, cut into slices that bound memory."""
 

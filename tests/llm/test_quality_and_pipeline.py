@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import odd
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from conftest import SMALL
@@ -180,6 +181,21 @@ def test_mixing_repeats_each_row_as_often_as_it_is_taken(spark):
     assert got == +want
 
 
+@pytest.mark.parametrize("given, most", [(None, 6 << 20), ("100000000", 50 << 20)])
+def test_stages_bound_batches_unless_the_session_does(spark, given, most):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, given) if given else spark.conf.unset(key)
+        corpus_pipeline.good_quality(spark, odd.none(spark), SMALL)
+        texts = spark.range(40).coalesce(1).selectExpr("repeat('word ', 200000) AS text")
+        sizes = [r["n"] for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    assert sum(sizes) >= 40_000_000 and max(sizes) <= most
+    assert not given or len(sizes) == 1
+
+
 def test_run_is_its_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
